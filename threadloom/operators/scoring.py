@@ -119,28 +119,27 @@ def label_with_answerer(
     ``[{"index", "label"}]``. Texts go out in batches of ``batch``, in parallel
     over partitions; a failed call leaves its batch neutral with score 1.0
     (``flag_failures`` adds ``scored`` = false for them). Texts are sent whole
-    unless ``max_chars`` is given."""
-    schema = df.schema.simpleString()[len("struct<"):-1] + ",sentiment_label:string,sentiment_score:float"
+    unless ``max_chars`` is given. Only the text column crosses to Python."""
+
+    def ask(texts: list[str]) -> list[tuple[str, float, bool]]:
+        try:
+            return [(label, 1.0, True) for label in _read_labels(answer(_number(texts, max_chars)), len(texts))]
+        except Exception:  # the answerer is foreign code; its failures are data here
+            return [("neutral", 1.0, False)] * len(texts)
+
+    @F.pandas_udf("struct<label string, score float, scored boolean>")
+    def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for series in batches:
+            texts = series.fillna("").tolist()
+            rows = [r for i in range(0, len(texts), batch) for r in ask(texts[i:i + batch])]
+            yield pd.DataFrame(rows, columns=["label", "score", "scored"])
+
+    labelled = df.withColumn("_s", label.asNondeterministic()(F.col(text_col))).withColumns(
+        {"sentiment_label": F.col("_s.label"), "sentiment_score": F.col("_s.score")}
+    )
     if flag_failures:
-        schema += ",scored:boolean"
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for start in range(0, len(frame), batch):
-                part = frame.iloc[start:start + batch].copy()
-                texts = [t if isinstance(t, str) else "" for t in part[text_col]]
-                ok = True
-                try:
-                    labels = _read_labels(answer(_number(texts, max_chars)), len(texts))
-                except Exception:  # the answerer is foreign code; its failures are data here
-                    labels, ok = ["neutral"] * len(texts), False
-                part["sentiment_label"] = labels
-                part["sentiment_score"] = 1.0
-                if flag_failures:
-                    part["scored"] = ok
-                yield part
-
-    return df.mapInPandas(run, schema)
+        labelled = labelled.withColumn("scored", F.col("_s.scored"))
+    return labelled.drop("_s")
 
 
 def lexicon_stance(reply: Column, parent: Column, lexicon: Lexicon = STANCE_LEXICON) -> Column:

@@ -111,9 +111,8 @@ def merge_thread_insights(
     Counts per sentiment come first, so no group's items are ever gathered."""
     entity = normalise_entity(F.col(vocab.entity_field), vocab)
     group = [*keys, vocab.entity_field, "aspect"]
-    best = F.max(F.struct(
-        intensity_rank(F.col("intensity"), otherwise=0).alias("rank"), (-F.col("pos")).alias("earlier"),
-        "intensity", "evidence",
+    best = F.min(F.struct(
+        (-intensity_rank(F.col("intensity"), otherwise=0)).alias("weakness"), "pos", "intensity", "evidence"
     ))
     per_sentiment = items.withColumn(vocab.entity_field, entity).groupBy(*group, "sentiment").agg(
         F.count("*").alias("n"), F.sum("mention_count").alias("mentions"), best.alias("best")
@@ -122,7 +121,7 @@ def merge_thread_insights(
     first_winner = F.min(F.struct((-F.col("n")).alias("n"), F.col("sentiment")))["sentiment"]
     merged = per_sentiment.groupBy(*group).agg(
         first_winner.alias("first"), last_winner.alias("last"), F.sum("mentions").alias("mention_count"),
-        F.max("best").alias("best"),
+        F.min("best").alias("best"),
     )
     return merged.select(
         *group, F.when(F.col("first") == F.col("last"), F.col("first")).otherwise("mixed").alias("sentiment"),

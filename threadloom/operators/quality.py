@@ -176,7 +176,7 @@ def drop_funnel(flat: DataFrame, order: Sequence[str]) -> DataFrame:
     columns = [c for c in dict.fromkeys([*order, *CRITICAL, *COUNTS]) if c != "id"]
     per_id = flat.groupBy("id").agg(
         F.max(F.struct(*columns)).alias("row"), F.count("*").alias("copies")
-    ).select("id", "row.*", "copies").where("copies > 0")
+    ).select("id", "row.*", "copies")
     has_id = F.coalesce("id", F.lit("")) != ""
     steps = {
         "after_dedup": has_id,

@@ -9,12 +9,13 @@ from threadloom.functions.moments import duration_seconds, format_duration
 
 
 def clean_runs(runs: DataFrame, as_of=None) -> DataFrame:
-    """Start falls back to the logical date; duration of an open run counts up to ``as_of``."""
-    start = F.coalesce("start_date", "logical_date")
-    seconds = duration_seconds(F.col("start_date"), F.col("end_date"), as_of)
-    return runs.withColumn("start_date", start).withColumn("duration_seconds", seconds).withColumn(
-        "duration_label", format_duration(F.col("duration_seconds"))
+    """Start falls back to the logical date, and the duration counts from there;
+    an open run counts up to ``as_of``."""
+    started = runs.withColumn("start_date", F.coalesce("start_date", "logical_date"))
+    timed = started.withColumn(
+        "duration_seconds", duration_seconds(F.col("start_date"), F.col("end_date"), as_of)
     )
+    return timed.withColumn("duration_label", format_duration(F.col("duration_seconds")))
 
 
 def last_runs(runs: DataFrame, n: int = 10) -> DataFrame:

@@ -1,6 +1,6 @@
 from importlib import import_module
 
-MODULES = ("post_queries", "comment_queries", "insight_queries", "page_queries")
+MODULES = ("post_queries", "comment_queries", "insight_queries", "page_queries", "table_queries")
 
 
 def load_cases() -> None:

@@ -3,7 +3,7 @@
 import sys
 import time
 
-from tests.oracle import connect, difference
+from tests.oracle import LAST_ROWS, connect, difference
 from threadloom.session import build_session
 
 
@@ -28,7 +28,7 @@ def main(argv):
                 result = difference(df, con, sql[name])
             else:
                 result = None if df.count() >= 0 else "no rows"
-            note = "" if name in sql else f" (no SQL)"
+            note = f" {LAST_ROWS['n']} rows" if name in sql else " (no SQL)"
         except Exception as e:  # report and go on
             result, note = f"{type(e).__name__}: {str(e)[:600]}", ""
         bad += result is not None

@@ -38,11 +38,15 @@ def _kinds(names, rows) -> dict:
     return kinds
 
 
+LAST_ROWS = {"n": 0}
+
+
 def difference(df, con, sql: str) -> str | None:
     """None when equal, else a short description."""
     cursor = con.execute(sql)
     theirs_names, theirs = [d[0] for d in cursor.description], cursor.fetchall()
     ours_names, ours = df.columns, [tuple(r) for r in df.collect()]
+    LAST_ROWS["n"] = len(ours)
     if sorted(theirs_names) != sorted(ours_names):
         return f"columns {sorted(ours_names)} != {sorted(theirs_names)}"
     ok, tk = _kinds(ours_names, ours), _kinds(theirs_names, theirs)

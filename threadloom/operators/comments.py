@@ -80,17 +80,16 @@ def flag_bursts(
     Authors are counted with map-side combine and only the few (author, day)
     pairs above the limit are joined back, salted where one pair is very large
     (comments without author id share one)."""
-    counts = df.groupBy(*BURST_KEYS).agg(F.count(id_col).alias("_n"))
+    keyed = df.withColumn("_who", F.struct(*BURST_KEYS))  # a struct also matches on NULL parts
+    counts = keyed.groupBy("_who").agg(F.count(id_col).alias("_n"))
     if ignore_blank_author:
-        counts = counts.where(F.col("author_id") != "")
+        counts = counts.where(F.col("_who.author_id") != "")
     bursts = counts.where(F.col("_n") > limit)
     flagged = skew_join(
-        df, bursts.select(*BURST_KEYS, F.lit(True).alias("_burst")), BURST_KEYS, "left",
-        spread=[id_col], hot=hottest(bursts, BURST_KEYS, "_n", min_hot_rows),
-    )
-    return flagged.withColumn("is_bot", F.coalesce("_burst", F.lit(False))).drop("_burst").select(
-        *df.columns, "is_bot"
+        keyed, bursts.select("_who", F.lit(True).alias("_burst")), ["_who"], "left",
+        spread=[id_col], hot=hottest(bursts, ["_who"], "_n", min_hot_rows),
     )
+    return flagged.withColumn("is_bot", F.coalesce("_burst", F.lit(False))).select(*df.columns, "is_bot")
 
 
 def enrich_group_comments(df: DataFrame, **burst) -> DataFrame:
@@ -185,8 +184,9 @@ def group_stance(
     price comments dropped. ``comment_text`` stores the first 50 tokens; the
     model sees the whole comment."""
     if processed is not None:
-        done = processed.select("ingestion_date", "page_name").distinct()
-        comments = comments.join(done, ["ingestion_date", "page_name"], "left_anti")
+        partition = ["ingestion_date", "page_name"]
+        done = processed.select(*partition).distinct()
+        comments = skew_join(comments, done, partition, "left_anti", spread=["comment_id"], min_rows=min_hot_rows)
     eligible = posts.where(
         F.col("sentiment_label").isNotNull() & (F.col("sentiment_label") != "neutral")
         & ~text.is_blank(F.col("text"))

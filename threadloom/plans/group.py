@@ -101,10 +101,12 @@ def build_insights(
     fresh = spark.read.parquet(staged)
     history = tables.read_if_present(spark, target)
     if force and history is not None:
-        kept = history.join(fresh.select("post_id").distinct(), "post_id", "left_anti").select(*fresh.columns)
-        merged = fresh_dir(spark, "insights")
         touched = writers.touched_partitions(fresh, ["ingestion_date", "page_name"])
-        kept.join(touched, touched.columns, "left_semi").unionByName(fresh).write.parquet(merged)
+        others = tables.in_partitions(history, touched).join(
+            fresh.select("post_id").distinct(), "post_id", "left_anti"
+        )
+        merged = fresh_dir(spark, "insights")
+        others.select(*fresh.columns).unionByName(fresh).write.parquet(merged)
         writers.write_table(spark.read.parquet(merged), target, ["ingestion_date", "page_name"])
     else:
         writers.write_table(fresh, target, ["ingestion_date", "page_name"], mode="append")

@@ -60,7 +60,7 @@ def build_gold(
     performance over the last ``window_days``."""
     gold = gold.rstrip("/")
     everything = tables.read_table(spark, silver)
-    new = tables.only_latest(everything) if latest_only else everything
+    new = tables.read_latest(spark, silver) if latest_only else everything
     enriched = posts.add_analytics(new, brands, as_of, viral_threshold)
     quality.enforce(enriched, quality.analytics_checks())
 
@@ -72,19 +72,20 @@ def build_gold(
         spark, facts, f"{gold}/fact_posts", ["tweet_id"], ["created_at_ts"], ["date", "primary_brand"]
     )
 
-    days = facts.select("date").distinct()
-    touched = spark.read.parquet(f"{gold}/fact_posts").join(days, "date", "left_semi")
+    all_facts = tables.read_table(spark, f"{gold}/fact_posts")
+    touched = tables.in_partitions(all_facts, facts.select("date").distinct())
     daily = contracts.conform(posts.agg_brand_daily(touched), contracts.AGG_BRAND_DAILY)
     quality.enforce(daily, quality.brand_daily_checks())
     writers.write_table(daily, f"{gold}/agg_brand_daily", ["date"])
 
-    authors = posts.dim_authors(posts.add_analytics(everything, brands, as_of, viral_threshold), brands)
+    history = posts.add_analytics(everything, brands, as_of, viral_threshold)
+    authors = contracts.conform(posts.dim_authors(history, brands), contracts.DIM_AUTHORS)
     quality.enforce(authors, quality.dim_author_checks())
     writers.replace_table(authors, f"{gold}/dim_authors")
     writers.write_small_table(posts.dim_brands(spark, brands), f"{gold}/dim_brands")
 
-    recent = tables.read_window(spark.read.parquet(f"{gold}/fact_posts"), "date", window_days, as_of)
-    performance = posts.agg_author_perf(recent, brands)
+    recent = tables.read_window(all_facts, "date", window_days, as_of)
+    performance = contracts.conform(posts.agg_author_perf(recent, brands), contracts.AGG_AUTHOR_PERF)
     quality.enforce(performance, quality.author_perf_checks())
     writers.replace_table(performance, f"{gold}/agg_author_perf")
 
@@ -94,7 +95,3 @@ def remove_raw_duplicates(raw: DataFrame) -> DataFrame:
     Expects ``source_file`` and ``source_pos`` from ``read_raw_with_origin``."""
     return first_seen(raw, "id", ["source_file", "source_pos"])
 
-
-def silver_day(df: DataFrame, day) -> DataFrame:
-    day = F.lit(day).cast("date")
-    return df.where((F.col("year") == F.year(day)) & (F.col("month") == F.month(day)) & (F.col("day") == F.day(day)))

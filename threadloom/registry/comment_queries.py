@@ -81,16 +81,20 @@ def surrogate(t: Tables):
     )
 
 
-@case("flt_06_resale_posts", f"SELECT {IS_SALE} AS is_sale, count(*) AS n FROM documents GROUP BY 1")
+# The documents with an offer or a price at their end, depending on language and length.
+OFFERS = """SELECT doc_id, concat(text, CASE lang WHEN 'de' THEN ' Thanh_Lý xe' WHEN 'fr' THEN ' giaxe cần bánh'
+  WHEN 'es' THEN concat(' giá ', cast(n_chars AS string), ' TR') ELSE concat(' ', cast(n_chars AS string), ' tram') END) AS text
+  FROM {documents}"""
+
+
+@case("flt_06_resale_posts", f"SELECT doc_id FROM {a.duck(OFFERS)} WHERE NOT {IS_SALE}")
 def resale(t: Tables):
-    return t.table("documents").select(text.is_sale(F.col("text")).alias("is_sale")).groupBy("is_sale").agg(
-        F.count("*").alias("n")
-    )
+    return t.view(OFFERS).where(~text.is_sale(F.col("text"))).select("doc_id")
 
 
-@case("flt_07_price_comments", f"SELECT doc_id FROM documents WHERE {PRICE}")
+@case("flt_07_price_comments", f"SELECT doc_id FROM {a.duck(OFFERS)} WHERE NOT {PRICE}")
 def price(t: Tables):
-    return t.table("documents").where(text.names_price(F.col("text"))).select("doc_id")
+    return t.view(OFFERS).where(~text.names_price(F.col("text"))).select("doc_id")
 
 
 @case("fn_13_comment_engagement", f"WITH {SCORED} SELECT comment_id, round(engagement_score, 6) AS engagement_score FROM scored")

@@ -214,7 +214,7 @@ def text_pages(t: Tables) -> DataFrame:
 @case("prj_11_post_text", """WITH p AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages)
 SELECT page_id, CASE WHEN page_id % 4 < 2 THEN CASE WHEN length(trim(title)) > 10 THEN trim(title) ELSE '' END
   WHEN page_id % 4 = 2 AND length(title) >= 5 AND title NOT LIKE '%''%' AND title NOT LIKE '%"%'
-  THEN trim(replace(replace(replace(title, '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) ELSE '' END AS post_text FROM p""")
+  THEN trim(regexp_replace(replace(replace(replace(title, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;?', '&', 'g')) ELSE '' END AS post_text FROM p""")
 def post_text(t: Tables):
     return text_pages(t).select("page_id", W.extract_post_text(F.col("html")).alias("post_text"))
 

@@ -343,16 +343,16 @@ def influence_report(t: Tables):
 
 
 @case("src_06_rolling_window", f"""WITH {s.ANALYTICS} SELECT id AS tweet_id, strftime(created_at_ts, '%Y-%m-%d') AS date
-  FROM analytics WHERE CAST(created_at_ts AS DATE) >= DATE '2024-01-20' - 7""")
+  FROM analytics WHERE CAST(created_at_ts AS DATE) >= DATE '2024-01-03' - 1""")
 def rolling(t: Tables):
-    return read_window(P.fact_posts(scored(t)), "date", 7, "2024-01-20").select("tweet_id", "date")
+    return read_window(P.fact_posts(scored(t)), "date", 1, "2024-01-03").select("tweet_id", "date")
 
 
 @case("inc_04_author_perf_window", f"""WITH {s.ANALYTICS}, w AS (SELECT * FROM analytics
-  WHERE CAST(created_at_ts AS DATE) >= DATE '{a.AS_OF[:10]}' - 10)
+  WHERE CAST(created_at_ts AS DATE) >= DATE '2024-01-03' - 1)
 SELECT author_id, count(*) AS total_tweets, round(avg(engagement_score), 6) AS avg_engagement FROM w GROUP BY 1""")
 def perf_window(t: Tables):
-    facts = read_window(P.fact_posts(scored(t)), "date", 10, a.AS_OF[:10])
+    facts = read_window(P.fact_posts(scored(t)), "date", 1, "2024-01-03")
     return P.agg_author_perf(facts, a.BRANDS).select("author_id", "total_tweets", "avg_engagement")
 
 

@@ -45,8 +45,10 @@ def latest_bronze(t: Tables):
 @case("src_03_latest_partition", f"""WITH {POSTS} SELECT DISTINCT cast(substr(d, 1, 4) AS BIGINT) AS year, cast(substr(d, 6, 2) AS BIGINT) AS month,
   cast(substr(d, 9, 2) AS BIGINT) AS day FROM (SELECT max(ingestion_date) AS d FROM p)""")
 def latest_partition(t: Tables):
-    rows = tables.with_partitions(t.spark, landed_posts(t), "posts")
-    return writers.touched_partitions(tables.only_latest(rows), ["year", "month", "day"])
+    path = landed_posts(t)
+    rows = tables.with_partitions(t.spark, path, "posts")
+    newest = tables.only_partition(rows, tables.latest_partition(t.spark, path))
+    return writers.touched_partitions(newest, ["year", "month", "day"])
 
 
 @case("snk_01_land_bronze", f"""WITH {POSTS} SELECT ingestion_date, count(*) AS n FROM p GROUP BY 1""")

@@ -18,6 +18,19 @@ SQL_SETTINGS = {
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
+# Further settings for jobs on a cluster. Shuffles start with many partitions and
+# AQE merges them to the advisory size, so one value serves small and large
+# inputs; skewed joins are split even where that costs another shuffle; stream
+# state may outgrow the heap.
+CLUSTER_SETTINGS = {
+    "spark.sql.shuffle.partitions": "8000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "134217728",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.files.maxPartitionBytes": "268435456",
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+}
+
 
 def apply_settings(spark: SparkSession) -> SparkSession:
     for key, value in SQL_SETTINGS.items():
@@ -32,7 +45,8 @@ def build_session(app_name: str, master: str | None = None, **extra: str) -> Spa
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for key, value in SQL_SETTINGS.items():
+    local = bool(master) and master.startswith("local")
+    for key, value in {**SQL_SETTINGS, **({} if local else CLUSTER_SETTINGS)}.items():
         builder = builder.config(key, value)
     for key, value in extra.items():
         builder = builder.config(key.replace("__", "."), value)

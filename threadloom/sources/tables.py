@@ -30,24 +30,57 @@ def with_partitions(spark: SparkSession, path: str, dataset: str, levels: Sequen
     return spark.read.schema(struct_of(fields)).json(path)
 
 
-def latest_partition(df: DataFrame, levels: Sequence[str] = DAY_LEVELS) -> tuple[int, ...]:
-    """The newest partition by number. Reads partition values only, no data columns."""
-    best = df.agg(F.max(F.struct(*[F.col(c).cast("int") for c in levels])).alias("p")).head()["p"]
-    if best is None or best[0] is None:
-        raise ValueError(f"no partition found for {', '.join(levels)}")
+def partition_values(spark: SparkSession, path: str, levels: Sequence[str] = DAY_LEVELS) -> DataFrame:
+    """Partitions below a path. Lists files without opening any: the ``content``
+    column of the listing is never asked for."""
+    return spark.read.format("binaryFile").load(path).select(*levels).distinct()
+
+
+def latest_partition(spark: SparkSession, path: str, levels: Sequence[str] = DAY_LEVELS) -> tuple[int, ...]:
+    """The newest partition, compared as numbers level by level."""
+    try:
+        found = partition_values(spark, path, levels)
+    except AnalysisException as e:
+        raise ValueError(f"no partition {'/'.join(levels)} below {path}") from e
+    best = found.agg(F.max(F.struct(*[F.col(c).cast("int") for c in levels])).alias("p")).head()["p"]
+    if best is None:
+        raise ValueError(f"no partition {'/'.join(levels)} below {path}")
     return tuple(best)
 
 
-def only_latest(df: DataFrame, levels: Sequence[str] = DAY_LEVELS) -> DataFrame:
-    """Rows of the newest partition; the filter on partition columns prunes the scan."""
-    condition = F.lit(True)
-    for name, value in zip(levels, latest_partition(df, levels)):
-        condition = condition & (F.col(name) == value)
-    return df.where(condition)
+def only_partition(df: DataFrame, values: Sequence[int], levels: Sequence[str] = DAY_LEVELS) -> DataFrame:
+    """Rows of one partition; the filter on partition columns prunes the scan."""
+    for name, value in zip(levels, values):
+        df = df.where(F.col(name) == value)
+    return df
+
+
+MAX_LISTED_PARTITIONS = 1_000
+
+
+def in_partitions(df: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of a table in the partitions listed by ``wanted`` (one column per partition level).
+
+    Up to a thousand partitions become a literal filter, so that other
+    partitions are not even opened; beyond that most of the table is wanted
+    anyway and a semi join selects the rows."""
+    columns = wanted.columns
+    listed = wanted.limit(MAX_LISTED_PARTITIONS + 1).collect()
+    if len(listed) > MAX_LISTED_PARTITIONS:
+        return df.join(wanted, columns, "left_semi")
+    types = {f.name: f.dataType for f in wanted.schema.fields}
+    any_of = F.lit(False)
+    for row in listed:
+        one = F.lit(True)
+        for c in columns:
+            one = one & F.col(c).cast(types[c]).eqNullSafe(F.lit(row[c]).cast(types[c]))
+        any_of = any_of | one
+    return df.where(any_of)
 
 
 def read_latest_bronze(spark: SparkSession, path: str, dataset: str) -> DataFrame:
-    return only_latest(with_partitions(spark, path, dataset)).drop(*DAY_LEVELS)
+    newest = latest_partition(spark, path)
+    return only_partition(with_partitions(spark, path, dataset), newest).drop(*DAY_LEVELS)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
@@ -55,7 +88,7 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_latest(spark: SparkSession, path: str, levels: Sequence[str] = DAY_LEVELS) -> DataFrame:
-    return only_latest(read_table(spark, path), levels)
+    return only_partition(read_table(spark, path), latest_partition(spark, path, levels), levels)
 
 
 def read_window(df: DataFrame, column: str, days: int, as_of: date | str | Column | None = None) -> DataFrame:

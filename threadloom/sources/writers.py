@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from threadloom.operators.dedup import latest_by
 from threadloom.session import fresh_dir
-from threadloom.sources.tables import read_if_present
+from threadloom.sources.tables import in_partitions, read_if_present
 
 DAY_LEVELS = ("year", "month", "day")
 FILE_RECORDS = 200_000
@@ -90,8 +90,7 @@ def merge_partitions(
     columns = list(partition_cols)
     target = read_if_present(spark, path)
     if target is not None:
-        touched = touched_partitions(batch, columns)
-        kept = target.join(touched, columns, "left_semi")
+        kept = in_partitions(target, touched_partitions(batch, columns))
         types = {f.name: f.dataType for f in batch.schema.fields}
         kept = kept.select(*[F.col(c).cast(types[c]).alias(c) for c in batch.columns])
         batch = batch.unionByName(kept)

@@ -41,6 +41,11 @@ RAW_GROUP_POST = (
 )
 RAW = {"posts": RAW_POST, "video": RAW_VIDEO_COMMENT, "group": RAW_GROUP_POST}
 
+SILVER_VIDEO_COMMENT = (
+    f"video_id string, {RAW_VIDEO_COMMENT}, published_at_ts timestamp, comment_hour int,"
+    " comment_day_of_week int, year int, month int, day int"
+)
+
 # Published (gold) tables.
 FACT_POSTS = (
     "tweet_id string not null, author_id string not null, author_username string, author_followers bigint,"

@@ -13,8 +13,8 @@ from threadloom.catalogue import PROFANITY, SALE_PHRASES
 # Patterns of the text cleaner, in the order they apply.
 MENTION = r"@\w+"
 URL = r"https?://\S+"
-SYMBOL_ASCII = r"[^\w\s#\x{1F300}-\x{10FFFF}]"
-SYMBOL_UNICODE = r"[^\p{L}\p{M}\p{N}_\s#\x{1F300}-\x{10FFFF}]"
+SYMBOL_ASCII = r"[^\w\s#\x{1F300}-\x{10FFFF}]+"
+SYMBOL_UNICODE = r"[^\p{L}\p{M}\p{N}_\s#\x{1F300}-\x{10FFFF}]+"
 PRICE = r"(?i)[0-9]+\s*tr($|[^\p{L}\p{M}\p{N}_])"
 
 _EDGE = r"\p{L}\p{M}\p{N}_"
@@ -25,10 +25,12 @@ def clean_text(col: Column, unicode: bool = False) -> Column:
 
     By default only ASCII letters count as word characters, so accented
     letters are dropped; ``unicode=True`` keeps letters of every script."""
-    col = F.regexp_replace(col, MENTION, "")
-    col = F.regexp_replace(col, URL, "")
-    col = F.regexp_replace(col, SYMBOL_UNICODE if unicode else SYMBOL_ASCII, "")
-    return F.trim(F.regexp_replace(col, r"\s{2,}", " "))
+    # Most texts hold neither a mention nor a link: a substring test spares them the pattern.
+    # Dropping a mention cannot form a new link, so both tests look at the original text.
+    spoken = F.when(F.contains(col, F.lit("@")), F.regexp_replace(col, MENTION, "")).otherwise(col)
+    linkless = F.when(F.contains(col, F.lit("http")), F.regexp_replace(spoken, URL, "")).otherwise(spoken)
+    plain = F.regexp_replace(linkless, SYMBOL_UNICODE if unicode else SYMBOL_ASCII, "")
+    return F.trim(F.regexp_replace(plain, r"\s{2,}", " "))
 
 
 def words_pattern(words: Sequence[str]) -> str:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from threadloom.catalogue import STANCE_LEXICON, SENTIMENT_LEXICON, VIDEO_BRANDS, Lexicon
 from threadloom.functions import measures, moments, text
 from threadloom.operators.dedup import latest_by
-from threadloom.operators.scoring import lexicon_sentiment, stance_of, text_model_udf
+from threadloom.operators.scoring import score_stance, score_text
 from threadloom.operators.skew import HOT_ROWS, hottest, skew_join
 
 BURST_KEYS = ["author_id", "ingestion_date"]
@@ -193,9 +193,8 @@ def group_stance(
     ).select("post_id", F.col("text").alias("post_text"))
     wanted = comments.where(~text.names_price(F.col("text")))
     joined = skew_join(wanted, eligible, ["post_id"], "inner", spread=["comment_id"], min_rows=min_hot_rows)
-    label = stance_of(F.col("text"), F.col("post_text"), load, lexicon)
     names = F.create_map(*[F.lit(v) for pair in STANCE_NAMES.items() for v in pair])
-    return joined.withColumn("_label", label).select(
+    return score_stance(joined, "text", "post_text", "_label", load, lexicon).select(
         "post_id", "post_text", "comment_id",
         text.first_tokens(F.col("text")).alias("comment_text"),
         F.when(F.col("is_reply"), F.lit(2)).otherwise(F.lit(1)).alias("comment_level"),
@@ -234,9 +233,8 @@ def video_sentiment(
 ) -> DataFrame:
     """Sentiment per (comment, brand): only texts that name the brand reach the model."""
     rows = per_brand_mention(df, brands)
-    scored = lexicon_sentiment(F.col("text"), lexicon) if load is None else text_model_udf(load)(F.col("text"))
-    return rows.withColumn("_s", scored).select(
-        "comment_id", "video_id", "text", "brand_mentioned", F.initcap("_s.label").alias("sentiment"),
+    return score_text(rows, "text", load, lexicon).select(
+        "comment_id", "video_id", "text", "brand_mentioned", F.initcap("sentiment_label").alias("sentiment"),
         F.col("author").alias("author_name"), "is_root",
         F.col("year").cast("bigint"), F.col("month").cast("bigint"),
     )
@@ -256,6 +254,6 @@ def video_stance(
     df: DataFrame, load: Callable | None = None, lexicon: Lexicon = STANCE_LEXICON, min_hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     pairs = replies_with_parents(df, min_hot_rows)
-    return pairs.withColumn("stance_label", stance_of(F.col("text"), F.col("parent_text"), load, lexicon)).select(
+    return score_stance(pairs, "text", "parent_text", "stance_label", load, lexicon).select(
         "comment_id", "video_id", "parent_id", "stance_label"
     )

@@ -140,16 +140,22 @@ FROM (
 ORDER BY total_mentions DESC, primary_brand
 """
 
+# One pass over the facts: a post contributes its score with its first brand
+# (or with none), and a mention with each brand.
 AUTHOR_INFLUENCE_SQL = """
-WITH stats AS (
-  SELECT author_id, author_username, count(*) AS posts, round(avg(engagement_score), 4) AS engagement
-  FROM {fact_posts} WHERE engagement_score IS NOT NULL GROUP BY author_id, author_username
-), mentions AS (
-  SELECT author_id, brand, count(*) AS n FROM {fact_posts} LATERAL VIEW explode(all_brands) b AS brand
-  GROUP BY author_id, brand
+WITH parts AS (
+  SELECT author_id, author_username, brand, count(brand) AS mentions,
+    count(CASE WHEN coalesce(place, 0) = 0 THEN engagement_score END) AS posts,
+    sum(CASE WHEN coalesce(place, 0) = 0 THEN engagement_score END) AS score
+  FROM {fact_posts} LATERAL VIEW OUTER posexplode(all_brands) b AS place, brand
+  GROUP BY author_id, author_username, brand
+), stats AS (
+  SELECT author_id, author_username, sum(posts) AS posts, round(sum(score) / sum(posts), 4) AS engagement
+  FROM parts GROUP BY author_id, author_username HAVING sum(posts) > 0
 ), favourite AS (
   SELECT author_id, brand FROM (
-    SELECT author_id, brand, row_number() OVER (PARTITION BY author_id ORDER BY n DESC, brand) AS place FROM mentions
+    SELECT author_id, brand, row_number() OVER (PARTITION BY author_id ORDER BY sum(mentions) DESC, brand) AS place
+    FROM parts WHERE brand IS NOT NULL GROUP BY author_id, brand
   ) WHERE place = 1
 ), leaders AS (
   SELECT f.brand, s.author_username, s.posts, s.engagement

@@ -29,21 +29,33 @@ def lexicon_pattern(words: Sequence[str], whole_words: bool) -> str:
     return rf"(?<![\p{{L}}\p{{N}}_])(?:{alternatives})(?![\p{{L}}\p{{N}}_])"
 
 
-def _hits(col: Column, words: Sequence[str], whole_words: bool) -> Column:
-    return F.regexp_count(F.lower(F.coalesce(col, F.lit(""))), F.lit(lexicon_pattern(words, whole_words)))
+def _hits(folded: Column, words: Sequence[str], whole_words: bool) -> Column:
+    return F.regexp_count(folded, F.lit(lexicon_pattern(words, whole_words)))
 
 
-def lexicon_sentiment(col: Column, lexicon: Lexicon = SENTIMENT_LEXICON) -> Column:
-    """``struct(label, score)``: the side with more hits, and its share of all hits (1 without hits)."""
-    pos = _hits(col, lexicon.positive, lexicon.whole_words)
-    neg = _hits(col, lexicon.negative, lexicon.whole_words)
+def _count_hits(df: DataFrame, text_col: str, lexicon: Lexicon) -> DataFrame:
+    """Adds ``_pos`` and ``_neg``. Columns of their own, so that each pattern runs
+    once per text however often the counts are used."""
+    folded = df.withColumn("_folded", F.lower(F.coalesce(F.col(text_col), F.lit(""))))
+    return folded.withColumns({
+        "_pos": _hits(F.col("_folded"), lexicon.positive, lexicon.whole_words),
+        "_neg": _hits(F.col("_folded"), lexicon.negative, lexicon.whole_words),
+    }).drop("_folded")
+
+
+def with_lexicon_sentiment(df: DataFrame, text_col: str, lexicon: Lexicon = SENTIMENT_LEXICON) -> DataFrame:
+    """Adds ``sentiment_label`` and ``sentiment_score``: the side with more hits,
+    and its share of all hits (1 without hits)."""
+    pos, neg = F.col("_pos"), F.col("_neg")
     label = F.when(pos > neg, "positive").when(neg > pos, "negative").otherwise("neutral")
     score = F.when(pos + neg > 0, F.greatest(pos, neg) / (pos + neg)).otherwise(F.lit(1.0))
-    return F.struct(label.alias("label"), score.cast("float").alias("score"))
+    return _count_hits(df, text_col, lexicon).withColumns(
+        {"sentiment_label": label, "sentiment_score": score.cast("float")}
+    ).drop("_pos", "_neg")
 
 
 def lexicon_text_model(lexicon: Lexicon = SENTIMENT_LEXICON) -> Callable[[], Callable]:
-    """The lexicon as a Python text model; agrees with ``lexicon_sentiment``."""
+    """The lexicon as a Python text model; agrees with ``with_lexicon_sentiment``."""
 
     def load():
         edge = r"[^\W]"
@@ -80,8 +92,9 @@ def score_text(
     lexicon: Lexicon = SENTIMENT_LEXICON,
 ) -> DataFrame:
     """Adds ``sentiment_label`` and ``sentiment_score``; the model runs once per row."""
-    scored = lexicon_sentiment(F.col(text_col), lexicon) if load is None else text_model_udf(load)(F.col(text_col))
-    return df.withColumn("_s", scored).withColumns(
+    if load is None:
+        return with_lexicon_sentiment(df, text_col, lexicon)
+    return df.withColumn("_s", text_model_udf(load)(F.col(text_col))).withColumns(
         {"sentiment_label": F.col("_s.label"), "sentiment_score": F.col("_s.score")}
     ).drop("_s")
 
@@ -142,17 +155,19 @@ def label_with_answerer(
     return labelled.drop("_s")
 
 
-def lexicon_stance(reply: Column, parent: Column, lexicon: Lexicon = STANCE_LEXICON) -> Column:
+def with_lexicon_stance(
+    df: DataFrame, reply: str, parent: str, name: str = "stance_label", lexicon: Lexicon = STANCE_LEXICON
+) -> DataFrame:
     """Stance of a reply towards its parent: the first best of agreement,
     disagreement and neutral (which scores half a hit). Without a parent text: neutral."""
-    agree = _hits(reply, lexicon.positive, lexicon.whole_words)
-    disagree = _hits(reply, lexicon.negative, lexicon.whole_words)
-    has_parent = F.trim(F.coalesce(parent, F.lit(""))) != ""
-    return (
+    agree, disagree = F.col("_pos"), F.col("_neg")
+    has_parent = F.trim(F.coalesce(F.col(parent), F.lit(""))) != ""
+    label = (
         F.when(has_parent & (agree > 0) & (agree >= disagree), "agreement")
         .when(has_parent & (disagree > 0), "disagreement")
         .otherwise("neutral")
     )
+    return _count_hits(df, reply, lexicon).withColumn(name, label).drop("_pos", "_neg")
 
 
 def pair_model_udf(load: Callable[[], Callable]):
@@ -169,7 +184,7 @@ def pair_model_udf(load: Callable[[], Callable]):
 
 
 def lexicon_pair_model(lexicon: Lexicon = STANCE_LEXICON) -> Callable[[], Callable]:
-    """The stance lexicon as a Python pair model; agrees with ``lexicon_stance``."""
+    """The stance lexicon as a Python pair model; agrees with ``with_lexicon_stance``."""
 
     def load():
         edge = r"[^\W]"
@@ -193,6 +208,11 @@ def lexicon_pair_model(lexicon: Lexicon = STANCE_LEXICON) -> Callable[[], Callab
     return load
 
 
-def stance_of(reply: Column, parent: Column, load: Callable[[], Callable] | None = None,
-              lexicon: Lexicon = STANCE_LEXICON) -> Column:
-    return lexicon_stance(reply, parent, lexicon) if load is None else pair_model_udf(load)(reply, parent)
+def score_stance(
+    df: DataFrame, reply: str, parent: str, name: str = "stance_label", load: Callable[[], Callable] | None = None,
+    lexicon: Lexicon = STANCE_LEXICON,
+) -> DataFrame:
+    """Adds the stance of one text column towards another."""
+    if load is None:
+        return with_lexicon_stance(df, reply, parent, name, lexicon)
+    return df.withColumn(name, pair_model_udf(load)(F.col(reply), F.col(parent)))

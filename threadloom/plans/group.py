@@ -99,7 +99,7 @@ def build_insights(
     staged = fresh_dir(spark, "insights")
     post_insights(contexts, answer, at, vocab).write.parquet(staged)
     fresh = spark.read.parquet(staged)
-    history = tables.read_if_present(spark, target)
+    history = tables.read_if_present(spark, target, contracts.GROUP_INSIGHT)
     if force and history is not None:
         touched = writers.touched_partitions(fresh, ["ingestion_date", "page_name"])
         others = tables.in_partitions(history, touched).join(
@@ -110,7 +110,7 @@ def build_insights(
         writers.write_table(spark.read.parquet(merged), target, ["ingestion_date", "page_name"])
     else:
         writers.write_table(fresh, target, ["ingestion_date", "page_name"], mode="append")
-    weekly = comments.agg_issue_weekly(tables.read_table(spark, target))
+    weekly = comments.agg_issue_weekly(tables.read_table(spark, target, contracts.GROUP_INSIGHT))
     writers.replace_table(weekly, f"{gold}/agg_issue_weekly", ["week_start", "model_entity"])
 
 

@@ -72,7 +72,7 @@ def build_gold(
         spark, facts, f"{gold}/fact_posts", ["tweet_id"], ["created_at_ts"], ["date", "primary_brand"]
     )
 
-    all_facts = tables.read_table(spark, f"{gold}/fact_posts")
+    all_facts = tables.read_table(spark, f"{gold}/fact_posts", contracts.FACT_POSTS)
     touched = tables.in_partitions(all_facts, facts.select("date").distinct())
     daily = contracts.conform(posts.agg_brand_daily(touched), contracts.AGG_BRAND_DAILY)
     quality.enforce(daily, quality.brand_daily_checks())

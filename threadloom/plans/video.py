@@ -34,14 +34,18 @@ def build_silver(spark: SparkSession, bronze: str, silver: str, video_id: str) -
     clean.write.parquet(staged)
     clean = spark.read.parquet(staged)
     quality.enforce(clean, quality.video_comment_checks())
-    writers.write_table(clean, silver, ["video_id", "year", "month"])
+    writers.write_table(contracts.conform(clean, contracts.SILVER_VIDEO_COMMENT), silver, ["video_id", "year", "month"])
+
+
+def read_silver(spark: SparkSession, silver: str, video_id: str) -> DataFrame:
+    return tables.read_entity(spark, silver, video_id, schema=contracts.SILVER_VIDEO_COMMENT)
 
 
 def build_sentiment(
     spark: SparkSession, silver: str, target: str, video_id: str, load: Callable | None = None,
     lexicon: Lexicon = SENTIMENT_LEXICON, brands=VIDEO_BRANDS,
 ) -> None:
-    rows = comments.video_sentiment(tables.read_entity(spark, silver, video_id), brands, load, lexicon)
+    rows = comments.video_sentiment(read_silver(spark, silver, video_id), brands, load, lexicon)
     writers.write_table(contracts.conform(rows, contracts.COMMENT_SENTIMENT), target, ["video_id", "year", "month"])
 
 
@@ -49,7 +53,7 @@ def build_stance(
     spark: SparkSession, silver: str, target: str, video_id: str, load: Callable | None = None,
     lexicon: Lexicon = STANCE_LEXICON,
 ) -> None:
-    rows = comments.video_stance(tables.read_entity(spark, silver, video_id), load, lexicon)
+    rows = comments.video_stance(read_silver(spark, silver, video_id), load, lexicon)
     writers.write_table(contracts.conform(rows, contracts.COMMENT_STANCE), target, ["video_id"])
 
 
@@ -62,7 +66,8 @@ def build_threads(
         known = tables.read_or_empty(spark, insight_table, contracts.THREAD_INSIGHT)
         done = known.where(F.col("video_id") == video_id).select("video_id", "thread_id")
     documents = threads.build_threads(
-        tables.read_entity(spark, sentiment, video_id), tables.read_entity(spark, stance, video_id), min_replies, done
+        tables.read_entity(spark, sentiment, video_id, schema=contracts.COMMENT_SENTIMENT),
+        tables.read_entity(spark, stance, video_id, schema=contracts.COMMENT_STANCE), min_replies, done,
     )
     writers.write_threads(documents, target)
 

@@ -16,7 +16,7 @@ from threadloom.operators import insights as I
 from threadloom.operators import reports as R
 from threadloom.operators import runs as U
 from threadloom.operators.dedup import duplicate_keys, duplicate_summary, latest_by
-from threadloom.operators.scoring import label_with_answerer, lexicon_sentiment
+from threadloom.operators.scoring import label_with_answerer, score_text
 from threadloom.plans import group, video
 from threadloom.registry import adapters as a
 from threadloom.registry import sqltext as s
@@ -395,7 +395,7 @@ LABELLED = f"l AS (SELECT *, {s.label('text')} AS predicted FROM {a.duck(a.LABEL
 
 
 def predicted(t: Tables):
-    return t.view(a.LABELLED).withColumn("predicted", lexicon_sentiment(F.col("text"), a.LEXICON)["label"])
+    return score_text(t.view(a.LABELLED), lexicon=a.LEXICON).withColumnRenamed("sentiment_label", "predicted")
 
 
 @case("eval_01_split", """SELECT doc_id, CASE WHEN CAST('0x' || substr(md5('42:' || cast(doc_id AS string)), 1, 8) AS BIGINT) % 100 < 80

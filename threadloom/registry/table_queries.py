@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.operators import posts as P
-from threadloom.operators.scoring import lexicon_sentiment
+from threadloom.operators.scoring import score_text
 from threadloom.plans import group, short_posts, video
 from threadloom.registry import adapters as a
 from threadloom.registry import sqltext as s
@@ -137,8 +137,7 @@ def json_lines(t: Tables):
 @case("src_13_labelled_csv", f"SELECT text, {s.label('text')} AS sentiment_label FROM documents")
 def labelled_csv(t: Tables):
     path = fresh_dir(t.spark, "csv")
-    label = lexicon_sentiment(F.col("text"), a.LEXICON)["label"]
-    writers.write_text_csv(t.table("documents").select("text", label.alias("sentiment_label")), path)
+    writers.write_text_csv(score_text(t.table("documents"), lexicon=a.LEXICON).select("text", "sentiment_label"), path)
     return tables.read_labelled_csv(t.spark, path)
 
 

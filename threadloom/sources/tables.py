@@ -8,6 +8,7 @@ from datetime import date
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from threadloom.contracts import RAW, THREAD_DOCUMENT, struct_of
 
@@ -83,8 +84,13 @@ def read_latest_bronze(spark: SparkSession, path: str, dataset: str) -> DataFram
     return only_partition(with_partitions(spark, path, dataset), newest).drop(*DAY_LEVELS)
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_table(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:
+    """A Parquet table. With a schema, partition values keep its types: page or
+    video names that look like numbers stay text."""
+    reader = spark.read
+    if schema is not None:
+        reader = reader.schema(struct_of(schema) if isinstance(schema, str) else schema)
+    return reader.parquet(path)
 
 
 def read_latest(spark: SparkSession, path: str, levels: Sequence[str] = DAY_LEVELS) -> DataFrame:
@@ -102,24 +108,26 @@ def read_day(spark: SparkSession, path: str, day: date | str, column: str = "ing
     return read_table(spark, path).where(F.col(column) == F.lit(day).cast("date"))
 
 
-def read_entity(spark: SparkSession, path: str, entity: str, column: str = "video_id") -> DataFrame:
-    return read_table(spark, path).where(F.col(column) == entity)
+def read_entity(
+    spark: SparkSession, path: str, entity: str, column: str = "video_id", schema: str | None = None
+) -> DataFrame:
+    return read_table(spark, path, schema).where(F.col(column) == entity)
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The table, or an empty one of that schema if nothing has been written yet."""
     try:
-        return read_table(spark, path)
+        return read_table(spark, path, schema)
     except AnalysisException as e:
         if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
         return spark.createDataFrame([], struct_of(schema))
 
 
-def read_if_present(spark: SparkSession, path: str) -> DataFrame | None:
+def read_if_present(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame | None:
     """For reports: all files under a prefix, or None."""
     try:
-        return read_table(spark, path)
+        return read_table(spark, path, schema)
     except AnalysisException as e:
         if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise

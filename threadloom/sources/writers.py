@@ -88,12 +88,10 @@ def merge_partitions(
     shared folder, so that a lost executor cannot make Spark re-read files that
     the overwrite has already replaced."""
     columns = list(partition_cols)
-    target = read_if_present(spark, path)
+    target = read_if_present(spark, path, batch.schema)
     if target is not None:
         kept = in_partitions(target, touched_partitions(batch, columns))
-        types = {f.name: f.dataType for f in batch.schema.fields}
-        kept = kept.select(*[F.col(c).cast(types[c]).alias(c) for c in batch.columns])
-        batch = batch.unionByName(kept)
+        batch = batch.unionByName(kept.select(*batch.columns))
     merged = latest_by(batch, [*columns, *keys], order)
     staging = fresh_dir(spark, "merge")
     merged.write.parquet(staging)

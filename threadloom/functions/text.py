@@ -79,15 +79,16 @@ def surrogate_key(*cols: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", *cols), 256), 1, 16)
 
 
-def keyword_match(text: Column, tags: Column, keywords: Sequence[str]) -> Column:
+def fold_tags(tags: Column) -> Column:
+    """Lower-cased tags without NULLs; NULL gives an empty array."""
+    return F.transform(F.coalesce(F.array_compact(tags), F.array().cast("array<string>")), F.lower)
+
+
+def keyword_match(folded_text: Column, folded_tags: Column, keywords: Sequence[str]) -> Column:
     """A keyword is a substring of the lower-cased text or equals a lower-cased tag."""
-    folded = F.lower(text)
-    hit = F.arrays_overlap(
-        F.transform(F.coalesce(F.array_compact(tags), F.array().cast("array<string>")), F.lower),
-        F.array(*[F.lit(k) for k in keywords]),
-    )
+    hit = F.arrays_overlap(folded_tags, F.array(*[F.lit(k) for k in keywords]))
     for keyword in keywords:
-        hit = hit | F.coalesce(F.contains(folded, F.lit(keyword)), F.lit(False))
+        hit = hit | F.coalesce(F.contains(folded_text, F.lit(keyword)), F.lit(False))
     return hit
 
 

@@ -11,7 +11,7 @@ from threadloom.catalogue import STANCE_LEXICON, SENTIMENT_LEXICON, VIDEO_BRANDS
 from threadloom.functions import measures, moments, text
 from threadloom.operators.dedup import latest_by
 from threadloom.operators.scoring import score_stance, score_text
-from threadloom.operators.skew import HOT_ROWS, hottest, skew_join
+from threadloom.operators.skew import HOT_ROWS, hot_keys, hottest, skew_join
 
 BURST_KEYS = ["author_id", "ingestion_date"]
 # Model label -> stored stance.
@@ -62,7 +62,7 @@ def flatten_comment_tree(
         lambda r: _node(r, F.col("post_id"), F.col("root.comment_id"), True),
     )
     nodes = roots.select(
-        "post_id", "page_name", "ingestion_date", F.explode(F.concat(F.array("root"), replies)).alias("n")
+        "post_id", "page_name", "ingestion_date", F.explode_outer(F.concat(F.array("root"), replies)).alias("n")
     )
     flat = nodes.select(
         "n.comment_id", "post_id", "page_name", "n.author_id", "n.author_name", "n.author_url", "n.text",
@@ -183,6 +183,7 @@ def group_stance(
     Partitions (ingestion_date, page_name) in ``processed`` are skipped and
     price comments dropped. ``comment_text`` stores the first 50 tokens; the
     model sees the whole comment."""
+    hot_posts = hot_keys(comments, ["post_id"], min_hot_rows)  # from the key column alone, before any text is read
     if processed is not None:
         partition = ["ingestion_date", "page_name"]
         done = processed.select(*partition).distinct()
@@ -192,7 +193,7 @@ def group_stance(
         & ~text.is_blank(F.col("text"))
     ).select("post_id", F.col("text").alias("post_text"))
     wanted = comments.where(~text.names_price(F.col("text")))
-    joined = skew_join(wanted, eligible, ["post_id"], "inner", spread=["comment_id"], min_rows=min_hot_rows)
+    joined = skew_join(wanted, eligible, ["post_id"], "inner", spread=["comment_id"], hot=hot_posts)
     names = F.create_map(*[F.lit(v) for pair in STANCE_NAMES.items() for v in pair])
     return score_stance(joined, "text", "post_text", "_label", load, lexicon).select(
         "post_id", "post_text", "comment_id",
@@ -225,7 +226,9 @@ def per_brand_mention(df: DataFrame, brands=VIDEO_BRANDS) -> DataFrame:
     named = F.array_compact(F.array(*[
         F.when(text.mentions_any(F.col("text"), words), F.lit(name)) for name, words in brands
     ]))
-    return df.withColumn("brand_mentioned", F.explode(named)).withColumn("is_root", F.col("parent_id").isNull())
+    # The outer form keeps Spark from testing the array, and so the patterns, a second time.
+    rows = df.withColumn("brand_mentioned", F.explode_outer(named)).where(F.col("brand_mentioned").isNotNull())
+    return rows.withColumn("is_root", F.col("parent_id").isNull())
 
 
 def video_sentiment(

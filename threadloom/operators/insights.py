@@ -62,7 +62,7 @@ def parse_answers(
 
     if strict:
         items = F.when(F.forall(items, lambda i: i.isNull() | count(i).isNotNull()), items)
-    rows = df.select(*keep, F.posexplode(items).alias("pos", "i")).where(F.col("i").isNotNull())
+    rows = df.select(*keep, F.posexplode_outer(items).alias("pos", "i")).where(F.col("i").isNotNull())
     folded = (lambda c: F.lower(c)) if vocab.fold_case else (lambda c: c)
     aspect = folded(F.regexp_replace(F.coalesce("i.aspect", F.lit("")), r"^\s+|\s+$", ""))
     typed = rows.select(

@@ -95,14 +95,16 @@ def silver_posts(raw: DataFrame, unicode: bool = False, honour_offset: bool = Fa
 
 
 def tag_brands(df: DataFrame, brands: Sequence[Brand] = BRANDS) -> DataFrame:
-    """``all_brands`` in catalogue order, and the first of them (or "Unknown")."""
+    """``all_brands`` in catalogue order, and the first of them (or "Unknown").
+
+    Text and tags are lower-cased once, in columns of their own."""
+    folded = df.withColumns({"_text": F.lower("text"), "_tags": text.fold_tags(F.col("hashtags"))})
     found = F.array_compact(F.array(*[
-        F.when(text.keyword_match(F.col("text"), F.col("hashtags"), b.keywords), F.lit(b.name))
-        for b in brands
+        F.when(text.keyword_match(F.col("_text"), F.col("_tags"), b.keywords), F.lit(b.name)) for b in brands
     ]))
-    return df.withColumn("all_brands", found).withColumn(
+    return folded.withColumn("all_brands", found).withColumn(
         "primary_brand", F.coalesce(F.get("all_brands", F.lit(0)), F.lit("Unknown"))
-    )
+    ).drop("_text", "_tags")
 
 
 def add_analytics(
@@ -165,12 +167,14 @@ def dim_authors(
 def agg_brand_daily(df: DataFrame) -> DataFrame:
     """Mentions, labels, averages, top author and share of voice per day, brand and language.
 
+    The brands are unpacked with the outer form: a plain explode would have Spark
+    test them for emptiness first and so clean and tag every text twice.
     Share of voice divides by all mentions of the day and language, so a post
     that names two brands counts twice; its window holds one row per brand."""
     label = F.lower("sentiment_label")
     daily = (
         df.select(
-            F.to_date("created_at_ts").alias("date"), F.explode("all_brands").alias("brand_name"),
+            F.to_date("created_at_ts").alias("date"), F.explode_outer("all_brands").alias("brand_name"),
             F.coalesce("lang", F.lit("unknown")).alias("lang"),
             label.alias("label"), "sentiment_score", "engagement_score", "is_viral", "author_id",
         )

@@ -1,4 +1,8 @@
-"""Landed API pages and HTML -> records. One raw document per row; nothing is fetched here."""
+"""Landed API pages and HTML -> records. One raw document per row; nothing is fetched here.
+
+Parsed arrays are unpacked with the outer explode and empty rows dropped
+afterwards: for a plain explode Spark would push an emptiness test below, and so
+parse every document twice."""
 
 from __future__ import annotations
 
@@ -59,7 +63,9 @@ def flatten_comment_threads(pages: DataFrame, reply_pages: DataFrame) -> DataFra
     ``reply_pages`` (parent_id, raw) the separately fetched ones, used where a
     thread announces more replies than it carries inline. Fetched replies stay
     rows of their own and are never gathered per thread."""
-    threads = pages.select("video_id", F.explode(F.from_json("raw", THREAD_PAGE)["items"]).alias("t"))
+    threads = pages.select("video_id", F.explode_outer(F.from_json("raw", THREAD_PAGE)["items"]).alias("t")).where(
+        "t is not null"
+    )
     inline = F.coalesce(F.col("t.replies.comments"), F.array())
     incomplete = F.coalesce(F.col("t.snippet.totalReplyCount"), F.lit(0)) > F.size(inline)
 
@@ -74,7 +80,7 @@ def flatten_comment_threads(pages: DataFrame, reply_pages: DataFrame) -> DataFra
     root = row(F.col("t.id"), F.lit(None), F.col("t.snippet.topLevelComment.snippet"))
     replies = F.transform(inline, lambda r: row(r["id"], F.col("t.id"), r["snippet"]))
     carried = threads.select(
-        "video_id", F.explode(F.concat(F.array(root), F.when(incomplete, F.array()).otherwise(replies))).alias("c")
+        "video_id", F.explode_outer(F.concat(F.array(root), F.when(incomplete, F.array()).otherwise(replies))).alias("c")
     ).select("video_id", "c.*")
 
     wanted = threads.where(incomplete).select("video_id", F.col("t.id").alias("thread_id"))
@@ -82,8 +88,8 @@ def flatten_comment_threads(pages: DataFrame, reply_pages: DataFrame) -> DataFra
         reply_pages.select(F.col("parent_id").alias("thread_id"), "raw"), wanted, ["thread_id"], "inner", spread=["raw"]
     )
     fetched = answers.select(
-        "video_id", "thread_id", F.explode(F.from_json("raw", REPLY_PAGE)["items"]).alias("r")
-    ).select(
+        "video_id", "thread_id", F.explode_outer(F.from_json("raw", REPLY_PAGE)["items"]).alias("r")
+    ).where("r is not null").select(
         "video_id", row(F.col("r.id"), F.col("thread_id"), F.col("r.snippet")).alias("c")
     ).select("video_id", "c.*")
     return carried.unionByName(fetched)
@@ -94,7 +100,7 @@ def normalize_search_pages(pages: DataFrame, post_schema: str, limit: int) -> Da
     page order, and of those the first ``limit``, the requested number of posts.
     Posts without id are skipped."""
     items = pages.select(
-        "page_no", F.posexplode(F.from_json("raw", f"struct<tweets array<struct<{post_schema}>>>")["tweets"])
+        "page_no", F.posexplode_outer(F.from_json("raw", f"struct<tweets array<struct<{post_schema}>>>")["tweets"])
     ).select("page_no", F.col("pos").alias("_pos"), "col.*").where(F.coalesce("id", F.lit("")) != "")
     unique = earliest_by(items, ["id"], ["page_no", "_pos"])
     return unique.orderBy("page_no", "_pos").limit(limit).drop("_pos")
@@ -111,7 +117,7 @@ def extract_group_feed(blocks: DataFrame, limit: int | None = None, min_comments
     many = F.transform(F.coalesce(F.col("n.group_feed.edges"), F.array()), lambda e: e["node"])
     stories = parsed.select(
         "group_id", "block_no",
-        F.posexplode(F.when(F.col("n.__typename") == "Group", many).otherwise(one)).alias("pos", "s"),
+        F.posexplode_outer(F.when(F.col("n.__typename") == "Group", many).otherwise(one)).alias("pos", "s"),
     ).where(F.col("s.__typename") == "Story")
 
     context = "s.comet_sections.feedback.story.story_ufi_container.story.feedback_context"
@@ -164,7 +170,8 @@ def comment_rows(pages: DataFrame) -> DataFrame:
     """Comments of comment pages (feedback_id, page_no, raw), one row each, with
     their position and the post address without its query."""
     edges = F.from_json("raw", COMMENT_PAGE)["data"]["node"]["comment_rendering_instance_for_feed_location"]
-    rows = pages.select("feedback_id", "page_no", F.posexplode(edges["comments"]["edges"]["node"]).alias("pos", "n"))
+    rows = pages.select("feedback_id", "page_no", F.posexplode_outer(edges["comments"]["edges"]["node"]).alias("pos", "n"))
+    rows = rows.where("n is not null")
     url = F.coalesce("n.feedback.url", F.lit(""))
     trimmed = F.concat(F.regexp_replace(F.substring_index(url, "?", 1), "/+$", ""), F.lit("/"))
     return rows.select(
@@ -176,7 +183,9 @@ def comment_rows(pages: DataFrame) -> DataFrame:
 def reply_rows(pages: DataFrame) -> DataFrame:
     """Replies of reply pages (comment_feedback_id, page_no, raw), one row each."""
     edges = F.from_json("raw", REPLIES_PAGE)["data"]["node"]["replies_connection"]["edges"]
-    rows = pages.select("comment_feedback_id", "page_no", F.posexplode(edges["node"]).alias("pos", "n"))
+    rows = pages.select("comment_feedback_id", "page_no", F.posexplode_outer(edges["node"]).alias("pos", "n")).where(
+        "n is not null"
+    )
     return rows.select("comment_feedback_id", "page_no", "pos", *_person(F.col("n")))
 
 

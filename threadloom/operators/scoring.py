@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -30,7 +31,12 @@ def lexicon_pattern(words: Sequence[str], whole_words: bool) -> str:
 
 
 def _hits(folded: Column, words: Sequence[str], whole_words: bool) -> Column:
-    return F.regexp_count(folded, F.lit(lexicon_pattern(words, whole_words)))
+    count = F.regexp_count(folded, F.lit(lexicon_pattern(words, whole_words)))
+    if not whole_words:
+        return count
+    # Whole words are rare: a substring test spares most texts the pattern.
+    present = reduce(lambda a, b: a | b, [F.contains(folded, F.lit(w)) for w in words])
+    return F.when(present, count).otherwise(F.lit(0))
 
 
 def _count_hits(df: DataFrame, text_col: str, lexicon: Lexicon) -> DataFrame:

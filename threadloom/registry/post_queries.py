@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from threadloom.contracts import FACT_POSTS, conform
 from threadloom.functions.measures import ratio
 from threadloom.functions.moments import parse_legacy_timestamp as parse
-from threadloom.functions.text import clean_text, keyword_match
+from threadloom.functions.text import clean_text, fold_tags, keyword_match
 from threadloom.operators import posts as P
 from threadloom.operators import quality as Q
 from threadloom.operators.quality import drop_funnel
@@ -181,7 +181,7 @@ def influence(t: Tables):
   FROM silver""")
 def keywords(t: Tables):
     return silver(t).select("id", *[
-        keyword_match(F.col("text"), F.col("hashtags"), b.keywords).alias(b.name.lower()) for b in a.BRANDS
+        keyword_match(F.lower("text"), fold_tags(F.col("hashtags")), b.keywords).alias(b.name.lower()) for b in a.BRANDS
     ])
 
 

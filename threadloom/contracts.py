@@ -41,6 +41,26 @@ RAW_GROUP_POST = (
 )
 RAW = {"posts": RAW_POST, "video": RAW_VIDEO_COMMENT, "group": RAW_GROUP_POST}
 
+# Cleaned (silver) tables.
+_FLAT_TEXTS = ", ".join(f"{c} string" for c in (
+    "id", "type", "url", "text", "source", "lang", "createdAt", "conversationId", "inReplyToId",
+    "inReplyToUserId", "inReplyToUsername", "author_id", "author_username", "author_createdAt", "ingestion_date"))
+SILVER_POST = (
+    f"{_FLAT_TEXTS}, retweetCount bigint, replyCount bigint, likeCount bigint, quoteCount bigint,"
+    " author_is_blue_verified boolean, author_followers int, author_following int, author_statuses_count int,"
+    " hashtags array<string>, mentioned_user_ids array<string>, created_at_ts timestamp,"
+    " author_created_at_ts timestamp, tweet_hour int, tweet_day_of_week int, year int, month int, day int,"
+    " is_reply boolean, is_retweet boolean, hashtag_count int, mention_count int"
+)
+SILVER_GROUP_POST = (
+    "post_id string, source_type string, page_name string, text string, comment_count int, permalink string,"
+    " ingestion_date date"
+)
+SILVER_GROUP_COMMENT = (
+    "comment_id string, post_id string, page_name string, author_id string, author_name string,"
+    " author_url string, text string, reaction_count int, parent_comment_id string, is_reply boolean,"
+    " ingestion_date date"
+)
 SILVER_VIDEO_COMMENT = (
     f"video_id string, {RAW_VIDEO_COMMENT}, published_at_ts timestamp, comment_hour int,"
     " comment_day_of_week int, year int, month int, day int"
@@ -71,6 +91,10 @@ AGG_AUTHOR_PERF = (
     "author_id string not null, total_tweets bigint, avg_engagement double, viral_tweet_count bigint,"
     " top_brands array<string>, dominant_sentiment string"
 )
+DIM_GROUP_POSTS = (
+    "post_id string, page_name string, source_type string, text string, text_preview string,"
+    " comment_count int, sentiment_label string, ingestion_date date, permalink string"
+)
 COMMENT_SENTIMENT = (
     "comment_id string, video_id string, text string, brand_mentioned string, sentiment string,"
     " author_name string, is_root boolean, year bigint, month bigint"

@@ -41,6 +41,16 @@ def build_silver(spark: SparkSession, bronze: str, silver: str, incremental: boo
         writers.replace_table(rows.hint("rebalance", *day), f"{silver}/comments", day)
 
 
+def read_posts(spark: SparkSession, silver: str, day: str | None = None) -> DataFrame:
+    rows = tables.read_table(spark, f"{silver}/posts", contracts.SILVER_GROUP_POST)
+    return rows if day is None else rows.where(F.col("ingestion_date") == F.lit(day).cast("date"))
+
+
+def read_comments(spark: SparkSession, silver: str, day: str | None = None) -> DataFrame:
+    rows = tables.read_table(spark, f"{silver}/comments", contracts.SILVER_GROUP_COMMENT)
+    return rows if day is None else rows.where(F.col("ingestion_date") == F.lit(day).cast("date"))
+
+
 def label_posts(posts: DataFrame, load: Callable | None = None, lexicon: Lexicon = SENTIMENT_LEXICON) -> DataFrame:
     """Posts with a label; posts without text stay, unlabelled."""
     return score_present_text(posts, load=load, lexicon=lexicon)
@@ -53,9 +63,7 @@ def build_gold(
     """Comment facts, the daily page aggregate and the post dimension; for one
     ``day`` only its facts and aggregate rows are replaced, the dimension is rebuilt."""
     silver, gold = silver.rstrip("/"), gold.rstrip("/")
-    rows = tables.read_table(spark, f"{silver}/comments") if day is None else tables.read_day(
-        spark, f"{silver}/comments", day
-    )
+    rows = read_comments(spark, silver, day)
     quality.enforce(rows, quality.silver_group_comment_checks())
     staged = fresh_dir(spark, "comments")
     score_text(comments.enrich_group_comments(rows, limit=burst), load=load, lexicon=lexicon).write.parquet(staged)
@@ -66,7 +74,7 @@ def build_gold(
     quality.enforce(daily, quality.page_daily_checks())
     writers.write_table(facts, f"{gold}/fact_comments", ["date", "page_name"])
     writers.write_table(daily, f"{gold}/agg_page_daily", ["date"])
-    dimension = comments.dim_group_posts(label_posts(tables.read_table(spark, f"{silver}/posts"), load, lexicon))
+    dimension = comments.dim_group_posts(label_posts(read_posts(spark, silver), load, lexicon))
     writers.replace_table(dimension, f"{gold}/dim_posts")
 
 
@@ -93,8 +101,7 @@ def build_insights(
     target = f"{gold}/post_insights"
     done = None if force else tables.read_or_empty(spark, target, contracts.GROUP_INSIGHT).select("post_id")
     contexts = threads.build_post_contexts(
-        tables.read_day(spark, f"{silver}/posts", day), tables.read_day(spark, f"{silver}/comments", day),
-        min_comments, done,
+        read_posts(spark, silver, day), read_comments(spark, silver, day), min_comments, done
     )
     staged = fresh_dir(spark, "insights")
     post_insights(contexts, answer, at, vocab).write.parquet(staged)
@@ -122,7 +129,7 @@ def build_stance(
     silver, gold = silver.rstrip("/"), gold.rstrip("/")
     target = f"{gold}/comment_stance"
     rows = comments.group_stance(
-        tables.read_day(spark, f"{silver}/comments", day), tables.read_table(spark, f"{gold}/dim_posts"),
+        read_comments(spark, silver, day), tables.read_table(spark, f"{gold}/dim_posts", contracts.DIM_GROUP_POSTS),
         tables.read_or_empty(spark, target, contracts.GROUP_STANCE), load, lexicon,
     )
     staged = fresh_dir(spark, "stance")

@@ -32,7 +32,7 @@ def build_silver(spark: SparkSession, bronze: str, silver: str, incremental: boo
 
 def merge_silver(spark: SparkSession, raw: DataFrame, silver: str, replace: bool = False) -> None:
     staged = fresh_dir(spark, "silver")
-    posts.silver_posts(raw).write.parquet(staged)
+    contracts.conform(posts.silver_posts(raw), contracts.SILVER_POST).write.parquet(staged)
     clean = spark.read.parquet(staged)
     quality.enforce(clean, quality.post_checks())
     if replace:
@@ -59,8 +59,8 @@ def build_gold(
     aggregate of the days this touches, author and brand dimensions, and author
     performance over the last ``window_days``."""
     gold = gold.rstrip("/")
-    everything = tables.read_table(spark, silver)
-    new = tables.read_latest(spark, silver) if latest_only else everything
+    everything = tables.read_table(spark, silver, contracts.SILVER_POST)
+    new = tables.read_latest(spark, silver, schema=contracts.SILVER_POST) if latest_only else everything
     enriched = posts.add_analytics(new, brands, as_of, viral_threshold)
     quality.enforce(enriched, quality.analytics_checks())
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadloom import contracts
 from threadloom.operators import posts as P
 from threadloom.operators.scoring import score_text
 from threadloom.plans import group, short_posts, video
@@ -286,7 +287,8 @@ def stance_job(t: Tables):
     group.build_gold(t.spark, path, gold_path, lexicon=a.LEXICON, burst=BURST)
     for _ in range(2):
         group.build_stance(t.spark, path, gold_path, "2024-01-04", lexicon=a.STANCE)
-    return tables.read_table(t.spark, f"{gold_path}/comment_stance").select("comment_id", "stance", "comment_level")
+    stances = tables.read_or_empty(t.spark, f"{gold_path}/comment_stance", contracts.GROUP_STANCE)
+    return stances.select("comment_id", "stance", "comment_level")
 
 
 def video_tables(t: Tables) -> str:

@@ -93,8 +93,10 @@ def read_table(spark: SparkSession, path: str, schema: str | T.StructType | None
     return reader.parquet(path)
 
 
-def read_latest(spark: SparkSession, path: str, levels: Sequence[str] = DAY_LEVELS) -> DataFrame:
-    return only_partition(read_table(spark, path), latest_partition(spark, path, levels), levels)
+def read_latest(
+    spark: SparkSession, path: str, levels: Sequence[str] = DAY_LEVELS, schema: str | None = None
+) -> DataFrame:
+    return only_partition(read_table(spark, path, schema), latest_partition(spark, path, levels), levels)
 
 
 def read_window(df: DataFrame, column: str, days: int, as_of: date | str | Column | None = None) -> DataFrame:
@@ -103,9 +105,11 @@ def read_window(df: DataFrame, column: str, days: int, as_of: date | str | Colum
     return df.where(F.col(column) >= F.date_sub(end, days))
 
 
-def read_day(spark: SparkSession, path: str, day: date | str, column: str = "ingestion_date") -> DataFrame:
+def read_day(
+    spark: SparkSession, path: str, day: date | str, column: str = "ingestion_date", schema: str | None = None
+) -> DataFrame:
     """One day's partition. Filtering the table root keeps the partition column."""
-    return read_table(spark, path).where(F.col(column) == F.lit(day).cast("date"))
+    return read_table(spark, path, schema).where(F.col(column) == F.lit(day).cast("date"))
 
 
 def read_entity(

@@ -180,13 +180,13 @@ def test_evaluation(spark):
 ])
 def test_post_text(spark, page, text):
     df = spark.createDataFrame([(page,)], "html string")
-    assert df.select(W.extract_post_text(F.col("html")).alias("t")).head()["t"] == text
+    assert W.with_post_text(df).head()["post_text"] == text
 
 
 def test_post_text_of_long_escaped_messages(spark):
     body = "\\u1ea3n " * 50_000
     df = spark.createDataFrame([('{"message":{"text":"' + body + '","ranges":[]}}',)], "html string")
-    got = df.select(W.extract_post_text(F.col("html")).alias("t")).head()["t"]
+    got = W.with_post_text(df).head()["post_text"]
     assert got == ("ản " * 50_000).strip()
 
 

@@ -294,14 +294,19 @@ def _message(page: Column, end: str, min_tokens: int) -> Column:
     return F.when(F.length(stripped) > MIN_TEXT, stripped)
 
 
-def extract_post_text(page: Column) -> Column:
+def with_post_text(df: DataFrame, page: str = "html", name: str = "post_text") -> DataFrame:
     """Post text of a page: the message with ranges, else a plain message, else the
-    page description, else ''."""
-    described = _unescape_html(F.nullif(F.regexp_extract(page, OG_DESCRIPTION, 1), F.lit("")))
-    return F.coalesce(
-        _message(page, MESSAGE_END_RANGES, 0), _message(page, MESSAGE_END, MIN_TEXT),
-        F.regexp_replace(described, r"^\s+|\s+$", ""), F.lit(""),
+    page description, else ''. Only pages without a message are searched for a
+    description, and only descriptions cross to Python, to be unescaped."""
+    message = F.coalesce(
+        _message(F.col(page), MESSAGE_END_RANGES, 0), _message(F.col(page), MESSAGE_END, MIN_TEXT)
     )
+    searched = df.withColumn("_message", message).withColumn(
+        "_described",
+        F.when(F.col("_message").isNull(), F.nullif(F.regexp_extract(F.col(page), OG_DESCRIPTION, 1), F.lit(""))),
+    )
+    described = F.regexp_replace(_unescape_html(F.col("_described")), r"^\s+|\s+$", "")
+    return searched.withColumn(name, F.coalesce("_message", described, F.lit(""))).drop("_message", "_described")
 
 
 def _first_match(col: Column, patterns) -> Column:

@@ -60,7 +60,7 @@ SELECT concat('p', cast(conv_id AS string)) AS post_id, concat('page', cast(conv
   concat('v', cast(conv_id % 4 AS string)) AS video_id,
   conv_id, turn, role, concat(role, '-', cast(conv_id % 40 AS string)) AS author_id, role AS author_name, text,
   cast((conv_id * 7 + turn * 5) % 23 AS int) AS reactions,
-  cast(date '2024-01-01' + cast(conv_id % 28 AS int) AS date) AS ingestion_date,
+  cast(date '2024-01-01' + cast(conv_id % 7 AS int) AS date) AS ingestion_date,
   concat('c', cast(conv_id AS string), '-', cast(turn AS string)) AS comment_id,
   CASE WHEN turn > 0 THEN concat('c', cast(conv_id AS string), '-0') END AS parent_id
 FROM {conversations}
@@ -176,7 +176,8 @@ class Tables:
 
     @cached_property
     def raw_groups(self) -> DataFrame:
-        """Posts with nested comments and replies, built from the turns of a chat (at most a few each)."""
+        """Posts with nested comments and replies. A chat of very many turns becomes several records
+        of its post, of up to 500 comments each; every comment has at most one reply."""
         node = ["author_id", "author_name", "author_url", "text", "reaction_count"]
         t = self.turns.withColumn("reaction_count", F.col("reactions").cast("string")).withColumn(
             "author_url", F.concat(F.lit("https://people.example/"), "author_id")
@@ -187,16 +188,17 @@ class Tables:
             F.collect_list(F.struct(*node)).alias("replies")
         )
         roots = rows.where("turn % 2 = 1").join(replies, ["post_id", "root_no"], "left")
-        comments = roots.groupBy("post_id").agg(
+        sizes = rows.where("turn % 2 = 1").groupBy("post_id").agg(F.count("*").alias("n"))
+        comments = roots.groupBy("post_id", F.floor(F.col("root_no") / 500).alias("part")).agg(
             F.sort_array(F.collect_list(F.struct(
                 "root_no", *node, F.lit(None).cast("string").alias("parent_comment_id"), "replies",
             ))).alias("c")
         )
-        posts = t.where("turn = 0").join(comments, "post_id", "left")
+        posts = t.where("turn = 0").join(sizes, "post_id", "left").join(comments, "post_id", "left")
         return posts.select(
             "post_id", F.lit("group").alias("source_type"), "page_name", "text",
             F.concat(F.lit("f"), "post_id").alias("feedback_id"),
-            F.coalesce(F.size("c"), F.lit(0)).alias("comment_count"),
+            F.coalesce("n", F.lit(0)).cast("int").alias("comment_count"),
             F.concat(F.lit("https://groups.example/"), "post_id").alias("permalink"),
             F.concat(F.col("ingestion_date").cast("string"), F.lit("T10:00:00Z")).alias("ingestion_date"),
             F.transform("c", lambda x: x.dropFields("root_no")).alias("comments"),

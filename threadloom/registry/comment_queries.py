@@ -458,3 +458,33 @@ def semi(t: Tables):
   '[', brand_mentioned, '] ', author_name, ': "', text, '"'), chr(10) ORDER BY place) AS conversation FROM docs GROUP BY 1""")
 def thread_prompt(t: Tables):
     return documents(t).select("thread_id", TH.format_thread(F.col("comments")).alias("conversation"))
+
+
+@case("join_07_stance_with_posts", f"""WITH {STANCE}, g AS (SELECT post_id, count(*) FILTER (stance = 'agree') AS agree_count,
+  count(*) AS total_comments FROM stance GROUP BY 1)
+SELECT g.*, d.sentiment_label, d.page_name FROM g JOIN dim d ON g.post_id = d.post_id""")
+def stance_with_posts(t: Tables):
+    counts = group_stance(t).groupBy("post_id").agg(
+        F.count_if(F.col("stance") == "agree").alias("agree_count"), F.count("*").alias("total_comments")
+    )
+    return counts.join(dim_posts(t).select("post_id", "sentiment_label", "page_name"), "post_id")
+
+
+@case("prj_20_stance_levels", f"WITH {STANCE} SELECT comment_level, stance, count(*) AS n FROM stance GROUP BY 1, 2")
+def stance_levels(t: Tables):
+    return group_stance(t).groupBy("comment_level", "stance").agg(F.count("*").alias("n"))
+
+
+@case("prj_23_optional_permalink", f"WITH {SCORED} SELECT post_id, text, comment_count FROM dim")
+def optional_permalink(t: Tables):
+    posts = C.dim_group_posts(score_present_text(group_posts(t).drop("permalink"), lexicon=a.LEXICON))
+    assert "permalink" not in posts.columns
+    return posts.select("post_id", "text", "comment_count")
+
+
+@case("set_02_union_roots_and_replies", f"""WITH {TREE} SELECT comment_id, is_reply FROM tree WHERE NOT is_reply
+  UNION ALL SELECT comment_id, is_reply FROM tree WHERE is_reply""")
+def union_roots_and_replies(t: Tables):
+    rows = tree(t)
+    roots = rows.where("not is_reply").select("is_reply", "comment_id")
+    return roots.unionByName(rows.where("is_reply").select("comment_id", "is_reply"))

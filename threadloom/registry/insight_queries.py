@@ -454,3 +454,9 @@ def distinct(t: Tables):
 @case("agg_18_quality_counters", f"""WITH {TABLE} SELECT unnest(['aspect', 'entity', 'month', 'thread_id', 'video_id', 'year']) AS column_name, 0 AS null_rows FROM (SELECT 1)""")
 def counters(t: Tables):
     return contracts.required_nulls(insight_table(t), contracts.THREAD_INSIGHT)
+
+
+@case("sort_05_largest_threads", f"""WITH {TABLE} SELECT thread_id, max(brand_comment_count) AS size FROM tbl GROUP BY 1, video_id
+  ORDER BY size DESC, video_id, thread_id LIMIT 6""")
+def largest_threads(t: Tables):
+    return R.top_threads(insight_table(t)).selectExpr("thread_id", "brand_comment_count AS size")

@@ -25,24 +25,28 @@ def _snippet():
 
 
 def thread_pages(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """One page per chat with its first two replies inline, and a reply page where there are more."""
+    """One page per chat with its first two replies inline, and reply pages of up to 100 replies."""
     reply = F.struct(F.col("comment_id").alias("id"), _snippet().alias("snippet"))
-    grouped = t.turns.groupBy("video_id", "conv_id").agg(
+    ordered = F.array_sort(F.collect_list(F.when(F.col("turn") > 0, F.struct("turn", reply.alias("r")))))
+    totals = t.turns.groupBy("conv_id").agg(F.count_if(F.col("turn") > 0).alias("total"))
+    grouped = t.turns.where("turn <= 2").groupBy("video_id", "conv_id").agg(
         F.max(F.when(F.col("turn") == 0, F.struct(F.col("comment_id").alias("id"), _snippet().alias("s")))).alias("top"),
-        F.array_sort(F.collect_list(F.when(F.col("turn") > 0, F.struct("turn", reply.alias("r"))))).alias("rs"),
-    ).withColumn("rs", F.transform("rs", lambda x: x["r"]))
+        ordered.alias("rs"),
+    ).withColumn("rs", F.transform("rs", lambda x: x["r"])).join(totals, "conv_id")
     item = F.struct(
         F.col("top.id").alias("id"),
         F.struct(
-            F.struct(F.col("top.s").alias("snippet")).alias("topLevelComment"), F.size("rs").alias("totalReplyCount")
+            F.struct(F.col("top.s").alias("snippet")).alias("topLevelComment"), F.col("total").alias("totalReplyCount")
         ).alias("snippet"),
-        F.struct(F.slice("rs", 1, 2).alias("comments")).alias("replies"),
+        F.struct(F.col("rs").alias("comments")).alias("replies"),
     )
     pages = grouped.select("video_id", F.to_json(F.struct(F.array(item).alias("items"))).alias("raw"))
-    more = grouped.select(
-        F.col("top.id").alias("parent_id"), F.to_json(F.struct(F.col("rs").alias("items"))).alias("raw")
+    more = t.turns.where("turn > 0").groupBy("parent_id", F.floor(F.col("turn") / 100).alias("page_no")).agg(
+        ordered.alias("rs")
+    )
+    return pages, more.select(
+        "parent_id", F.to_json(F.struct(F.transform("rs", lambda x: x["r"]).alias("items"))).alias("raw")
     )
-    return pages, more
 
 
 @case("prj_06_comment_threads", f"""WITH {TURNS} SELECT video_id, comment_id, parent_id, author_id AS author, text,
@@ -96,8 +100,9 @@ def _story():
 
 
 def feed_blocks(t: Tables) -> DataFrame:
-    """A block per chat: its first turn as a story, or all turns as the stories of a group."""
-    grouped = t.turns.groupBy("page_name", "conv_id").agg(
+    """Blocks of up to 50 turns of a chat: its first turn as a story, or all turns as the stories of a group."""
+    block_no = F.col("conv_id") * 1000 + F.floor(F.col("turn") / 50)
+    grouped = t.turns.where("conv_id % 2 = 1 or turn = 0").groupBy("page_name", "conv_id", block_no.alias("block_no")).agg(
         F.array_sort(F.collect_list(F.struct("turn", _story().alias("s")))).alias("ss")
     ).withColumn("ss", F.transform("ss", lambda x: x["s"]))
     one = F.to_json(F.struct(F.get("ss", F.lit(0)).alias("node")))
@@ -106,12 +111,12 @@ def feed_blocks(t: Tables) -> DataFrame:
         F.struct(F.transform("ss", lambda x: F.struct(x.alias("node"))).alias("edges")).alias("group_feed"),
     ).alias("node")))
     return grouped.select(
-        F.col("page_name").alias("group_id"), F.col("conv_id").alias("block_no"),
+        F.col("page_name").alias("group_id"), "block_no",
         F.when(F.col("conv_id") % 2 == 0, one).otherwise(many).alias("raw"),
     )
 
 
-FEED = f"""{TURNS}, story AS (SELECT page_name AS group_id, conv_id AS block_no, turn, comment_id, text, reactions,
+FEED = f"""{TURNS}, story AS (SELECT page_name AS group_id, conv_id * 1000 + turn // 50 AS block_no, turn, comment_id, text, reactions,
   CASE WHEN reactions % 2 = 0 OR reactions % 3 = 1 THEN reactions ELSE 0 END AS comment_count,
   CASE WHEN reactions % 4 = 1 THEN concat('Group ', comment_id) END AS own_name
   FROM t WHERE turn <> 5 AND (turn = 0 OR conv_id % 2 = 1)),
@@ -216,7 +221,7 @@ SELECT page_id, CASE WHEN page_id % 4 < 2 THEN CASE WHEN length(trim(title)) > 1
   WHEN page_id % 4 = 2 AND length(title) >= 5 AND title NOT LIKE '%''%' AND title NOT LIKE '%"%'
   THEN trim(regexp_replace(replace(replace(replace(title, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;?', '&', 'g')) ELSE '' END AS post_text FROM p""")
 def post_text(t: Tables):
-    return text_pages(t).select("page_id", W.extract_post_text(F.col("html")).alias("post_text"))
+    return W.with_post_text(text_pages(t)).select("page_id", "post_text")
 
 
 ADDRESS = """SELECT page_id, number, CASE page_id % 6 WHEN 0 THEN concat('https://s.example/groups/', number, '/posts/', page_id)

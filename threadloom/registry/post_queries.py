@@ -436,3 +436,58 @@ def funnel(t: Tables):
     raw = t.raw_posts
     both = P.flatten_posts(raw).unionByName(P.flatten_posts(raw.where("quoted_tweet is not null"), "quoted_tweet"))
     return drop_funnel(both, ["ingestion_date", "likeCount", "retweetCount", "url"])
+
+
+@case("join_02_author_left_joins", f"""WITH {s.ANALYTICS}, {TOP}, {DOMINANT},
+t AS (SELECT author_id, string_agg(brand, ',' ORDER BY rank) AS top_brands FROM r WHERE rank <= 5 GROUP BY 1)
+SELECT g.author_id, total_tweets, top_brands, dominant_sentiment FROM (
+  SELECT author_id, count(*) AS total_tweets FROM analytics GROUP BY 1) g
+  LEFT JOIN t ON g.author_id = t.author_id LEFT JOIN d ON g.author_id = d.author_id""")
+def author_left_joins(t: Tables):
+    rows = scored(t).select("author_id", "all_brands", "sentiment_label")
+    brands = topk_per_group(rows.selectExpr("author_id", "explode_outer(all_brands) AS brand"), ["author_id"], "brand", 5)
+    label = topk_per_group(rows, ["author_id"], "sentiment_label", 1)
+    return (
+        rows.groupBy("author_id").agg(F.count("*").alias("total_tweets"))
+        .join(collect_ranked(brands, ["author_id"], "brand", "top_brands"), "author_id", "left")
+        .join(label.selectExpr("author_id", "sentiment_label AS dominant_sentiment"), "author_id", "left")
+    )
+
+
+@case("join_08_unnest_brands", f"""WITH {s.ANALYTICS}, x AS (SELECT id, unnest(all_brands) AS brand_name FROM analytics)
+SELECT id, brand_name FROM x""")
+def unnest_brands(t: Tables):
+    facts = analytics(t)
+    return t.spark.sql("SELECT id, brand_name FROM {facts} LATERAL VIEW OUTER explode(all_brands) b AS brand_name"
+                       " WHERE brand_name IS NOT NULL", facts=facts)
+
+
+@case("join_09_favourite_brand", f"""WITH {s.ANALYTICS}, {TOP} SELECT a.author_id, a.posts, r.brand AS top_brand FROM (
+  SELECT author_id, count(*) AS posts FROM analytics GROUP BY 1) a JOIN r ON a.author_id = r.author_id AND r.rank = 1""")
+def favourite_brand(t: Tables):
+    rows = analytics(t)
+    ranked = topk_per_group(rows.selectExpr("author_id", "explode_outer(all_brands) AS brand"), ["author_id"], "brand", 1)
+    posts = rows.groupBy("author_id").agg(F.count("*").alias("posts"))
+    return posts.join(ranked.selectExpr("author_id", "brand AS top_brand"), "author_id")
+
+
+@case("win_08_rank_over_aggregate", f"WITH {s.ANALYTICS}, {TOP} SELECT author_id, brand, rank AS rn FROM r")
+def rank_over_aggregate(t: Tables):
+    return t.spark.sql("""
+      SELECT author_id, brand, row_number() OVER (PARTITION BY author_id ORDER BY count(*) DESC, brand) AS rn
+      FROM {facts} LATERAL VIEW OUTER explode(all_brands) b AS brand WHERE brand IS NOT NULL
+      GROUP BY author_id, brand""", facts=analytics(t))
+
+
+@case("flt_16_last_days_not_null", f"""WITH {s.ANALYTICS} SELECT primary_brand, count(*) AS n FROM analytics
+  WHERE CAST(created_at_ts AS DATE) >= DATE '2024-02-01' - 30 AND engagement_score IS NOT NULL GROUP BY 1""")
+def last_days(t: Tables):
+    facts = read_window(P.fact_posts(scored(t)), "date", 30, "2024-02-01").where("engagement_score is not null")
+    return facts.groupBy("primary_brand").agg(F.count("*").alias("n"))
+
+
+@case("sort_02_top_ten_authors", f"""WITH {s.ANALYTICS} SELECT author_id, round(avg(engagement_score), 4) AS e FROM analytics
+  GROUP BY 1 ORDER BY e DESC, author_id LIMIT 10""")
+def top_ten(t: Tables):
+    scores = analytics(t).groupBy("author_id").agg(F.round(F.avg("engagement_score"), 4).alias("e"))
+    return scores.orderBy(F.col("e").desc(), "author_id").limit(10)

@@ -366,3 +366,16 @@ def daily_counts(t: Tables):
         streams.daily_brand_counts(rows, "ts", "12 hours"), path, fresh_dir(t.spark, "checkpoint")
     ).awaitTermination()
     return tables.read_table(t.spark, path)
+
+
+@case("snk_08_register_partitions", f"WITH {ITEMS} SELECT {DAY} AS ingestion_date, count(*) AS n FROM items GROUP BY 1")
+def register_partitions(t: Tables):
+    path = fresh_dir(t.spark, "partitions")
+    rows = items(t).select("event_id", "ingestion_date")
+    writers.write_table(rows, path, ["ingestion_date"])
+    name = "loom_checks.parts_" + path.rsplit("-", 1)[1]
+    catalog.ensure_database(t.spark, "loom_checks", fresh_dir(t.spark, "db"))
+    catalog.register_table(t.spark, name, rows, path, ["ingestion_date"])
+    days = [{"ingestion_date": d} for d in ("2024-01-05", "2024-01-06")]
+    catalog.replace_partitions(t.spark, name, days)
+    return t.spark.table(name).groupBy("ingestion_date").agg(F.count("*").alias("n"))

@@ -16,6 +16,8 @@ SQL_SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Texts can be long: a Python batch of the default 10,000 rows may not fit a worker.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
 
 # Further settings for jobs on a cluster. Shuffles start with many partitions and

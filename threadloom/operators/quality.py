@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -89,6 +89,10 @@ def enforce(df: DataFrame, checks: Sequence[Check], unique: str | None = None) -
         raise QualityError(message)
 
 
+def enforcing(checks: Sequence[Check], unique: str | None = None) -> Callable[[DataFrame], None]:
+    return lambda df: enforce(df, checks, unique)
+
+
 def post_checks() -> list[Check]:
     return [
         Check("null_critical_fields", any_null(*CRITICAL)),

@@ -12,7 +12,6 @@ from threadloom.catalogue import GROUP_VOCABULARY, SENTIMENT_LEXICON, STANCE_LEX
 from threadloom.functions.measures import BURST_COMMENTS
 from threadloom.operators import comments, insights, quality, threads
 from threadloom.operators.scoring import score_present_text, score_text
-from threadloom.session import fresh_dir
 from threadloom.sources import tables, writers
 
 PROMPT = """Extract the opinions about the cars discussed in this group thread.
@@ -65,15 +64,14 @@ def build_gold(
     silver, gold = silver.rstrip("/"), gold.rstrip("/")
     rows = read_comments(spark, silver, day)
     quality.enforce(rows, quality.silver_group_comment_checks())
-    staged = fresh_dir(spark, "comments")
-    score_text(comments.enrich_group_comments(rows, limit=burst), load=load, lexicon=lexicon).write.parquet(staged)
-    scored = spark.read.parquet(staged)
+    scored = writers.stage(
+        spark, score_text(comments.enrich_group_comments(rows, limit=burst), load=load, lexicon=lexicon)
+    )
     facts = comments.fact_comments(scored)
-    daily = comments.agg_page_daily(scored)
     quality.enforce(facts, quality.fact_comment_checks(), unique="comment_id")
-    quality.enforce(daily, quality.page_daily_checks())
+    verify = quality.enforcing(quality.page_daily_checks())
+    writers.publish(spark, comments.agg_page_daily(scored), f"{gold}/agg_page_daily", ["date"], verify, replace=False)
     writers.write_table(facts, f"{gold}/fact_comments", ["date", "page_name"])
-    writers.write_table(daily, f"{gold}/agg_page_daily", ["date"])
     dimension = comments.dim_group_posts(label_posts(read_posts(spark, silver), load, lexicon))
     writers.replace_table(dimension, f"{gold}/dim_posts")
 
@@ -103,20 +101,18 @@ def build_insights(
     contexts = threads.build_post_contexts(
         read_posts(spark, silver, day), read_comments(spark, silver, day), min_comments, done
     )
-    staged = fresh_dir(spark, "insights")
-    post_insights(contexts, answer, at, vocab).write.parquet(staged)
-    fresh = spark.read.parquet(staged)
+    fresh = writers.stage(spark, post_insights(contexts, answer, at, vocab))
+    partition = ["ingestion_date", "page_name"]
     history = tables.read_if_present(spark, target, contracts.GROUP_INSIGHT)
     if force and history is not None:
-        touched = writers.touched_partitions(fresh, ["ingestion_date", "page_name"])
-        others = tables.in_partitions(history, touched).join(
-            fresh.select("post_id").distinct(), "post_id", "left_anti"
+        again = fresh.select("post_id").distinct()
+        others = tables.in_partitions(history, writers.touched_partitions(fresh, partition)).join(
+            again, "post_id", "left_anti"
         )
-        merged = fresh_dir(spark, "insights")
-        others.select(*fresh.columns).unionByName(fresh).write.parquet(merged)
-        writers.write_table(spark.read.parquet(merged), target, ["ingestion_date", "page_name"])
+        merged = others.select(*fresh.columns).unionByName(fresh)
+        writers.write_table(writers.stage(spark, merged), target, partition)
     else:
-        writers.write_table(fresh, target, ["ingestion_date", "page_name"], mode="append")
+        writers.write_table(fresh, target, partition, mode="append")
     weekly = comments.agg_issue_weekly(tables.read_table(spark, target, contracts.GROUP_INSIGHT))
     writers.replace_table(weekly, f"{gold}/agg_issue_weekly", ["week_start", "model_entity"])
 
@@ -132,6 +128,5 @@ def build_stance(
         read_comments(spark, silver, day), tables.read_table(spark, f"{gold}/dim_posts", contracts.DIM_GROUP_POSTS),
         tables.read_or_empty(spark, target, contracts.GROUP_STANCE), load, lexicon,
     )
-    staged = fresh_dir(spark, "stance")
-    contracts.conform(rows, contracts.GROUP_STANCE).write.parquet(staged)
-    writers.write_table(spark.read.parquet(staged), target, ["ingestion_date", "page_name"], mode="append")
+    fresh = writers.stage(spark, contracts.conform(rows, contracts.GROUP_STANCE))
+    writers.write_table(fresh, target, ["ingestion_date", "page_name"], mode="append")

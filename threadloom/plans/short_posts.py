@@ -17,7 +17,6 @@ from threadloom.functions.measures import VIRAL_THRESHOLD
 from threadloom.operators import posts, quality
 from threadloom.operators.dedup import first_seen
 from threadloom.operators.scoring import score_text
-from threadloom.session import fresh_dir
 from threadloom.sources import tables, writers
 
 SILVER_DAYS = ("year", "month", "day")
@@ -31,14 +30,12 @@ def build_silver(spark: SparkSession, bronze: str, silver: str, incremental: boo
 
 
 def merge_silver(spark: SparkSession, raw: DataFrame, silver: str, replace: bool = False) -> None:
-    staged = fresh_dir(spark, "silver")
-    contracts.conform(posts.silver_posts(raw), contracts.SILVER_POST).write.parquet(staged)
-    clean = spark.read.parquet(staged)
-    quality.enforce(clean, quality.post_checks())
+    clean = contracts.conform(posts.silver_posts(raw), contracts.SILVER_POST)
+    verify = quality.enforcing(quality.post_checks())
     if replace:
-        writers.replace_table(clean.hint("rebalance", *SILVER_DAYS), silver, SILVER_DAYS)
+        writers.publish(spark, clean, silver, SILVER_DAYS, verify)
     else:
-        writers.merge_partitions(spark, clean, silver, ["id"], SILVER_ORDER, SILVER_DAYS)
+        writers.merge_partitions(spark, clean, silver, ["id"], SILVER_ORDER, SILVER_DAYS, verify)
 
 
 def score_posts(
@@ -64,30 +61,27 @@ def build_gold(
     enriched = posts.add_analytics(new, brands, as_of, viral_threshold)
     quality.enforce(enriched, quality.analytics_checks())
 
-    staged = fresh_dir(spark, "facts")
-    score_posts(new, brands, as_of, load, lexicon, viral_threshold).write.parquet(staged)
-    facts = spark.read.parquet(staged)
-    quality.enforce(facts, quality.fact_post_checks(), unique="tweet_id")
-    writers.merge_partitions(
-        spark, facts, f"{gold}/fact_posts", ["tweet_id"], ["created_at_ts"], ["date", "primary_brand"]
+    facts = writers.merge_partitions(
+        spark, score_posts(new, brands, as_of, load, lexicon, viral_threshold), f"{gold}/fact_posts",
+        ["tweet_id"], ["created_at_ts"], ["date", "primary_brand"],
+        quality.enforcing(quality.fact_post_checks(), unique="tweet_id"),
     )
 
     all_facts = tables.read_table(spark, f"{gold}/fact_posts", contracts.FACT_POSTS)
     touched = tables.in_partitions(all_facts, facts.select("date").distinct())
     daily = contracts.conform(posts.agg_brand_daily(touched), contracts.AGG_BRAND_DAILY)
-    quality.enforce(daily, quality.brand_daily_checks())
-    writers.write_table(daily, f"{gold}/agg_brand_daily", ["date"])
+    verify = quality.enforcing(quality.brand_daily_checks())
+    writers.publish(spark, daily, f"{gold}/agg_brand_daily", ["date"], verify, replace=False)
 
     history = posts.add_analytics(everything, brands, as_of, viral_threshold)
     authors = contracts.conform(posts.dim_authors(history, brands), contracts.DIM_AUTHORS)
-    quality.enforce(authors, quality.dim_author_checks())
-    writers.replace_table(authors, f"{gold}/dim_authors")
+    writers.publish(spark, authors, f"{gold}/dim_authors", verify=quality.enforcing(quality.dim_author_checks()))
     writers.write_small_table(posts.dim_brands(spark, brands), f"{gold}/dim_brands")
 
     recent = tables.read_window(all_facts, "date", window_days, as_of)
     performance = contracts.conform(posts.agg_author_perf(recent, brands), contracts.AGG_AUTHOR_PERF)
-    quality.enforce(performance, quality.author_perf_checks())
-    writers.replace_table(performance, f"{gold}/agg_author_perf")
+    verify = quality.enforcing(quality.author_perf_checks())
+    writers.publish(spark, performance, f"{gold}/agg_author_perf", verify=verify)
 
 
 def remove_raw_duplicates(raw: DataFrame) -> DataFrame:

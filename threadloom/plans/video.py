@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from threadloom import contracts
 from threadloom.catalogue import SENTIMENT_LEXICON, STANCE_LEXICON, VIDEO_BRANDS, VIDEO_VOCABULARY, Lexicon
 from threadloom.operators import comments, insights, quality, threads
-from threadloom.session import fresh_dir
 from threadloom.sources import tables, writers
 
 PROMPT = """Extract opinions about iPhone (iOS) and Android from this comment thread.
@@ -30,11 +29,10 @@ JSON array:"""
 def build_silver(spark: SparkSession, bronze: str, silver: str, video_id: str) -> None:
     raw = tables.read_bronze(spark, bronze, "video", video_id)
     clean = comments.silver_video_comments(raw).withColumn("video_id", F.lit(video_id))
-    staged = fresh_dir(spark, "video")
-    clean.write.parquet(staged)
-    clean = spark.read.parquet(staged)
-    quality.enforce(clean, quality.video_comment_checks())
-    writers.write_table(contracts.conform(clean, contracts.SILVER_VIDEO_COMMENT), silver, ["video_id", "year", "month"])
+    writers.publish(
+        spark, contracts.conform(clean, contracts.SILVER_VIDEO_COMMENT), silver, ["video_id", "year", "month"],
+        quality.enforcing(quality.video_comment_checks()), replace=False,
+    )
 
 
 def read_silver(spark: SparkSession, silver: str, video_id: str) -> DataFrame:

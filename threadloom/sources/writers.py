@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,25 +77,53 @@ def touched_partitions(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*columns).distinct()
 
 
+def stage(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """Writes rows to the shared folder and reads them back: computed once, safe
+    from lost executors, and independent of tables that are about to be replaced."""
+    path = fresh_dir(spark, "staged")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def publish(
+    spark: SparkSession, df: DataFrame, path: str, partition_cols: Sequence[str] = (),
+    verify: Callable[[DataFrame], None] | None = None, replace: bool = True,
+) -> DataFrame:
+    """Computes a table once, verifies it, and only then replaces the published
+    one, or its partitions present in ``df`` if ``replace`` is off."""
+    staged = stage(spark, df)
+    if verify is not None:
+        verify(staged)
+    if replace:
+        balanced = staged.hint("rebalance", *partition_cols) if partition_cols else staged
+        replace_table(balanced, path, partition_cols)
+    else:
+        write_table(staged, path, partition_cols)
+    return staged
+
+
 def merge_partitions(
     spark: SparkSession, batch: DataFrame, path: str, keys: Sequence[str], order: Sequence[str],
-    partition_cols: Sequence[str],
-) -> None:
+    partition_cols: Sequence[str], verify: Callable[[DataFrame], None] | None = None,
+) -> DataFrame:
     """Merges a batch into a table by key; repeating a batch changes nothing.
+    Returns the staged batch.
 
     Reads the partitions the batch touches, keeps the latest row per key and
-    partition, and replaces just those. The merged rows are first written to the
-    shared folder, so that a lost executor cannot make Spark re-read files that
-    the overwrite has already replaced."""
+    partition, and replaces just those. The merged rows are staged first, so that a
+    lost executor cannot make Spark re-read files the overwrite has already replaced."""
     columns = list(partition_cols)
+    batch = stage(spark, batch)
+    if verify is not None:
+        verify(batch)
     target = read_if_present(spark, path, batch.schema)
-    if target is not None:
-        kept = in_partitions(target, touched_partitions(batch, columns))
-        batch = batch.unionByName(kept.select(*batch.columns))
-    merged = latest_by(batch, [*columns, *keys], order)
-    staging = fresh_dir(spark, "merge")
-    merged.write.parquet(staging)
-    write_table(spark.read.parquet(staging), path, columns)
+    if target is None:
+        write_table(latest_by(batch, [*columns, *keys], order), path, columns)
+        return batch
+    kept = in_partitions(target, touched_partitions(batch, columns))
+    merged = latest_by(batch.unionByName(kept.select(*batch.columns)), [*columns, *keys], order)
+    write_table(stage(spark, merged), path, columns)
+    return batch
 
 
 def compact_duplicates(
@@ -105,9 +133,7 @@ def compact_duplicates(
     """Rewrites partitions (all, or those selected) with one row per key."""
     rows = spark.read.parquet(path)
     rows = rows if where is None else rows.where(where)
-    staging = fresh_dir(spark, "compact")
-    latest_by(rows, [*partition_cols, *keys], order).write.parquet(staging)
-    write_table(spark.read.parquet(staging), path, partition_cols)
+    write_table(stage(spark, latest_by(rows, [*partition_cols, *keys], order)), path, partition_cols)
 
 
 def write_threads(df: DataFrame, path: str) -> None:

@@ -177,6 +177,9 @@ def test_group_stance(spark):
     assert {k: (r["stance"], r["comment_level"]) for k, r in rows.items()} == {
         "c0": ("agree", 1), "c1": ("disagree", 2), "c7": ("neutral", 1)}
     assert len(rows["c0"]["comment_text"].split()) == 50 and rows["c7"]["comment_text"] == ""
+    late = flat_comments(spark, {"text": "w " * 60 + "exactly"})
+    for tokens, stance in ((None, "agree"), (50, "neutral")):
+        assert C.group_stance(late, posts, model_tokens=tokens).head()["stance"] == stance
 
 
 def thread_input(spark, replies):

@@ -88,6 +88,21 @@ def test_merge_reads_only_touched_partitions(spark, tmp_path):
     assert "PartitionFilters: [(" in plan and "day" in plan.split("PartitionFilters: [")[1][:60]
 
 
+def scan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_reads_prune_partitions(spark, tmp_path):
+    path = str(tmp_path / "t")
+    writers.write_table(flat_comments(spark, {}, {"ingestion_date": "2026-05-02"}), path, ["ingestion_date"])
+    day = tables.read_day(spark, path, "2026-05-02", schema=contracts.SILVER_GROUP_COMMENT)
+    assert day.count() == 1 and "PartitionFilters: [isnotnull(ingestion_date" in scan(day)
+    window = tables.read_window(tables.read_table(spark, path), "ingestion_date", 3, "2026-05-05")
+    assert window.count() == 1 and "PartitionFilters: [isnotnull(ingestion_date" in scan(window)
+    entity = tables.read_entity(spark, path, "p1", column="post_id")
+    assert "PushedFilters: [IsNotNull(post_id), EqualTo(post_id,p1)]" in scan(entity)
+
+
 def test_many_touched_partitions_fall_back_to_a_join(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(tables, "MAX_LISTED_PARTITIONS", 1)
     rows = batch(spark, ("a", "1", 1), ("b", "2", 1), ("c", "3", 1))

@@ -177,12 +177,13 @@ def dim_group_posts(df: DataFrame, order: Sequence[str] = ("ingestion_date", "co
 def group_stance(
     comments: DataFrame, posts: DataFrame, processed: DataFrame | None = None,
     load: Callable | None = None, lexicon: Lexicon = STANCE_LEXICON, min_hot_rows: int = HOT_ROWS,
+    model_tokens: int | None = None,
 ) -> DataFrame:
     """Stance of each comment towards its post, for posts with a non-neutral label.
 
     Partitions (ingestion_date, page_name) in ``processed`` are skipped and
     price comments dropped. ``comment_text`` stores the first 50 tokens; the
-    model sees the whole comment."""
+    model sees the whole comment, or its first ``model_tokens``."""
     hot_posts = hot_keys(comments, ["post_id"], min_hot_rows)  # from the key column alone, before any text is read
     if processed is not None:
         partition = ["ingestion_date", "page_name"]
@@ -195,7 +196,9 @@ def group_stance(
     wanted = comments.where(~text.names_price(F.col("text")))
     joined = skew_join(wanted, eligible, ["post_id"], "inner", spread=["comment_id"], hot=hot_posts)
     names = F.create_map(*[F.lit(v) for pair in STANCE_NAMES.items() for v in pair])
-    return score_stance(joined, "text", "post_text", "_label", load, lexicon).select(
+    seen = F.col("text") if model_tokens is None else text.first_tokens(F.col("text"), model_tokens)
+    joined = joined.withColumn("_seen", seen)
+    return score_stance(joined, "_seen", "post_text", "_label", load, lexicon).select(
         "post_id", "post_text", "comment_id",
         text.first_tokens(F.col("text")).alias("comment_text"),
         F.when(F.col("is_reply"), F.lit(2)).otherwise(F.lit(1)).alias("comment_level"),

@@ -9,7 +9,7 @@ from threadloom import contracts
 from threadloom.operators import posts as P
 from threadloom.operators.dedup import duplicate_keys, duplicate_summary, first_seen, latest_by
 from threadloom.operators.skew import hot_keys, skew_join
-from threadloom.plans import group, short_posts, video
+from threadloom.plans import group, landing, short_posts, video
 from threadloom.session import fresh_dir, shared_dir
 from threadloom.sources import catalog, tables, writers
 from threadloom.streaming import streams
@@ -163,6 +163,26 @@ def test_raw_dedup_keeps_first_and_all_without_id(spark):
     assert {r["n"] for r in first_seen(df, "id", ["source_file", "source_pos"]).collect()} == {1, 3, 4, 5}
 
 
+def test_newest_landing_loses_its_repeats(spark, tmp_path):
+    path = str(tmp_path)
+    writers.land_bronze(raw_posts(spark, {"id": "1"}), path, "2026-05-08")
+    for rows in ([{"id": "1"}, {"id": "2"}, {"id": None}], [{"id": "2"}, {"id": None}]):
+        writers.land_bronze(raw_posts(spark, *rows), path, "2026-05-09")
+    landing.deduplicate_newest(spark, path)
+    days = {str(d["day"]): d["n"] for d in tables.with_partitions(spark, path, "posts").groupBy("day").agg(
+        F.count("*").alias("n")).collect()}
+    assert days == {"8": 1, "9": 4}
+    assert sorted(p.name for p in (tmp_path / "year=2026").iterdir()) == ["month=05"]
+
+
+def test_landing_search_pages(spark, tmp_path):
+    pages = spark.createDataFrame([(1, json.dumps({"tweets": [POST, {**POST, "id": "2"}, POST]}))], "page_no int, raw string")
+    landing.land_search_posts(pages, str(tmp_path), "2026-05-28", limit=10)
+    rows = tables.read_latest_bronze(spark, str(tmp_path), "posts").collect()
+    assert {(r["id"], r["ingestion_date"], r["author"]["id"]) for r in rows} == {
+        (i, "2026-05-28T00:00:00Z", "a1") for i in "12"}
+
+
 def test_latest_by_is_decided_by_value(spark):
     df = spark.createDataFrame([("a", 1, "x"), ("a", 1, "y"), ("a", None, "z")], "k string, t int, v string")
     for rows in (df, df.repartition(3), df.orderBy("v")):
@@ -264,10 +284,7 @@ def test_videos_do_not_replace_each_other(spark, tmp_path):
         rows = video_comments(spark, {"text": "love my iphone"}, {"comment_id": "r1", "parent_id": "c1", "text": "no android"})
         writers.land_video(rows.withColumn("video_id", F.lit(video_id)), bronze)
     for video_id in ("007", "v2"):
-        source = str(tmp_path / "landing")
-        spark.read.schema(contracts.struct_of(contracts.RAW_VIDEO_COMMENT)).json(f"{bronze}/video_id={video_id}").write.mode(
-            "overwrite").json(f"{source}/{video_id}")
-        video.build_silver(spark, source, f"{root}/silver", video_id)
+        video.build_silver(spark, bronze, f"{root}/silver", video_id)
         video.build_sentiment(spark, f"{root}/silver", f"{root}/sentiment", video_id)
         video.build_stance(spark, f"{root}/silver", f"{root}/stance", video_id)
     sentiment = tables.read_table(spark, f"{root}/sentiment", contracts.COMMENT_SENTIMENT)

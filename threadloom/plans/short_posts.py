@@ -15,7 +15,6 @@ from threadloom import contracts
 from threadloom.catalogue import BRANDS, SENTIMENT_LEXICON, Brand, Lexicon
 from threadloom.functions.measures import VIRAL_THRESHOLD
 from threadloom.operators import posts, quality
-from threadloom.operators.dedup import first_seen
 from threadloom.operators.scoring import score_text
 from threadloom.sources import tables, writers
 
@@ -83,9 +82,3 @@ def build_gold(
     verify = quality.enforcing(quality.author_perf_checks())
     writers.publish(spark, performance, f"{gold}/agg_author_perf", verify=verify)
 
-
-def remove_raw_duplicates(raw: DataFrame) -> DataFrame:
-    """Landed posts without repeated ids: the first in file order stays, posts without id all stay.
-    Expects ``source_file`` and ``source_pos`` from ``read_raw_with_origin``."""
-    return first_seen(raw, "id", ["source_file", "source_pos"])
-

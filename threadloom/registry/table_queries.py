@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from threadloom import contracts
 from threadloom.operators import posts as P
 from threadloom.operators.scoring import score_text
-from threadloom.plans import group, short_posts, video
+from threadloom.plans import group, landing, short_posts, video
 from threadloom.registry import adapters as a
 from threadloom.registry import sqltext as s
 from threadloom.registry.adapters import Tables
@@ -17,6 +17,7 @@ from threadloom.registry.comment_queries import (
 )
 from threadloom.registry.core import case
 from threadloom.registry.insight_queries import ITEMS, items, lines_as_items
+from threadloom.registry.page_queries import comment_pages, feed_blocks, thread_pages
 from threadloom.registry.post_queries import analytics, scored, silver
 from threadloom.session import fresh_dir
 from threadloom.sources import catalog, tables, writers
@@ -218,7 +219,7 @@ def raw_dedup(t: Tables):
     path = landed_posts(t)
     writers.land_bronze(t.raw_posts, path, "2024-03-01 00:00:00")
     raw = tables.read_raw_with_origin(t.spark, path, "posts")
-    return short_posts.remove_raw_duplicates(raw).groupBy("id", "likeCount").agg(F.count("*").alias("n"))
+    return landing.without_repeats(raw).groupBy("id", "likeCount").agg(F.count("*").alias("n"))
 
 
 @case("set_06_compact_silver", f"WITH {s.SILVER} SELECT {SILVER_OUT} FROM silver")
@@ -294,10 +295,8 @@ def stance_job(t: Tables):
 def video_tables(t: Tables) -> str:
     """All videos through silver, sentiment and stance, one after the other, into shared tables."""
     root, bronze = fresh_dir(t.spark, "video"), fresh_dir(t.spark, "bronze")
+    writers.land_video(t.raw_video, bronze)
     for video_id in ("v0", "v1", "v2", "v3"):
-        t.raw_video.where(F.col("video_id") == video_id).drop("video_id").write.option("compression", "gzip").json(
-            f"{bronze}/{video_id}"
-        )
         video.build_silver(t.spark, bronze, f"{root}/silver", video_id)
         video.build_sentiment(t.spark, f"{root}/silver", f"{root}/sentiment", video_id, lexicon=a.LEXICON)
         video.build_stance(t.spark, f"{root}/silver", f"{root}/stance", video_id, lexicon=a.STANCE)
@@ -379,3 +378,21 @@ def register_partitions(t: Tables):
     days = [{"ingestion_date": d} for d in ("2024-01-05", "2024-01-06")]
     catalog.replace_partitions(t.spark, name, days)
     return t.spark.table(name).groupBy("ingestion_date").agg(F.count("*").alias("n"))
+
+
+@case("prj_06_landed_video_comments", f"""SELECT video_id, comment_id, parent_id, author_id AS author, text,
+  CASE WHEN reactions > 3 THEN reactions ELSE 0 END::BIGINT AS likes FROM {a.duck(a.TURNS)} WHERE video_id = 'v3'""")
+def landed_video_comments(t: Tables):
+    bronze = fresh_dir(t.spark, "bronze")
+    landing.land_video_comments(*thread_pages(t), bronze)
+    rows = tables.read_bronze(t.spark, bronze, "video", "v3")
+    return rows.select(F.lit("v3").alias("video_id"), "comment_id", "parent_id", "author", "text", "likes")
+
+
+@case("prj_10_landed_group_posts", f"""WITH t AS (SELECT * FROM {a.duck(a.TURNS)})
+SELECT comment_id AS post_id, '2024-05-28T00:00:00Z' AS ingestion_date FROM t
+WHERE turn <> 5 AND (turn = 0 OR conv_id % 2 = 1) AND reactions % 7 <> 0""")
+def landed_group_posts(t: Tables):
+    bronze = fresh_dir(t.spark, "bronze")
+    landing.land_group_posts(feed_blocks(t), *comment_pages(t), bronze, "2024-05-28 00:00:00")
+    return tables.read_latest_bronze(t.spark, bronze, "group").select("post_id", "ingestion_date")

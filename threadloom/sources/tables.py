@@ -21,7 +21,8 @@ def read_bronze(spark: SparkSession, path: str, dataset: str, entity: str | None
     if dataset == "video":
         if not entity:
             raise ValueError("video comments are read per video: pass its id")
-        path = f"{path.rstrip('/')}/{entity}"
+        rows = spark.read.schema(struct_of(RAW[dataset] + ", video_id string")).json(path)
+        return rows.where(F.col("video_id") == entity).drop("video_id")
     return spark.read.schema(struct_of(RAW[dataset])).json(path)
 
 
@@ -152,9 +153,9 @@ def read_labelled_csv(spark: SparkSession, path: str, schema: str = "text string
     return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
 
 
-def read_raw_with_origin(spark: SparkSession, path: str, dataset: str) -> DataFrame:
+def read_raw_with_origin(spark: SparkSession, path: str, dataset: str, levels: Sequence[str] = ()) -> DataFrame:
     """Raw records with the file they come from and their order within it."""
-    rows = spark.read.schema(struct_of(RAW[dataset])).json(path)
+    rows = with_partitions(spark, path, dataset, levels)
     return rows.withColumns({
         "source_file": F.col("_metadata.file_path"), "source_pos": F.monotonically_increasing_id(),
     })

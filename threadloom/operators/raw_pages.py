@@ -95,15 +95,17 @@ def flatten_comment_threads(pages: DataFrame, reply_pages: DataFrame) -> DataFra
     return carried.unionByName(fetched)
 
 
-def normalize_search_pages(pages: DataFrame, post_schema: str, limit: int) -> DataFrame:
+def normalize_search_pages(pages: DataFrame, post_schema: str, limit: int | None = None) -> DataFrame:
     """Posts of search result pages (page_no, raw): the first copy of each id in
-    page order, and of those the first ``limit``, the requested number of posts.
+    page order and, if asked for a number of posts, the first ``limit`` of those.
     Posts without id are skipped."""
     items = pages.select(
         "page_no", F.posexplode_outer(F.from_json("raw", f"struct<tweets array<struct<{post_schema}>>>")["tweets"])
     ).select("page_no", F.col("pos").alias("_pos"), "col.*").where(F.coalesce("id", F.lit("")) != "")
     unique = earliest_by(items, ["id"], ["page_no", "_pos"])
-    return unique.orderBy("page_no", "_pos").limit(limit).drop("_pos")
+    if limit is not None:
+        unique = unique.orderBy("page_no", "_pos").limit(limit)
+    return unique.drop("_pos")
 
 
 def extract_group_feed(blocks: DataFrame, limit: int | None = None, min_comments: int = 0) -> DataFrame:

@@ -11,8 +11,8 @@ from threadloom.operators.dedup import first_seen
 from threadloom.sources import tables, writers
 
 
-def land_search_posts(pages: DataFrame, bronze: str, at, limit: int) -> None:
-    """The first ``limit`` distinct posts of search pages (page_no, raw), stamped and landed."""
+def land_search_posts(pages: DataFrame, bronze: str, at, limit: int | None = None) -> None:
+    """The distinct posts of search pages (page_no, raw), or the first ``limit``, stamped and landed."""
     posts = raw_pages.normalize_search_pages(pages, contracts.RAW_POST, limit).drop("page_no")
     writers.land_bronze(raw_pages.stamp_ingestion(posts, at), bronze, at)
 

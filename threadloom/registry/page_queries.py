@@ -56,15 +56,26 @@ def comment_threads(t: Tables):
     return W.flatten_comment_threads(*thread_pages(t))
 
 
-@case("prj_07_search_pages", """WITH p AS (SELECT doc_id // 20 AS page_no, doc_id % 20 AS pos, cast(doc_id * 2 // 3 AS string) AS id, text, lang
-  FROM documents), f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY page_no, pos) AS rn FROM p)
-SELECT page_no, id, text, lang FROM f WHERE rn = 1 ORDER BY page_no, pos LIMIT 100""")
-def search_pages(t: Tables):
+SEARCH = """p AS (SELECT doc_id // 20 AS page_no, doc_id % 20 AS pos, cast(doc_id * 2 // 3 AS string) AS id, text, lang
+  FROM documents), f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY page_no, pos) AS rn FROM p)"""
+
+
+def search(t: Tables) -> DataFrame:
+    """Result pages of 20 posts; every third id comes twice."""
     post = F.struct(F.floor(F.col("doc_id") * 2 / 3).cast("string").alias("id"), "text", "lang")
-    pages = t.table("documents").groupBy(F.floor(F.col("doc_id") / 20).alias("page_no")).agg(
+    return t.table("documents").groupBy(F.floor(F.col("doc_id") / 20).alias("page_no")).agg(
         F.array_sort(F.collect_list(F.struct("doc_id", post.alias("p")))).alias("ps")
     ).select("page_no", F.to_json(F.struct(F.transform("ps", lambda x: x["p"]).alias("tweets"))).alias("raw"))
-    return W.normalize_search_pages(pages, "id string, text string, lang string", 100)
+
+
+@case("prj_07_search_pages", f"WITH {SEARCH} SELECT page_no, id, text, lang FROM f WHERE rn = 1")
+def search_pages(t: Tables):
+    return W.normalize_search_pages(search(t), "id string, text string, lang string")
+
+
+@case("sort_07_search_limit", f"WITH {SEARCH} SELECT page_no, id FROM f WHERE rn = 1 ORDER BY page_no, pos LIMIT 100")
+def search_limit(t: Tables):
+    return W.normalize_search_pages(search(t), "id string, text string, lang string", 100).select("page_no", "id")
 
 
 def _story():
@@ -100,9 +111,11 @@ def _story():
 
 
 def feed_blocks(t: Tables) -> DataFrame:
-    """Blocks of up to 50 turns of a chat: its first turn as a story, or all turns as the stories of a group."""
-    block_no = F.col("conv_id") * 1000 + F.floor(F.col("turn") / 50)
-    grouped = t.turns.where("conv_id % 2 = 1 or turn = 0").groupBy("page_name", "conv_id", block_no.alias("block_no")).agg(
+    """Every turn is a story: each in a block of its own, or up to 50 of a chat as the stories of a group."""
+    block_no = F.col("conv_id") * 1000 + F.when(F.col("conv_id") % 2 == 0, F.col("turn")).otherwise(
+        F.floor(F.col("turn") / 50)
+    )
+    grouped = t.turns.groupBy("page_name", "conv_id", block_no.alias("block_no")).agg(
         F.array_sort(F.collect_list(F.struct("turn", _story().alias("s")))).alias("ss")
     ).withColumn("ss", F.transform("ss", lambda x: x["s"]))
     one = F.to_json(F.struct(F.get("ss", F.lit(0)).alias("node")))
@@ -116,10 +129,10 @@ def feed_blocks(t: Tables) -> DataFrame:
     )
 
 
-FEED = f"""{TURNS}, story AS (SELECT page_name AS group_id, conv_id * 1000 + turn // 50 AS block_no, turn, comment_id, text, reactions,
+FEED = f"""{TURNS}, story AS (SELECT page_name AS group_id, conv_id * 1000 + CASE WHEN conv_id % 2 = 0 THEN turn ELSE turn // 50 END AS block_no, turn, comment_id, text, reactions,
   CASE WHEN reactions % 2 = 0 OR reactions % 3 = 1 THEN reactions ELSE 0 END AS comment_count,
   CASE WHEN reactions % 4 = 1 THEN concat('Group ', comment_id) END AS own_name
-  FROM t WHERE turn <> 5 AND (turn = 0 OR conv_id % 2 = 1)),
+  FROM t WHERE turn <> 5),
 big AS (SELECT * FROM story WHERE comment_count >= 2),
 feed AS (SELECT group_id, block_no, turn, comment_id AS post_id, concat('f', comment_id) AS feedback_id, text AS message, comment_count,
   (SELECT arg_min(own_name, (block_no, turn)) FROM big n WHERE n.group_id = b.group_id AND own_name IS NOT NULL

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,7 @@ from threadloom.session import fresh_dir
 from threadloom.sources import catalog, tables, writers
 from threadloom.streaming import streams
 
+VIDEOS = ("v0", "v1", "v2", "v3")
 POSTS = f"p AS (SELECT * FROM {a.duck(a.POSTS)})"
 
 
@@ -282,12 +285,12 @@ def group_gold(t: Tables):
     return tables.read_table(t.spark, f"{gold_path}/agg_page_daily")
 
 
-@case("ml_06_stance_job", f"WITH {STANCE} SELECT comment_id, stance, comment_level FROM stance WHERE ingestion_date = DATE '2024-01-04'")
+@case("ml_06_stance_job", f"WITH {STANCE} SELECT comment_id, stance, comment_level FROM stance")
 def stance_job(t: Tables):
     path, gold_path = group_tables(t), fresh_dir(t.spark, "gold")
     group.build_gold(t.spark, path, gold_path, lexicon=a.LEXICON, burst=BURST)
-    for _ in range(2):
-        group.build_stance(t.spark, path, gold_path, "2024-01-04", lexicon=a.STANCE)
+    for day in (*range(1, 8), 1):
+        group.build_stance(t.spark, path, gold_path, f"2024-01-{day:02d}", lexicon=a.STANCE)
     stances = tables.read_or_empty(t.spark, f"{gold_path}/comment_stance", contracts.GROUP_STANCE)
     return stances.select("comment_id", "stance", "comment_level")
 
@@ -296,7 +299,7 @@ def video_tables(t: Tables) -> str:
     """All videos through silver, sentiment and stance, one after the other, into shared tables."""
     root, bronze = fresh_dir(t.spark, "video"), fresh_dir(t.spark, "bronze")
     writers.land_video(t.raw_video, bronze)
-    for video_id in ("v0", "v1", "v2", "v3"):
+    for video_id in VIDEOS:
         video.build_silver(t.spark, bronze, f"{root}/silver", video_id)
         video.build_sentiment(t.spark, f"{root}/silver", f"{root}/sentiment", video_id, lexicon=a.LEXICON)
         video.build_stance(t.spark, f"{root}/silver", f"{root}/stance", video_id, lexicon=a.STANCE)
@@ -311,15 +314,18 @@ def video_stance_job(t: Tables):
 
 
 @case("llm_06_insight_job", f"""WITH {THREADS} SELECT thread_id, lower(brand_mentioned) AS entity,
-  CASE WHEN is_root THEN 'overall' ELSE 'price' END AS aspect, count(*) AS mention_count FROM docs WHERE video_id = 'v1' GROUP BY ALL""")
+  CASE WHEN is_root THEN 'overall' ELSE 'price' END AS aspect, count(*) AS mention_count FROM docs GROUP BY ALL""")
 def insight_job(t: Tables):
     root = fresh_dir(t.spark, "video")
     writers.write_table(sentiment(t), f"{root}/sentiment", ["video_id", "year", "month"])
     writers.write_table(stance_rows(t), f"{root}/stance", ["video_id"])
-    for _ in range(2):
-        video.build_threads(t.spark, f"{root}/sentiment", f"{root}/stance", f"{root}/insights", f"{root}/threads", "v1", 3)
+    for video_id in (*VIDEOS, VIDEOS[0]):
+        documents_path = fresh_dir(t.spark, "documents")
+        video.build_threads(
+            t.spark, f"{root}/sentiment", f"{root}/stance", f"{root}/insights", documents_path, video_id, 3
+        )
         video.build_insights(
-            t.spark, f"{root}/threads", f"{root}/insights", lines_as_items("entity"), "2024-02-03 04:05:06"
+            t.spark, documents_path, f"{root}/insights", lines_as_items("entity"), "2024-02-03 04:05:06"
         )
     return tables.read_table(t.spark, f"{root}/insights").select("thread_id", "entity", "aspect", "mention_count")
 
@@ -381,17 +387,18 @@ def register_partitions(t: Tables):
 
 
 @case("prj_06_landed_video_comments", f"""SELECT video_id, comment_id, parent_id, author_id AS author, text,
-  CASE WHEN reactions > 3 THEN reactions ELSE 0 END::BIGINT AS likes FROM {a.duck(a.TURNS)} WHERE video_id = 'v3'""")
+  CASE WHEN reactions > 3 THEN reactions ELSE 0 END::BIGINT AS likes FROM {a.duck(a.TURNS)}""")
 def landed_video_comments(t: Tables):
     bronze = fresh_dir(t.spark, "bronze")
     landing.land_video_comments(*thread_pages(t), bronze)
-    rows = tables.read_bronze(t.spark, bronze, "video", "v3")
-    return rows.select(F.lit("v3").alias("video_id"), "comment_id", "parent_id", "author", "text", "likes")
+    videos = [tables.read_bronze(t.spark, bronze, "video", v).withColumn("video_id", F.lit(v)) for v in VIDEOS]
+    rows = reduce(DataFrame.unionByName, videos)
+    return rows.select("video_id", "comment_id", "parent_id", "author", "text", "likes")
 
 
 @case("prj_10_landed_group_posts", f"""WITH t AS (SELECT * FROM {a.duck(a.TURNS)})
 SELECT comment_id AS post_id, '2024-05-28T00:00:00Z' AS ingestion_date FROM t
-WHERE turn <> 5 AND (turn = 0 OR conv_id % 2 = 1) AND reactions % 7 <> 0""")
+WHERE turn <> 5 AND reactions % 7 <> 0""")
 def landed_group_posts(t: Tables):
     bronze = fresh_dir(t.spark, "bronze")
     landing.land_group_posts(feed_blocks(t), *comment_pages(t), bronze, "2024-05-28 00:00:00")

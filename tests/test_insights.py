@@ -217,6 +217,22 @@ def test_search_pages(spark):
     assert [(r["id"], r["text"]) for r in rows] == [("a", "first"), ("b", None), ("c", None)]
 
 
+def test_one_comment_with_most_replies_does_not_fill_one_record(spark):
+    person = "author_id string, author_name string, author_url string, text string, reaction_count string"
+    feed = spark.createDataFrame([("p", "f", "m", 1, "g", "link")],
+                                 "post_id string, feedback_id string, message string, comment_count int,"
+                                 " group_name string, permalink string")
+    comments = spark.createDataFrame([("f", 0, i, "u", "A", "", f"t{i}", "0", f"c{i}", "link") for i in range(3)],
+                                     f"feedback_id string, page_no int, pos int, {person}, comment_feedback_id string,"
+                                     " permalink string")
+    replies = spark.createDataFrame([("c0", 0, i, "u", "A", "", f"r{i}", "0") for i in range(300)],
+                                    f"comment_feedback_id string, page_no int, pos int, {person}")
+    records = W.nest_post_comments(feed, comments, replies, part_size=20).collect()
+    sizes = [sum(1 + len(c["replies"]) for c in r["comments"]) for r in records]
+    texts = {x["text"] for r in records for c in r["comments"] for x in c["replies"]}
+    assert len(texts) == 300 and max(sizes) < 120 and {r["comment_count"] for r in records} == {3}
+
+
 def test_group_feed_names_apply_from_their_story_on(spark):
     def story(post, name=None, video=False):
         return {"__typename": "Story", "post_id": post, "feedback": {"id": "f" + post},

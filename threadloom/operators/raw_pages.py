@@ -192,16 +192,12 @@ def reply_rows(pages: DataFrame) -> DataFrame:
 
 
 def _in_parts(rows: DataFrame, key: str, sizes: DataFrame, spread: list[str], part_size: int) -> DataFrame:
-    """Rows with ``part``: a hash bucket of about ``part_size`` rows of their key."""
-    planned = sizes.withColumn("_parts", F.ceil(F.col("n") / part_size))
-    joined = skew_join(rows, planned, [key], "inner", spread=spread, hot=hottest(sizes, [key], "n"))
+    """Rows with ``part``: one of ``weight / part_size`` hash buckets of their key."""
+    planned = sizes.withColumn("_parts", F.ceil(F.col("weight") / part_size))
+    joined = skew_join(rows, planned, [key], "inner", spread=spread, hot=hottest(sizes, [key], "weight"))
     return joined.withColumn("part", F.pmod(F.xxhash64(*spread), F.col("_parts")).cast("int")).drop("_parts")
 
 
-def _sizes(rows: DataFrame, key: str) -> DataFrame:
-    return rows.groupBy(key).agg(F.count("*").alias("n"))
-
-
 def nest_post_comments(
     feed: DataFrame, comments: DataFrame, replies: DataFrame, part_size: int = 1000, source_type: str = "group"
 ) -> DataFrame:
@@ -209,11 +205,11 @@ def nest_post_comments(
 
     A post without feedback id keeps its own comment count and has no comments;
     text and permalink come from the feed. No group is gathered whole: a comment
-    with very many replies appears once per ``part_size`` replies, a post with very
-    many comments once per ``part_size`` of those (``part`` numbers the records). The
+    with very many replies appears once per ``part_size`` replies, a post once per
+    ``part_size`` comments and replies (``part`` numbers the records). The
     flattening, which works by surrogate id, reads such records like any other."""
     person = ["author_id", "author_name", "author_url", "text", "reaction_count"]
-    reply_sizes = _sizes(replies, "comment_feedback_id")
+    reply_sizes = replies.groupBy("comment_feedback_id").agg(F.count("*").alias("weight"))
     gathered = _in_parts(replies, "comment_feedback_id", reply_sizes, ["page_no", "pos"], part_size).groupBy(
         "comment_feedback_id", "part"
     ).agg(F.array_sort(F.collect_list(F.struct("page_no", "pos", *person))).alias("r"))
@@ -223,14 +219,18 @@ def nest_post_comments(
     )
     answered = skew_join(
         lists, comments, ["comment_feedback_id"], "inner", spread=["reply_part"],
-        hot=hottest(reply_sizes, ["comment_feedback_id"], "n"),
+        hot=hottest(reply_sizes, ["comment_feedback_id"], "weight"),
     )
     silent = comments.join(reply_sizes, "comment_feedback_id", "left_anti").withColumns({
         "reply_part": F.lit(0), "replies": F.array().cast(lists.schema["replies"].dataType),
     })
     nested = answered.unionByName(silent)
 
-    sizes = comments.groupBy("feedback_id").agg(F.count("*").alias("n"))
+    # A post weighs its comments and their replies, so a record stays small even if one comment has most replies.
+    weighed = comments.select("feedback_id", "comment_feedback_id").join(reply_sizes, "comment_feedback_id", "left")
+    sizes = weighed.groupBy("feedback_id").agg(
+        F.count("*").alias("n"), F.sum(F.lit(1) + F.coalesce("weight", F.lit(0))).alias("weight")
+    )
     item = F.struct(
         "page_no", "pos", "reply_part", *person, F.lit(None).cast("string").alias("parent_comment_id"), "replies"
     )
@@ -245,7 +245,7 @@ def nest_post_comments(
         F.coalesce("message", F.lit("")).alias("text"), "feedback_id",
     ]
     commented = skew_join(
-        parts, feed, ["feedback_id"], "inner", spread=["part"], hot=hottest(sizes, ["feedback_id"], "n")
+        parts, feed, ["feedback_id"], "inner", spread=["part"], hot=hottest(sizes, ["feedback_id"], "weight")
     ).select(*head, F.col("n").cast("int").alias("comment_count"), "permalink", "part", "comments")
     bare = feed.join(sizes, "feedback_id", "left_anti").select(
         *head, F.when(F.col("feedback_id").isNull(), F.col("comment_count")).otherwise(0).cast("int")

@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from threadloom import contracts
 from threadloom.catalogue import BRANDS, SENTIMENT_LEXICON, Brand, Lexicon

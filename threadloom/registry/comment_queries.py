@@ -194,10 +194,10 @@ def stance(t: Tables):
 
 
 @case("join_05_unprocessed_partitions", f"""WITH {STANCE} SELECT comment_id, stance FROM stance s
-  WHERE NOT EXISTS (SELECT 1 FROM turns d WHERE d.role = 'system' AND d.ingestion_date = s.ingestion_date
+  WHERE NOT EXISTS (SELECT 1 FROM turns d WHERE d.role = 'system' AND d.page_name IN ('page0', 'page1') AND d.ingestion_date = s.ingestion_date
     AND d.page_name = s.page_name)""")
 def unprocessed(t: Tables):
-    done = t.turns.where("role = 'system'").select("ingestion_date", "page_name")
+    done = t.turns.where("role = 'system' and page_name in ('page0', 'page1')").select("ingestion_date", "page_name")
     return group_stance(t, processed=done).select("comment_id", "stance")
 
 

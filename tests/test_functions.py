@@ -16,6 +16,8 @@ def one(spark, column, value, ddl="v string"):
     ("rocket 🚀 coffee ☕", "rocket 🚀 coffee"),
     ("a\n\nb\nc", "a b\nc"),
     ("ht@x tp://y", "ht tpy"),
+    ('11:20 had the "companion mode" way before IOS...just saying', "1120 had the companion mode way before IOSjust saying"),
+    ("emojicat youtubers\n\nI also feel like im", "emojicat youtubers I also feel like im"),
     (None, None),
 ])
 def test_clean_text(spark, raw, clean):

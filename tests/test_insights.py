@@ -246,3 +246,15 @@ def test_group_feed_names_apply_from_their_story_on(spark):
     rows = W.extract_group_feed(df).orderBy("post_id").collect()
     assert [(r["post_id"], r["group_name"], r["message"], r["comment_count"]) for r in rows] == [
         ("1", None, "", 0), ("3", "G", "", 0)]
+
+
+def test_author_influence(spark):
+    facts = spark.createDataFrame(
+        [("a", "ann", 1.0, ["X", "Y"]), ("a", "ann", 3.0, ["Y"]), ("a", "ann", None, ["X", "Y"]), ("a", "old", 9.0, []),
+         ("b", "bob", 5.0, None), ("c", "cy", 0.5, ["Z", "X"]), ("d", "dan", None, ["X"])],
+        "author_id string, author_username string, engagement_score double, all_brands array<string>")
+    rows = {r["author_username"]: r for r in R.author_influence(spark, facts).collect()}
+    assert set(rows) == {"ann", "old", "cy"}
+    assert (rows["ann"]["top_brand"], rows["ann"]["total_tweets"]) == ("Y", 2)
+    assert rows["ann"]["log_engagement"] == pytest.approx(0.47712, abs=1e-5)
+    assert (rows["old"]["top_brand"], rows["cy"]["top_brand"]) == ("Y", "X")

@@ -60,5 +60,9 @@ def test_lexicon_runs_in_the_jvm(spark):
     assert plan(spark, "ml_01_pandas_sentiment").count("ArrowEvalPython") == 1
 
 
+def test_author_influence_reads_the_posts_once(spark):
+    assert plan(spark, "agg_16_author_influence").count("documents.parquet") == 1
+
+
 def test_author_dimension_needs_one_shuffle_after_dedup(spark):
     assert plan(spark, "agg_04_dim_authors").count("Exchange hashpartitioning(author_id") == 1

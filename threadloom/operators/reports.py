@@ -140,8 +140,9 @@ FROM (
 ORDER BY total_mentions DESC, primary_brand
 """
 
-# One pass over the facts: a post contributes its score with its first brand
-# (or with none), and a mention with each brand.
+# One pass over the facts: a post contributes its score with its first brand (or
+# with none), and a mention with each brand. The windows see one row per author,
+# name and brand, already partitioned by author.
 AUTHOR_INFLUENCE_SQL = """
 WITH parts AS (
   SELECT author_id, author_username, brand, count(brand) AS mentions,
@@ -149,20 +150,20 @@ WITH parts AS (
     sum(CASE WHEN coalesce(place, 0) = 0 THEN engagement_score END) AS score
   FROM {fact_posts} LATERAL VIEW OUTER posexplode(all_brands) b AS place, brand
   GROUP BY author_id, author_username, brand
-), stats AS (
-  SELECT author_id, author_username, sum(posts) AS posts, round(sum(score) / sum(posts), 4) AS engagement
-  FROM parts GROUP BY author_id, author_username HAVING sum(posts) > 0
-), favourite AS (
-  SELECT author_id, brand FROM (
-    SELECT author_id, brand, row_number() OVER (PARTITION BY author_id ORDER BY sum(mentions) DESC, brand) AS place
-    FROM parts WHERE brand IS NOT NULL GROUP BY author_id, brand
-  ) WHERE place = 1
+), counted AS (
+  SELECT *, sum(nullif(mentions, 0)) OVER (PARTITION BY author_id, brand) AS brand_mentions FROM parts
+), named AS (
+  SELECT *, first_value(brand) OVER (
+    PARTITION BY author_id ORDER BY brand_mentions DESC NULLS LAST, brand NULLS LAST) AS favourite
+  FROM counted
 ), leaders AS (
-  SELECT f.brand, s.author_username, s.posts, s.engagement
-  FROM stats s JOIN favourite f ON s.author_id = f.author_id
-  ORDER BY s.engagement DESC, s.author_id LIMIT 10
+  SELECT author_id, author_username, favourite, sum(posts) AS posts, round(sum(score) / sum(posts), 4) AS engagement
+  FROM named WHERE favourite IS NOT NULL
+  GROUP BY author_id, author_username, favourite HAVING sum(posts) > 0
+  ORDER BY engagement DESC, author_id LIMIT 10
 )
-SELECT brand AS top_brand, author_username, log10(sum(engagement) + 1) AS log_engagement, sum(posts) AS total_tweets
+SELECT favourite AS top_brand, author_username, log10(sum(engagement) + 1) AS log_engagement,
+  sum(posts) AS total_tweets
 FROM leaders GROUP BY 1, 2
 """
 

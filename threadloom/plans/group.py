@@ -91,10 +91,10 @@ def post_insights(
 
 
 def build_insights(
-    spark: SparkSession, silver: str, gold: str, day: str, answer: Callable[[str], str], at,
+    spark: SparkSession, silver: str, gold: str, day: str | None, answer: Callable[[str], str], at,
     vocab: Vocabulary = GROUP_VOCABULARY, min_comments: int = threads.MIN_COMMENTS, force: bool = False,
 ) -> None:
-    """Insights of one day's posts that have none yet, then the weekly trend over all history."""
+    """Insights of the posts (of one day, or all) that have none yet, then the weekly trend over all history."""
     silver, gold = silver.rstrip("/"), gold.rstrip("/")
     target = f"{gold}/post_insights"
     done = None if force else tables.read_or_empty(spark, target, contracts.GROUP_INSIGHT).select("post_id")
@@ -118,10 +118,10 @@ def build_insights(
 
 
 def build_stance(
-    spark: SparkSession, silver: str, gold: str, day: str, load: Callable | None = None,
+    spark: SparkSession, silver: str, gold: str, day: str | None = None, load: Callable | None = None,
     lexicon: Lexicon = STANCE_LEXICON,
 ) -> None:
-    """Stance of one day's comments; (day, page) partitions already present are skipped."""
+    """Stance of the comments of one day, or of all; (day, page) partitions already present are skipped."""
     silver, gold = silver.rstrip("/"), gold.rstrip("/")
     target = f"{gold}/comment_stance"
     rows = comments.group_stance(

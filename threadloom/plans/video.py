@@ -1,7 +1,8 @@
 """Video comments: silver, sentiment, stance, threads and thread insights.
 
 All tables are partitioned by video first, so that one video's run never
-replaces another's rows."""
+replaces another's rows. Every job takes one video, or all of them in one go
+(``video_id=None``); all keys include the video."""
 
 from __future__ import annotations
 
@@ -26,21 +27,21 @@ Thread ({n} comments):
 JSON array:"""
 
 
-def build_silver(spark: SparkSession, bronze: str, silver: str, video_id: str) -> None:
-    raw = tables.read_bronze(spark, bronze, "video", video_id)
-    clean = comments.silver_video_comments(raw).withColumn("video_id", F.lit(video_id))
+def build_silver(spark: SparkSession, bronze: str, silver: str, video_id: str | None = None) -> None:
+    raw = tables.read_videos(spark, bronze, video_id)
+    clean = contracts.conform(comments.silver_video_comments(raw), contracts.SILVER_VIDEO_COMMENT)
     writers.publish(
-        spark, contracts.conform(clean, contracts.SILVER_VIDEO_COMMENT), silver, ["video_id", "year", "month"],
+        spark, clean, silver, ["video_id", "year", "month"],
         quality.enforcing(quality.video_comment_checks()), replace=False,
     )
 
 
-def read_silver(spark: SparkSession, silver: str, video_id: str) -> DataFrame:
+def read_silver(spark: SparkSession, silver: str, video_id: str | None = None) -> DataFrame:
     return tables.read_entity(spark, silver, video_id, schema=contracts.SILVER_VIDEO_COMMENT)
 
 
 def build_sentiment(
-    spark: SparkSession, silver: str, target: str, video_id: str, load: Callable | None = None,
+    spark: SparkSession, silver: str, target: str, video_id: str | None = None, load: Callable | None = None,
     lexicon: Lexicon = SENTIMENT_LEXICON, brands=VIDEO_BRANDS,
 ) -> None:
     rows = comments.video_sentiment(read_silver(spark, silver, video_id), brands, load, lexicon)
@@ -48,7 +49,7 @@ def build_sentiment(
 
 
 def build_stance(
-    spark: SparkSession, silver: str, target: str, video_id: str, load: Callable | None = None,
+    spark: SparkSession, silver: str, target: str, video_id: str | None = None, load: Callable | None = None,
     lexicon: Lexicon = STANCE_LEXICON,
 ) -> None:
     rows = comments.video_stance(read_silver(spark, silver, video_id), load, lexicon)
@@ -56,13 +57,13 @@ def build_stance(
 
 
 def build_threads(
-    spark: SparkSession, sentiment: str, stance: str, insight_table: str, target: str, video_id: str,
+    spark: SparkSession, sentiment: str, stance: str, insight_table: str, target: str, video_id: str | None = None,
     min_replies: int = threads.MIN_REPLIES, force: bool = False,
 ) -> None:
     done = None
     if not force:
-        known = tables.read_or_empty(spark, insight_table, contracts.THREAD_INSIGHT)
-        done = known.where(F.col("video_id") == video_id).select("video_id", "thread_id")
+        done = tables.read_or_empty(spark, insight_table, contracts.THREAD_INSIGHT).select("video_id", "thread_id")
+        done = done if video_id is None else done.where(F.col("video_id") == video_id)
     documents = threads.build_threads(
         tables.read_entity(spark, sentiment, video_id, schema=contracts.COMMENT_SENTIMENT),
         tables.read_entity(spark, stance, video_id, schema=contracts.COMMENT_STANCE), min_replies, done,

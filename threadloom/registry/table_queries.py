@@ -289,17 +289,17 @@ def group_gold(t: Tables):
 def stance_job(t: Tables):
     path, gold_path = group_tables(t), fresh_dir(t.spark, "gold")
     group.build_gold(t.spark, path, gold_path, lexicon=a.LEXICON, burst=BURST)
-    for day in (*range(1, 8), 1):
-        group.build_stance(t.spark, path, gold_path, f"2024-01-{day:02d}", lexicon=a.STANCE)
+    for day in ("2024-01-04", None, "2024-01-02"):
+        group.build_stance(t.spark, path, gold_path, day, lexicon=a.STANCE)
     stances = tables.read_or_empty(t.spark, f"{gold_path}/comment_stance", contracts.GROUP_STANCE)
     return stances.select("comment_id", "stance", "comment_level")
 
 
 def video_tables(t: Tables) -> str:
-    """All videos through silver, sentiment and stance, one after the other, into shared tables."""
+    """Silver, sentiment and stance of one video, then of all videos at once, into the same tables."""
     root, bronze = fresh_dir(t.spark, "video"), fresh_dir(t.spark, "bronze")
     writers.land_video(t.raw_video, bronze)
-    for video_id in VIDEOS:
+    for video_id in (VIDEOS[0], None):
         video.build_silver(t.spark, bronze, f"{root}/silver", video_id)
         video.build_sentiment(t.spark, f"{root}/silver", f"{root}/sentiment", video_id, lexicon=a.LEXICON)
         video.build_stance(t.spark, f"{root}/silver", f"{root}/stance", video_id, lexicon=a.STANCE)
@@ -319,7 +319,7 @@ def insight_job(t: Tables):
     root = fresh_dir(t.spark, "video")
     writers.write_table(sentiment(t), f"{root}/sentiment", ["video_id", "year", "month"])
     writers.write_table(stance_rows(t), f"{root}/stance", ["video_id"])
-    for video_id in (*VIDEOS, VIDEOS[0]):
+    for video_id in (VIDEOS[0], None, VIDEOS[1]):
         documents_path = fresh_dir(t.spark, "documents")
         video.build_threads(
             t.spark, f"{root}/sentiment", f"{root}/stance", f"{root}/insights", documents_path, video_id, 3

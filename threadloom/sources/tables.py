@@ -21,11 +21,16 @@ def read_bronze(spark: SparkSession, path: str, dataset: str, entity: str | None
     if dataset == "video":
         if not entity:
             raise ValueError("video comments are read per video: pass its id")
-        rows = spark.read.schema(struct_of(RAW[dataset] + ", video_id string")).json(path)
-        return rows.where(F.col("video_id") == entity).drop("video_id")
+        return read_videos(spark, path, entity).drop("video_id")
     return spark.read.schema(struct_of(RAW[dataset])).json(path)
 
 
+def read_videos(spark: SparkSession, path: str, video_id: str | None = None) -> DataFrame:
+    """Raw video comments with their video: of one video, or of all."""
+    rows = spark.read.schema(struct_of(RAW["video"] + ", video_id string")).json(path)
+    return rows if video_id is None else rows.where(F.col("video_id") == video_id)
+
+
 def with_partitions(spark: SparkSession, path: str, dataset: str, levels: Sequence[str] = DAY_LEVELS) -> DataFrame:
     """All raw records with their partition columns as integers."""
     fields = RAW[dataset] + "".join(f", {c} int" for c in levels)
@@ -114,9 +119,11 @@ def read_day(
 
 
 def read_entity(
-    spark: SparkSession, path: str, entity: str, column: str = "video_id", schema: str | None = None
+    spark: SparkSession, path: str, entity: str | None, column: str = "video_id", schema: str | None = None
 ) -> DataFrame:
-    return read_table(spark, path, schema).where(F.col(column) == entity)
+    """Rows of one entity, or of all if none is named."""
+    rows = read_table(spark, path, schema)
+    return rows if entity is None else rows.where(F.col(column) == entity)
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:

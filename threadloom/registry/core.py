@@ -32,6 +32,13 @@ def case(name: str, sql: str | None = None):
     return register
 
 
+def widen(name: str, columns: list[str]) -> None:
+    """Lets the check SQL of a query return the given columns as 64-bit integers."""
+    known = CASES[name]
+    casts = ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in columns)
+    CASES[name] = Case(known.build, f"SELECT * REPLACE ({casts}) FROM ({known.sql})")
+
+
 def _plain(field: T.StructField) -> Column:
     """Types two engines render alike: long, double to 6 places, string, boolean."""
     col, kind = F.col(f"`{field.name}`"), field.dataType

@@ -8,8 +8,8 @@ whether or not that one stays itself, so the result does not depend on the order
 means a smaller document id, or a smaller line number in the same document.
 
 A line only needs one earlier match. Equal sets are one class, represented by its first line; a class
-is verified against the first class of its lists, and only what found no match is joined with all
-earlier classes of its lists.
+is verified against an early and a central class of its lists, and only what found no match is joined
+with all earlier classes of its lists.
 
 Defined cases: words are what lies between ASCII white space, A-Z lower-cased; a line without words
 stays, a line of less than five has them all as its one token. A null text stays null. Rows
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm.common import pick, stage
-from threadloom.llm.ngram_join import reachable, sizes_fit
+from threadloom.llm.ngram_join import largest_partner, sizes_fit
 from threadloom.llm.token_sets import (
     BLOCK_BYTES, BUCKET_BYTES, Threshold, one_per_class, prefix_postings, shared_tokens, similar_pairs,
 )
@@ -41,30 +41,36 @@ def repeated_lines(
         F.min(F.struct("id", "line")).alias("first"), F.min("check").alias("a"), F.max("check").alias("b"))
     firsts = stage(firsts.select("class", "first", F.assert_true(F.col("a") == F.col("b")).alias("sound")), "firsts")
     candidates = stage(one_per_class(records), "candidates")
-    postings = prefix_postings(candidates)
+    postings = prefix_postings(candidates).withColumn("reach", largest_partner(threshold))
     lists = postings.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
     postings = postings.join(lists, "token", "left_semi").join(firsts.select("class", "first"), "class")
     postings = stage(postings, "postings")
 
-    heads = postings.groupBy("token").agg(F.min(F.struct("first", "class", "n")).alias("head"))
-    pairs = postings.join(heads, "token").where("head.first < first").select(
-        F.col("class").alias("one"), F.col("n").alias("one_n"), F.col("head.class").alias("other"),
-        F.col("head.n").alias("other_n"), F.col("head.first").alias("earlier"))
-    pairs = pairs.where(sizes_fit("one_n", "other_n", threshold)).groupBy("one").agg(
-        F.min(F.struct("earlier", "other")).alias("to")).select("one", F.col("to.other").alias("other"))
-    matched = stage(similar_pairs(pairs, candidates, threshold).select("one"), "matched")
+    # Two chances before anything is joined in full: the earliest line of a list, and its most central one,
+    # which has the fewest tokens of its own.
+    head = F.struct("first", "class", "n", "reach")
+    heads = postings.groupBy("token").agg(
+        F.min(head).alias("earliest"), F.min_by(head, F.struct("alone", "first")).alias("central"))
+    pairs = postings.join(heads, "token").select(
+        "class", "n", "first", "reach", "alone", F.explode(F.array("earliest", "central")).alias("head"))
+    pairs = pairs.select(F.col("class").alias("one"), F.col("n").alias("one_n"), F.col("reach").alias("one_reach"), *[
+        F.col(f"head.{c}").alias(f"other{d}") for c, d in (("class", ""), ("n", "_n"), ("reach", "_reach"), ("first", "_first"))
+    ], "first").where("other_first < first")
+    pairs = pairs.where(sizes_fit("one_n", "other_n", threshold)).where("one_n <= other_reach AND other_n <= one_reach")
+    pairs = pairs.groupBy("one").agg(F.min(F.struct("other_first", "other")).alias("a"), F.max(
+        F.struct("other_first", "other")).alias("b")).select("one", F.explode(F.array("a.other", "b.other")).alias("other"))
+    matched = similar_pairs(pairs.distinct(), candidates, threshold).select("one").distinct()
+    matched = stage(matched, "matched")
 
     left = postings.join(matched.withColumnRenamed("one", "class"), "class", "left_anti")
     sides = [
-        rows.select("token", *[F.col(c).alias(f"{name}_{c}") for c in ("class", "n", "first", "place")])
+        rows.select("token", *[F.col(c).alias(f"{name}_{c}") for c in ("class", "n", "first", "reach")])
         for name, rows in (("one", left), ("other", postings))
     ]
     pairs = sides[0].join(sides[1], "token").where("other_first < one_first").where(
-        sizes_fit("one_n", "other_n", threshold))
-    pairs = pairs.groupBy(F.col("one_class").alias("one"), F.col("other_class").alias("other")).agg(
-        F.count(F.lit(1)).alias("hits"), *[F.max(c).alias(c) for c in ("one_n", "other_n")],
-        F.max("one_place").alias("one_last"), F.max("other_place").alias("other_last"))
-    pairs = stage(pairs.where(reachable("one", "other", "hits", threshold)).select("one", "other"), "pairs")
+        sizes_fit("one_n", "other_n", threshold)).where("one_n <= other_reach AND other_n <= one_reach")
+    pairs = pairs.select(F.col("one_class").alias("one"), F.col("other_class").alias("other"))
+    pairs = stage(pairs.distinct(), "pairs")
     matched = matched.unionByName(similar_pairs(pairs, candidates, threshold).select("one")).distinct()
 
     firsts = firsts.join(matched.select(F.col("one").alias("class"), F.lit(True).alias("goes")), "class", "left")

@@ -22,7 +22,7 @@ an empty result; other columns are never looked at.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm.common import stage
@@ -38,21 +38,24 @@ def sizes_fit(one: str, other: str, threshold: Threshold) -> str:
     return f"{one} * {w} >= {other} * {p} AND {other} * {w} >= {one} * {p}"
 
 
-def reachable(one: str, other: str, hits: str, threshold: Threshold) -> str:
-    """Whether the overlap can be reached: the hits so far and what follows the last of them."""
+def largest_partner(threshold: Threshold) -> Column:
+    """The size of the largest set that a posting's set can be similar to if this token is the first they
+    share: all that can be shared is this token and what follows it (positional filter)."""
     p, w = threshold.part, threshold.whole
-    rest = f"least({one}_n - {one}_last, {other}_n - {other}_last) - 1"
-    return f"({hits} + {rest}) * {p + w} >= ({one}_n + {other}_n) * {p}"
+    return F.floor((F.col("n") - F.col("place")) * (p + w) / p).cast("bigint") - F.col("n")
 
 
 def first_links(postings: DataFrame, candidates: DataFrame, threshold: Threshold) -> DataFrame:
-    """Similar pairs of each class and one partner: the first class of any of its lists whose size fits."""
-    heads = postings.groupBy("token").agg(F.min(F.struct("class", "n")).alias("head"))
-    pairs = postings.join(heads, "token").select(
-        F.col("class").alias("other"), F.col("n").alias("other_n"), F.col("head.class").alias("one"),
-        F.col("head.n").alias("one_n"))
-    pairs = pairs.where("one < other").where(sizes_fit("one_n", "other_n", threshold))
-    return similar_pairs(pairs.groupBy("other").agg(F.min("one").alias("one")), candidates, threshold)
+    """Similar pairs of each class and one partner: of the heads of its lists the most central one. A list's
+    head is its class with the fewest tokens of its own, which near copies differ from least."""
+    rank = F.struct("alone", "class")
+    heads = postings.groupBy("token").agg(F.min(F.struct(rank.alias("rank"), "n", "reach")).alias("head"))
+    pairs = postings.join(heads, "token").where(rank > F.col("head.rank")).select(
+        F.col("class").alias("other"), F.col("n").alias("other_n"), F.col("reach").alias("other_reach"),
+        F.col("head.rank").alias("rank"), F.col("head.n").alias("one_n"), F.col("head.reach").alias("one_reach"))
+    pairs = pairs.where(sizes_fit("one_n", "other_n", threshold)).where("one_n <= other_reach AND other_n <= one_reach")
+    pairs = pairs.groupBy("other").agg(F.min("rank").alias("rank"))
+    return similar_pairs(pairs.select("other", F.col("rank.class").alias("one")), candidates, threshold)
 
 
 def further_links(
@@ -63,20 +66,21 @@ def further_links(
     rows = postings.join(known, "class", "left").withColumn("component", F.coalesce("component", "class"))
     several = rows.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b"))
     rows = stage(rows.join(several.where("a <> b").select("token"), "token", "left_semi"), "mixed")
-    parts = rows.groupBy("token", "component").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    parts = rows.groupBy("token", "component").agg(
+        F.min("n").alias("low"), F.max("n").alias("high"), F.max("reach").alias("reach"))
     parts = stage(parts, "parts")
-    a, b = (parts.select("token", *[F.col(c).alias(f"{s}_{c}") for c in ("component", "low", "high")]) for s in "ab")
+    a, b = (
+        parts.select("token", *[F.col(c).alias(f"{s}_{c}") for c in ("component", "low", "high", "reach")]) for s in "ab")
     p, w = threshold.part, threshold.whole
     meet = a.join(b, "token").where("a_component < b_component").where(
-        f"a_high * {w} >= b_low * {p} AND b_high * {w} >= a_low * {p}").select("token", "a_component", "b_component")
+        f"a_high * {w} >= b_low * {p} AND b_high * {w} >= a_low * {p} AND a_low <= b_reach AND b_low <= a_reach"
+    ).select("token", "a_component", "b_component")
     for side, name in (("a", "one"), ("b", "other")):
         meet = meet.join(rows.select(
             "token", F.col("component").alias(f"{side}_component"), F.col("class").alias(name),
-            F.col("n").alias(f"{name}_n"), F.col("place").alias(f"{name}_at")), ["token", f"{side}_component"])
-    pairs = meet.where(sizes_fit("one_n", "other_n", threshold)).groupBy("one", "other").agg(
-        F.count(F.lit(1)).alias("hits"), *[F.max(c).alias(c) for c in ("one_n", "other_n")],
-        F.max("one_at").alias("one_last"), F.max("other_at").alias("other_last"))
-    pairs = stage(pairs.where(reachable("one", "other", "hits", threshold)).select("one", "other"), "pairs")
+            F.col("n").alias(f"{name}_n"), F.col("reach").alias(f"{name}_reach")), ["token", f"{side}_component"])
+    pairs = meet.where(sizes_fit("one_n", "other_n", threshold)).where("one_n <= other_reach AND other_n <= one_reach")
+    pairs = stage(pairs.select("one", "other").distinct(), "pairs")
     return similar_pairs(pairs, candidates, threshold)
 
 
@@ -88,7 +92,7 @@ def similar_documents(
     have equal ones), n_links (classes linked with its own that were verified)."""
     records = shared_tokens(docs, threshold, False, id_col, text_col, block_bytes, bucket_bytes)
     candidates = stage(one_per_class(records), "candidates")
-    postings = prefix_postings(candidates)
+    postings = prefix_postings(candidates).withColumn("reach", largest_partner(threshold))
     lists = postings.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
     postings = stage(postings.join(lists, "token", "left_semi"), "postings")
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from threadloom.llm.common import pick, stage
 
 WORDS = 5
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 12 << 20
 BUCKET_BYTES = 8 << 20
 PIECE_BYTES = 2 << 20
 
@@ -313,11 +313,12 @@ def one_per_class(records: DataFrame) -> DataFrame:
     return rows.groupBy("class").agg(*[F.first(c).alias(c) for c in ("n", "q", "tokens")])
 
 
-def prefix_postings(candidates: DataFrame, *more: str) -> DataFrame:
-    """The inverted index of the prefixes: token, class, n, place (in the record's order by rarity)."""
-    return candidates.select("class", "n", *more, (F.col("n") - F.size("tokens")).alias("alone"), F.posexplode(
+def prefix_postings(candidates: DataFrame) -> DataFrame:
+    """The inverted index of the prefixes: token, class, n, alone (tokens that nothing else has), place (in
+    the record's order by rarity, from 0)."""
+    return candidates.select("class", "n", (F.col("n") - F.size("tokens")).alias("alone"), F.posexplode(
         F.slice("tokens", F.lit(1), F.col("q").cast("int"))).alias("at", "token")).select(
-        "token", "class", "n", *more, (F.col("alone") + F.col("at")).alias("place"))
+        "token", "class", "n", "alone", (F.col("alone") + F.col("at")).alias("place"))
 
 
 def overlap(one: np.ndarray, short: int, other: np.ndarray, needed: int) -> int:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from threadloom.session import fresh_dir
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -32,10 +33,16 @@ def fold_ascii(text: Column) -> Column:
 
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back: cuts the lineage, survives lost
-    executors, and both sides of a later join are plain exchanges that skew handling can split."""
+    executors, and both sides of a later join are plain exchanges that skew handling can split.
+    Once it is written, the shuffle files it came from are of no use any more and go."""
     spark = df.sparkSession
     path = fresh_dir(spark, f"llm-{label}")
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     staged(spark).append(path)
     return spark.read.schema(df.schema).parquet(path)
 

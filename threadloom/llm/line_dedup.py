@@ -88,7 +88,8 @@ def dedup_lines(
     gone = gone.groupBy("id").agg(F.collect_set("line").alias("_gone"))
     gone = stage(gone.select(F.col("id").alias("_gone_id"), "_gone"), "gone")
     docs = docs.drop("lines_removed", "_gone", "_gone_id")
-    out = docs.join(gone, docs[f"`{id_col}`"] == gone["_gone_id"], "left").drop("_gone_id")
+    # The list grows with the corpus, so it is never broadcast.
+    out = docs.join(gone.hint("merge"), docs[f"`{id_col}`"] == gone["_gone_id"], "left").drop("_gone_id")
     # A set of numbers as a map: looked up once a line.
     gone_map = F.map_from_arrays(F.col("_gone"), F.transform("_gone", lambda _: F.lit(True)))
     rest = F.array_join(F.filter(F.split(F.col(f"`{text_col}`"), "\n"), lambda _, i: F.try_element_at(

@@ -1,6 +1,6 @@
 """Word shingles of many records, and the ones that several records share.
 
-The similarity joins start from here. Each record (a text, or a line of one) becomes a set of 64-bit
+The similarity joins start from here. Each record (a text, or a line of one) becomes a set of 48-bit
 tokens: hashes of its five-word shingles, or of all its words if it has fewer. ``shared_tokens``
 finds out how many records have each token and gives every record its shared tokens, rarest
 first. A token that no other record has cannot take part in any overlap, so sizes and shared
@@ -35,6 +35,9 @@ WORDS = 5
 BLOCK_BYTES = 12 << 20
 BUCKET_BYTES = 8 << 20
 PIECE_BYTES = 2 << 20
+# Two sets of a thousand tokens share one by chance once in 10^8 comparisons; a chance hit elsewhere only
+# makes a candidate that verification drops. Fewer bits pack better.
+TOKEN_BITS = 48
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _FIRST = np.uint64(0xBF58476D1CE4E5B9)
@@ -107,7 +110,7 @@ def shingles(hashes: np.ndarray, counts: np.ndarray, words: int = WORDS) -> tupl
         own = np.flatnonzero(counts == n)
         tokens.append(chain(starts[own], n))
         owners.append(own)
-    return np.concatenate(tokens), np.concatenate(owners)
+    return np.concatenate(tokens) >> np.uint64(64 - TOKEN_BITS), np.concatenate(owners)
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -205,7 +208,7 @@ class Block:
         ).append_column("leads", pa.array(leads))
         yield (-1 - origin, origin, _to_bytes(records), None, _planes(owners[stay]), _planes(count[several].astype(np.int32)))
         tokens = tokens[begin]
-        edges = [(b << 64) // self.buckets for b in range(1, self.buckets)]
+        edges = [(b << TOKEN_BITS) // self.buckets for b in range(1, self.buckets)]
         cuts = [0, *np.searchsorted(tokens, np.array(edges, np.uint64)).tolist(), len(tokens)]
         for b, (low, high) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
             if low < high:

@@ -74,6 +74,7 @@ def repeated_lines(
     matched = matched.unionByName(similar_pairs(pairs, candidates, threshold).select("one")).distinct()
 
     firsts = firsts.join(matched.select(F.col("one").alias("class"), F.lit(True).alias("goes")), "class", "left")
+    firsts = stage(firsts.select("class", "first", "goes"), "decided")
     lines = records.where("n > 0").select("id", "line", "class").join(firsts, "class")
     return lines.where("goes OR (id, line) <> (first.id, first.line)").select("id", "line")
 

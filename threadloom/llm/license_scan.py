@@ -1,9 +1,9 @@
 """Finds licence notices in documents, DataFrame functions only.
 
-Texts and templates are cut into windows of eight words that overlap by four, so each five-word
-shingle lies in just one window of a text. A window is sketched by sixteen min-hashes, each a band of its
-own, and windows that agree in a band are candidates. A window shares a shingle with a template of one
-shingle only with a min-hash similarity of 1/4, and then meets it with a probability of 1 - (3/4)^16 = 0.99;
+Texts and templates are cut into windows of six words that overlap by four, so each five-word
+shingle lies in just one window of a text. A window is sketched by eight min-hashes, each a band of its
+own, and windows that agree in a band are candidates. A template of one shingle only shares it with a
+window at a min-hash similarity of 1/2, and meets it with a probability of 1 - (1/2)^8 = 0.996;
 templates of more words meet through more shingles, and two windows that are equal always do.
 Template windows start at every word, whatever the phase of a text's windows is.
 
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from threadloom.llm.common import pick, stage
 
 WORDS = 5
-SPAN = 4
-BANDS = 16
+SPAN = 2
+BANDS = 8
 CONTAINMENT = 0.8
 # Template bands up to this number are broadcast (some 30 bytes each); more are joined by a shuffle.
 BROADCAST_BANDS = 500_000

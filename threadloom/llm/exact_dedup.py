@@ -36,7 +36,8 @@ def exact_groups(
 
     # Counts combine before the shuffle: a hot hash costs each task one row.
     several = stage(keys.groupBy("hash").agg(size, chosen).where("group_size > 1"), "groups")
-    members = rows.join(several.select("hash"), "hash", "left_semi")
+    # The list of hashes grows with the corpus, so it is never broadcast, whatever its size.
+    members = rows.join(several.select("hash").hint("merge"), "hash", "left_semi")
     bodies = stage(
         members.groupBy("hash", "body").agg(size, chosen)
         .select("hash", F.sha2("body", 256).alias("text_sha256"), "group_size", "keep_id"), "bodies",
@@ -45,7 +46,7 @@ def exact_groups(
     collided = not distinct.isEmpty()
     single = bodies.join(distinct, "hash", "left_anti") if collided else bodies
     # Grouped hashes join as plain exchanges of staged tables, so a hot hash is split at run time.
-    out = keys.join(single.select("hash", "group_size", "keep_id"), "hash", "left")
+    out = keys.join(single.select("hash", "group_size", "keep_id").hint("merge"), "hash", "left")
     if collided:
         apart = rows.join(distinct, "hash", "left_semi")
         split = apart.groupBy("hash", "body").agg(size, chosen)

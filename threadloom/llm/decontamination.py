@@ -10,7 +10,7 @@ A name is a capitalised word that follows a lower-case word, a number or a comma
 list of words right after a number. Windows need seven words that are no placeholders. An item of five to
 twelve words is one window; a shorter one is no evidence of anything and is never found.
 
-Defined cases: null texts are empty and match nothing. Rows repeated with one id are one document. Rows
+Defined cases: null texts are empty and match nothing. Rows repeated with one id are one document, which matches if one of them does. Rows
 without id cannot be named and are never reported. Repeated or null benchmark ids are items like others.
 An empty table on either side gives an empty result; other columns are never looked at.
 """
@@ -96,7 +96,7 @@ def contaminated(
     hits = stage(hits, "hits")
 
     # The few texts that match at all are cut into words once more, now with the values in the slots.
-    texts = rows.join(hits.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
+    texts = rows.join(hits.select("id").distinct(), "id", "left_semi")
     texts = texts.select("id", tokens(F.col("text")).alias("doc_words"))
     both = hits.join(texts, "id").join(items.select("key", "item", "words"), "key")
     covered = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + F.col("length") - 1))))
@@ -109,7 +109,7 @@ def contaminated(
     return both.where(one_to_one).select(
         F.col("id").alias(id_col), F.col("item").alias("item_id"), F.col("offset").cast("bigint").alias("offset"),
         F.size("starts").cast("bigint").alias("n_windows"), F.col("n_slots").cast("bigint").alias("n_slots"),
-        F.forall("slots", lambda s: s["a"] == s["b"]).alias("verbatim"))
+        F.forall("slots", lambda s: s["a"] == s["b"]).alias("verbatim")).distinct()
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

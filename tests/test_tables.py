@@ -85,7 +85,8 @@ def test_merge_reads_only_touched_partitions(spark, tmp_path):
     picked = tables.in_partitions(target, batch(spark, ("x", "2", 0)).select("day").distinct())
     assert [r["id"] for r in picked.collect()] == ["b"]
     plan = picked._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [(" in plan and "day" in plan.split("PartitionFilters: [")[1][:60]
+    filters = plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert ">= 2" in filters and "<= 2" in filters and "day" in filters
 
 
 def scan(df):
@@ -103,11 +104,19 @@ def test_reads_prune_partitions(spark, tmp_path):
     assert "PushedFilters: [IsNotNull(post_id), EqualTo(post_id,p1)]" in scan(entity)
 
 
-def test_many_touched_partitions_fall_back_to_a_join(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(tables, "MAX_LISTED_PARTITIONS", 1)
-    rows = batch(spark, ("a", "1", 1), ("b", "2", 1), ("c", "3", 1))
-    picked = tables.in_partitions(rows, rows.where("day > '1'").select("day").distinct())
-    assert sorted(r["id"] for r in picked.collect()) == ["b", "c"]
+def test_any_number_of_partitions_with_a_null_one(spark):
+    rows = batch(spark, *[(f"r{i}", None if i == 0 else str(i), i) for i in range(1500)])
+    picked = tables.in_partitions(rows, rows.where("n <> 7").select("day"))
+    assert picked.count() == 1499 and picked.where("day IS NULL").count() == 1
+
+
+def test_merge_is_unique_by_key_over_partitions(spark, tmp_path):
+    path = str(tmp_path / "t")
+    for rows in ([("a", "1", 1), ("b", None, 1), ("c", "2", 1)], [("a", "2", 5), ("b", None, 2)]):
+        writers.merge_partitions(spark, batch(spark, *rows), path, ["id"], ["n"], ["day"])
+    got = {(r["id"], r["day"], r["n"]) for r in spark.read.schema("id string, n int, day string").parquet(path).collect()}
+    assert got == {("a", "2", 5), ("b", None, 2), ("c", "2", 1)}
+    assert not (tmp_path / "t" / "day=1").exists()
 
 
 def test_large_partitions_are_split_on_write(spark):

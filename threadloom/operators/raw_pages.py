@@ -10,7 +10,7 @@ import html
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -111,7 +111,7 @@ def normalize_search_pages(pages: DataFrame, post_schema: str, limit: int | None
 def extract_group_feed(blocks: DataFrame, limit: int | None = None, min_comments: int = 0) -> DataFrame:
     """Posts of group feed blocks (group_id, block_no, raw): stories from both
     block shapes, without video attachments, with at least ``min_comments``
-    comments, and the first ``limit`` of them in feed order if a limit is given.
+    comments, and the first ``limit`` of each group in feed order if a limit is given.
 
     The first story that states the group's name gives it to the stories after it."""
     parsed = blocks.select("group_id", "block_no", F.from_json("raw", FEED_BLOCK)["node"].alias("n"))
@@ -149,7 +149,8 @@ def extract_group_feed(blocks: DataFrame, limit: int | None = None, min_comments
         "comment_count", "group_name", F.coalesce("s.permalink_url", F.lit("")).alias("permalink"),
     )
     if limit is not None:
-        posts = posts.orderBy("group_id", "block_no", "pos").limit(limit)
+        in_feed = Window.partitionBy("group_id").orderBy("block_no", "pos")
+        posts = posts.withColumn("_nth", F.row_number().over(in_feed)).where(F.col("_nth") <= limit).drop("_nth")
     return posts.drop("pos")
 
 

@@ -41,12 +41,18 @@ def without_repeats(raw: DataFrame) -> DataFrame:
 
 
 def deduplicate_newest(spark: SparkSession, bronze: str) -> None:
-    """Rewrites the newest landing of posts without repeated ids."""
+    """Rewrites the newest landing of posts without repeated ids. Records are kept as the text they
+    are, one a line, whatever fields they have; lines without an id, broken ones too, all stay."""
     newest = tables.latest_partition(spark, bronze)
-    rows = tables.only_partition(tables.read_raw_with_origin(spark, bronze, "posts", tables.DAY_LEVELS), newest)
-    kept = writers.stage(spark, without_repeats(rows).drop("source_file", "source_pos"))
+    lines = tables.only_partition(spark.read.text(bronze), newest).withColumns({
+        "id": F.get_json_object("value", "$.id"), "source_file": F.col("_metadata.file_path"),
+        "source_pos": F.monotonically_increasing_id(),
+    })
+    kept = writers.stage(spark, without_repeats(lines).select("value", *tables.DAY_LEVELS, "source_file", "source_pos"))
     padded = kept.withColumns({c: F.format_string("%04d" if c == "year" else "%02d", c) for c in tables.DAY_LEVELS})
     (
-        padded.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "gzip")
-        .option("maxRecordsPerFile", writers.FILE_RECORDS).partitionBy(*tables.DAY_LEVELS).json(bronze)
+        padded.sortWithinPartitions("source_file", "source_pos").drop("source_file", "source_pos")
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "gzip")
+        .option("maxRecordsPerFile", writers.FILE_RECORDS).partitionBy(*tables.DAY_LEVELS).text(bronze)
     )
+    writers.remove_staged(spark, kept)

@@ -145,9 +145,10 @@ def group_feed(t: Tables):
     return W.extract_group_feed(feed_blocks(t), min_comments=2)
 
 
-@case("sort_07_feed_limit", f"""WITH {FEED} SELECT post_id FROM feed WHERE reactions % 7 <> 0 ORDER BY group_id, block_no, turn LIMIT 25""")
+@case("sort_07_feed_limit", f"""WITH {FEED} SELECT post_id FROM feed WHERE reactions % 7 <> 0
+QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY block_no, turn) <= 5""")
 def feed_limit(t: Tables):
-    return W.extract_group_feed(feed_blocks(t), limit=25, min_comments=2).select("post_id")
+    return W.extract_group_feed(feed_blocks(t), limit=5, min_comments=2).select("post_id")
 
 
 def _node():

@@ -359,7 +359,7 @@ def unique_in_stream(t: Tables):
   CASE user_id % 4 WHEN 0 THEN 'positive' WHEN 1 THEN 'negative' ELSE 'neutral' END AS label FROM events)
 SELECT strftime(date, '%Y-%m-%d') AS date, brand_name, lang, count(*) AS total_mentions, count(*) FILTER (label = 'positive') AS positive_count,
   count(*) FILTER (label = 'neutral') AS neutral_count, count(*) FILTER (label = 'negative') AS negative_count
-FROM x WHERE date + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 12 HOUR GROUP BY ALL""")
+FROM x GROUP BY ALL""")
 def daily_counts(t: Tables):
     label = F.when(F.col("user_id") % 4 == 0, "Positive").when(F.col("user_id") % 4 == 1, "negative").otherwise("neutral")
     rows = event_stream(t).select(
@@ -367,7 +367,7 @@ def daily_counts(t: Tables):
         F.concat(F.lit("l"), (F.col("user_id") % 3).cast("string")).alias("lang"), label.alias("sentiment_label"),
     )
     path = fresh_dir(t.spark, "daily")
-    streams.to_table(
+    streams.to_daily_table(
         streams.daily_brand_counts(rows, "ts", "12 hours"), path, fresh_dir(t.spark, "checkpoint")
     ).awaitTermination()
     return tables.read_table(t.spark, path)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import date
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,27 +63,26 @@ def only_partition(df: DataFrame, values: Sequence[int], levels: Sequence[str] =
     return df
 
 
-MAX_LISTED_PARTITIONS = 1_000
-
-
 def in_partitions(df: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of a table in the partitions listed by ``wanted`` (one column per partition level).
+    """Rows of a table in the partitions listed by ``wanted`` (one column per partition level), a NULL
+    value being a partition like others.
 
-    Up to a thousand partitions become a literal filter, so that other
-    partitions are not even opened; beyond that most of the table is wanted
-    anyway and a semi join selects the rows."""
+    The span of each level's values becomes a literal filter, so that partitions outside it are not
+    even opened; a join selects the rows, at any number of partitions."""
     columns = wanted.columns
-    listed = wanted.limit(MAX_LISTED_PARTITIONS + 1).collect()
-    if len(listed) > MAX_LISTED_PARTITIONS:
-        return df.join(wanted, columns, "left_semi")
-    types = {f.name: f.dataType for f in wanted.schema.fields}
-    any_of = F.lit(False)
-    for row in listed:
-        one = F.lit(True)
-        for c in columns:
-            one = one & F.col(c).cast(types[c]).eqNullSafe(F.lit(row[c]).cast(types[c]))
-        any_of = any_of | one
-    return df.where(any_of)
+    wanted = wanted.distinct()
+    spans = wanted.agg(*[
+        f(c).alias(f"{c}_{n}") for c in columns
+        for n, f in (("low", F.min), ("high", F.max), ("null", lambda c: F.count_if(F.col(c).isNull())))
+    ]).head()
+    for c in columns:
+        kind = wanted.schema[c].dataType
+        low, high = (F.lit(spans[f"{c}_{n}"]).cast(kind) for n in ("low", "high"))
+        inside = F.col(c).cast(kind).between(low, high)
+        df = df.where(inside | F.col(c).isNull() if spans[f"{c}_null"] else inside)
+    listed = wanted.select(*[F.col(c).alias(f"_wanted_{c}") for c in columns])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_wanted_{c}")) for c in columns])
+    return df.join(listed, same, "left_semi")
 
 
 def read_latest_bronze(spark: SparkSession, path: str, dataset: str) -> DataFrame:

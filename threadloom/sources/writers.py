@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -109,23 +110,53 @@ def merge_partitions(
     """Merges a batch into a table by key; repeating a batch changes nothing.
     Returns the staged batch.
 
-    Reads the partitions the batch touches, keeps the latest row per key and
-    partition, and replaces just those. The merged rows are staged first, so that a
-    lost executor cannot make Spark re-read files the overwrite has already replaced."""
+    A key is unique in the whole table: besides the partitions that the batch touches, those that hold
+    one of its keys so far are read (of the rest, key columns alone), the latest row per key stays, and
+    just these partitions are replaced. A partition that has lost its last row is removed. The merged rows
+    are staged first, so that a lost executor cannot make Spark re-read files that the overwrite has
+    already replaced; they are removed once they are published."""
     columns = list(partition_cols)
     batch = stage(spark, batch)
     if verify is not None:
         verify(batch)
     target = read_if_present(spark, path, batch.schema)
     if target is None:
-        write_table(latest_by(batch, [*columns, *keys], order), path, columns)
+        write_table(latest_by(batch, keys, order), path, columns)
         return batch
-    kept = in_partitions(target, touched_partitions(batch, columns))
-    merged = latest_by(batch.unionByName(kept.select(*batch.columns)), [*columns, *keys], order)
-    write_table(stage(spark, merged), path, columns)
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_batch_{k}")) for k in keys])
+    listed = batch.select(*[F.col(k).alias(f"_batch_{k}") for k in keys]).distinct()
+    homes = target.select(*dict.fromkeys([*keys, *columns])).join(listed, same, "left_semi")
+    touched = stage(spark, touched_partitions(batch, columns).unionByName(touched_partitions(homes, columns)).distinct())
+    kept = in_partitions(target, touched)
+    merged = stage(spark, latest_by(batch.unionByName(kept.select(*batch.columns)), keys, order))
+    write_table(merged, path, columns)
+    left = [F.col(c).eqNullSafe(F.col(f"_left_{c}")) for c in columns]
+    filled = touched_partitions(merged, columns).select(*[F.col(c).alias(f"_left_{c}") for c in columns])
+    for row in touched.join(filled, reduce(lambda a, b: a & b, left), "left_anti").toLocalIterator():
+        remove_partition(spark, path, {c: row[c] for c in columns})
+    for done in (merged, touched):
+        remove_staged(spark, done)
     return batch
 
 
+def remove_partition(spark: SparkSession, path: str, values: dict) -> None:
+    """Deletes one partition's folder."""
+    to_text = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
+    folder = "/".join(to_text(c, None if v is None else str(v)) for c, v in values.items())
+    _delete(spark, f"{path.rstrip('/')}/{folder}")
+
+
+def remove_staged(spark: SparkSession, df: DataFrame) -> None:
+    """Deletes the files of a staged table that nothing reads any more."""
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        _delete(spark, folder)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def compact_duplicates(
     spark: SparkSession, path: str, keys: Sequence[str], order: Sequence[str], partition_cols: Sequence[str],
     where: Column | None = None,

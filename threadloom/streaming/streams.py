@@ -42,8 +42,8 @@ def unique_by_id(stream: DataFrame, key: str, time_col: str, within: str) -> Dat
 
 def daily_brand_counts(stream: DataFrame, time_col: str, late: str, brand_col: str = "brand_name",
                        lang_col: str = "lang", label_col: str = "sentiment_label") -> DataFrame:
-    """Mentions and labels per day, brand and language. A day is emitted once, when
-    the watermark has passed it; later records of that day are dropped. Share of
+    """Mentions and labels per day, brand and language. In append mode a day is emitted once, when the
+    watermark has passed it; ``to_daily_table`` has open days too. Later records of a passed day are dropped. Share of
     voice needs a day's full total and stays with the batch aggregate."""
     day = F.window(time_col, "1 day")
     label = F.lower(F.col(label_col))
@@ -55,6 +55,20 @@ def daily_brand_counts(stream: DataFrame, time_col: str, late: str, brand_col: s
                          "total_mentions", "positive_count", "neutral_count", "negative_count")
 
 
+def to_daily_table(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keeps a table of the daily counts up to date, days that are still open included. Each batch brings
+    the running totals of the days it changed, which only grow, so merging them by key can be repeated."""
+    keys = [c for c in counts.columns if not c.endswith(("_mentions", "_count"))]
+
+    def merge(batch: DataFrame, _: int) -> None:
+        merge_partitions(batch.sparkSession, batch, path, keys, ["total_mentions"], ["date"])
+
+    return (
+        counts.writeStream.foreachBatch(merge).outputMode("update")
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+
+
 def to_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Appends a stream's rows to a Parquet table, all available input at once."""
     return (

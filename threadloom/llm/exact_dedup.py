@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 from threadloom.llm.common import fold_ascii, pick, stage, union
 
 
+HOT_SHARE = 1000
+
+
 def exact_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest",
     normalise: Callable[[Column], Column] = fold_ascii, digest: Callable[[Column], Column] = F.md5,
@@ -36,10 +39,15 @@ def exact_groups(
 
     # Counts combine before the shuffle: a hot hash costs each task one row.
     several = stage(keys.groupBy("hash").agg(size, chosen).where("group_size > 1"), "groups")
-    # The list of hashes grows with the corpus, so it is never broadcast, whatever its size.
-    members = rows.join(several.select("hash").hint("merge"), "hash", "left_semi")
+    # Hashes of more than a thousandth of all rows are fewer than a thousand, so their list can be
+    # broadcast: their rows are grouped right where they are read.
+    hot = several.where(F.col("group_size") * HOT_SHARE > keys.count()).select("hash")
+    members = rows.join(F.broadcast(hot), "hash", "left_semi")
+    # The list of the other hashes grows with the corpus, so it is never broadcast, whatever its size.
+    cold = rows.join(F.broadcast(hot), "hash", "left_anti")
+    cold = cold.join(several.join(F.broadcast(hot), "hash", "left_anti").select("hash").hint("merge"), "hash", "left_semi")
     bodies = stage(
-        members.groupBy("hash", "body").agg(size, chosen)
+        union([members, cold]).groupBy("hash", "body").agg(size, chosen)
         .select("hash", F.sha2("body", 256).alias("text_sha256"), "group_size", "keep_id"), "bodies",
     )
     distinct = bodies.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")

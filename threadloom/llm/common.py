@@ -74,5 +74,10 @@ def once_per_worker(key: str, make: Callable[[], Any]) -> Any:
     return kept[key]
 
 
+def forget_kept() -> None:
+    """Frees what earlier stages have kept in this worker."""
+    sys.__dict__.pop("_threadloom_kept", None)
+
+
 def union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)

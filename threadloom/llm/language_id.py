@@ -30,8 +30,9 @@ DIMENSIONS = 1024
 ORDER = 3
 MAX_LANGUAGES = 1000
 UNKNOWN = "und"
-# N-gram vectors kept by a worker: 128 MB.
+# N-gram vectors kept by a worker (32 MB), and used at once (16 MB).
 KEPT_GRAMS = 32_768
+GRAMS = 4096
 # Letters go 21 bits each into one 64-bit integer, so an n-gram has at most three.
 BITS = 21
 # Texts bundled together.
@@ -52,7 +53,7 @@ class Profiler:
         self.dimensions, self.order = dimensions, order
         self.letters: dict[int, np.ndarray] = {}
         self.rows: dict[int, int] = {}
-        self.table = np.empty((0, dimensions), np.float32)
+        self.table = np.empty((0, dimensions), np.int8)
         self.is_letter = np.zeros(0, np.int8)
 
     def grams(self, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -100,13 +101,13 @@ class Profiler:
     def weighted(self, grams: np.ndarray, row: np.ndarray, at: np.ndarray, weight: np.ndarray, rows: int) -> np.ndarray:
         """For each row the sum of its n-grams' vectors, times their weights."""
         out = np.zeros((rows, self.dimensions), np.float32)
-        for low in range(0, len(grams), KEPT_GRAMS // 2):
-            mine = (at >= low) & (at < low + KEPT_GRAMS // 2)
-            part = grams[low:low + KEPT_GRAMS // 2]
+        for low in range(0, len(grams), GRAMS):
+            mine = (at >= low) & (at < low + GRAMS)
+            part = grams[low:low + GRAMS]
             matrix = np.zeros((rows, len(part)), np.float32)
             np.add.at(matrix, (row[mine], at[mine] - low), weight[mine])
             held = self._rows(part)
-            out += matrix @ self.table[held]
+            out += matrix @ self.table[held].astype(np.float32)
         return out
 
     def bundles(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -123,7 +124,7 @@ class Profiler:
         if len(self.rows) + len(new) > KEPT_GRAMS:
             self.rows, self.table, new = {}, self.table[:0], grams
         if new:
-            made = np.stack([self._bind(g) for g in new]).astype(np.float32)
+            made = np.stack([self._bind(g) for g in new]).astype(np.int8)
             self.rows.update(zip(new, range(len(self.table), len(self.table) + len(new)), strict=True))
             self.table = np.concatenate((self.table, made))
         return np.fromiter((self.rows[g] for g in grams), np.int64, len(grams))

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import pick, stage
+from threadloom.llm.common import forget_kept, pick, stage
 
 WORDS = 5
 BLOCK_BYTES = 12 << 20
@@ -256,6 +256,7 @@ def shared_tokens(
     buckets = max(1, -(-size // bucket_bytes))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_kept()
         block, origin = Block(by_line, buckets), TaskContext.get().partitionId() << 24
         for batch in batches:
             texts = pc.fill_null(batch.column(1).cast(pa.string()), "")

@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 from threadloom.llm.common import forget_kept, pick, stage
 
 WORDS = 5
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 BUCKET_BYTES = 8 << 20
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 # Two sets of a thousand tokens share one by chance once in 10^8 comparisons; a chance hit elsewhere only
 # makes a candidate that verification drops. Fewer bits pack better.
 TOKEN_BITS = 48

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 from collections.abc import Callable
 from functools import reduce
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,18 +67,31 @@ def remove_staged(spark: SparkSession, paths: list[str]) -> None:
             staged(spark).remove(path)
 
 
-def once_per_worker(key: str, make: Callable[[], Any]) -> Any:
-    """A value kept for the life of a Python worker. Functions arrive by value with their own
-    globals for each task, so the value hangs on a module that every task shares."""
-    kept = sys.__dict__.setdefault("_threadloom_kept", {})
-    if key not in kept:
-        kept[key] = make()
-    return kept[key]
+def once_per_worker(key: str, make: Callable[[], Any], alone: bool = False) -> Any:
+    """A value kept for the life of a Python worker; ``alone``: in place of what earlier stages have kept.
+    Functions arrive by value with their own globals for each task, so the value hangs on a module
+    that every task shares."""
+    if key not in sys.__dict__.get("_threadloom_kept", {}):
+        if alone:
+            forget_kept()
+        value = make()
+        sys.__dict__.setdefault("_threadloom_kept", {})[key] = value
+    return sys.__dict__["_threadloom_kept"][key]
 
 
 def forget_kept() -> None:
     """Frees what earlier stages have kept in this worker."""
     sys.__dict__.pop("_threadloom_kept", None)
+    return_memory()
+
+
+def return_memory() -> None:
+    """Gives freed memory back to the system: Arrow's pool and, where the C library can, its heap.
+    A worker otherwise keeps the most it ever used, beside the other workers of its executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def union(parts: list[DataFrame]) -> DataFrame:

@@ -30,12 +30,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import once_per_worker, pick
+from threadloom.llm.common import once_per_worker, pick, return_memory
 
 WINDOW = 2048
 BLOCK_TOKENS = 1 << 24
-# Words kept by a worker: some 200 MB.
-WORDS_KEPT = 1_200_000
+# Words kept by a worker: some 100 MB.
+WORDS_KEPT = 600_000
 MARK = "0"
 SIGNS = ".,"
 
@@ -197,7 +197,7 @@ def pack(
     names = ["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = once_per_worker(f"words {tokenizer_path}", lambda: WordEncoder(tokenizer_path))
+        encoder = once_per_worker(f"words {tokenizer_path}", lambda: WordEncoder(tokenizer_path), alone=True)
         sequence = TaskContext.get().partitionId() << 33
         waiting: list[tuple] = []
         held = 0
@@ -218,6 +218,7 @@ def pack(
 
         rows_type = None
         for received in batches:
+            return_memory()
             rows_type = received.schema.field(0).type
             for low in range(0, received.num_rows, 512):
                 part = received.slice(low, 512)

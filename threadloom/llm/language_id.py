@@ -140,7 +140,7 @@ class Profiler:
 
 
 def profiler(dimensions: int, order: int) -> Profiler:
-    return once_per_worker(f"profiler {dimensions} {order}", lambda: Profiler(dimensions, order))
+    return once_per_worker(f"profiler {dimensions} {order}", lambda: Profiler(dimensions, order), alone=True)
 
 
 def learn(

@@ -212,11 +212,21 @@ def test_skew_join_equals_join(spark, how):
     )
     right = spark.createDataFrame([("hot", 1), ("1", 2), ("2", 3), ("none", 4), (None, 5)], "k string, v int")
     plain = left.join(right, ["k"], how)
-    salted = skew_join(left, right, ["k"], how, spread=["id"], salts=4, min_rows=100)
+    salted = skew_join(left, right, ["k"], how, spread=["id"], min_rows=100)
     assert salted.select(*plain.columns).exceptAll(plain).count() == 0 and salted.count() == plain.count()
     assert [r["k"] for r in hot_keys(left, ["k"], 100).collect()] == ["hot"]
 
 
+def test_every_hot_key_is_split(spark):
+    left = spark.range(20_000).withColumn("k", F.col("id") % 2_000)
+    hot = hot_keys(left, ["k"], 4)
+    assert hot.count() == 2_000 and hot.select(F.min("_salts"), F.max("_salts")).head() == (3, 3)
+    right = spark.range(0, 3_000, 2).withColumnRenamed("id", "k").withColumn("v", F.col("k") + 1)
+    joined = skew_join(left, right, ["k"], "left", spread=["id"], min_rows=4)
+    plain = left.join(right, ["k"], "left").select(*joined.columns)
+    assert joined.count() == 20_000 and joined.exceptAll(plain).count() == 0
+
+
 def test_hot_rows_are_spread_over_tasks(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")

@@ -9,25 +9,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000
-MAX_HOT_KEYS = 1_000
-SALTS = 64
+# A hot key has at least this share of all rows, so there are at most 1 / HOT_SHARE of them whatever the input.
+HOT_SHARE = 1e-5
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_ROWS) -> DataFrame:
-    """The most frequent keys, at most ``MAX_HOT_KEYS`` of them, so the result
-    is small enough to broadcast at any input size. It only steers salting: a
-    key outside the list holds less than 1/1000 of the rows and is joined as usual."""
+    """Every key with at least ``min_rows`` rows and ``HOT_SHARE`` of all rows, with ``_salts``: how
+    many times ``min_rows`` it has. The share bounds the list, so it can be broadcast at any input size."""
     counts = df.dropna(subset=list(keys)).groupBy(*keys).agg(F.count("*").alias("_rows"))
     return hottest(counts, keys, "_rows", min_rows)
 
 
 def hottest(counts: DataFrame, keys: Sequence[str], rows: str, min_rows: int = HOT_ROWS) -> DataFrame:
     """``hot_keys`` for callers that already have rows per key."""
-    return (
-        counts.where(F.col(rows) >= min_rows)
-        .orderBy(F.col(rows).desc(), *keys)
-        .limit(MAX_HOT_KEYS)
-        .select(*keys)
+    n = F.col(rows)
+    share = counts.agg((F.sum(rows) * HOT_SHARE).alias("least")).scalar()
+    return counts.dropna(subset=list(keys)).where((n >= min_rows) & (n >= share)).select(
+        *keys, F.ceil(n / min_rows).cast("int").alias("_salts")
     )
 
 
@@ -38,28 +36,24 @@ def skew_join(
     how: str,
     spread: Sequence[str],
     hot: DataFrame | None = None,
-    salts: int = SALTS,
     min_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Equi-join whose left side may be dominated by a few keys.
 
-    Rows of a hot key are spread over ``salts`` buckets by a hash of ``spread``
+    Rows of a hot key are spread over its ``_salts`` by a hash of ``spread``
     (stable under task retries); the matching right rows are repeated per
-    bucket. Rows with a NULL key match nothing and are spread as well.
+    salt. Rows with a NULL key match nothing and are spread as well.
     ``how``: inner, left, left_semi or left_anti."""
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how!r}")
     on = list(on)
     hot = hot_keys(left, on, min_rows) if hot is None else hot
-    flags = F.broadcast(hot.select(*on).withColumn("_hot", F.lit(True)))
+    flags = F.broadcast(hot.select(*on, "_salts"))
     no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in on])
-    bucket = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
-
-    salted_left = left.join(flags, on, "left").withColumn(
-        "_salt", F.when(F.col("_hot") | no_key, bucket).otherwise(F.lit(0))
-    ).drop("_hot")
+    spot = F.xxhash64(*spread)
+    salt = F.when(no_key, spot).when(F.col("_salts") > 1, F.pmod(spot, F.col("_salts"))).otherwise(F.lit(0))
+    salted_left = left.join(flags, on, "left").withColumn("_salt", salt).drop("_salts")
     salted_right = right.join(flags, on, "left").withColumn(
-        "_salt",
-        F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))),
-    ).drop("_hot")
+        "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_salts", F.lit(1)).cast("bigint") - 1))
+    ).drop("_salts")
     return salted_left.join(salted_right, on + ["_salt"], how).drop("_salt")

@@ -209,6 +209,12 @@ def test_large_threads_are_laid_out_in_parts(spark):
     assert [d["part"] for d in docs if any(c["is_root"] for c in d["comments"])] == [0]
 
 
+def test_prompts_of_parts_state_the_whole_thread(spark):
+    docs = TH.build_threads(*thread_input(spark, 60), part_size=10)
+    prompts = TH.with_prompt(docs, "n={n}", F.lit(""), total=F.col("brand_comment_count")).select("prompt").collect()
+    assert len(prompts) > 5 and {r["prompt"] for r in prompts} == {"n=121"}
+
+
 def test_analyzed_threads_are_skipped(spark):
     done = spark.createDataFrame([("v1", "c1")], "video_id string, thread_id string")
     assert TH.build_threads(*thread_input(spark, 51), analyzed=done).count() == 0

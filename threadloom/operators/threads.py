@@ -135,7 +135,11 @@ def format_post(comments: Column, max_chars: int | None = None) -> Column:
     return F.array_join(F.transform(comments, line), "\n")
 
 
-def with_prompt(df: DataFrame, template: str, conversation: Column, comments: str = "comments") -> DataFrame:
-    """``prompt``: the template with ``{n}`` and ``{conversation_text}`` filled in."""
-    counted = F.replace(F.lit(template), F.lit("{n}"), F.size(comments).cast("string"))
+def with_prompt(
+    df: DataFrame, template: str, conversation: Column, comments: str = "comments", total: Column | None = None
+) -> DataFrame:
+    """``prompt``: the template with ``{n}`` and ``{conversation_text}`` filled in. ``{n}`` is ``total``,
+    the comments of all parts, or by default the comments at hand."""
+    n = F.size(comments) if total is None else total
+    counted = F.replace(F.lit(template), F.lit("{n}"), n.cast("string"))
     return df.withColumn("prompt", F.replace(counted, F.lit("{conversation_text}"), conversation))

@@ -73,7 +73,8 @@ def build_threads(
 
 def thread_insights(documents: DataFrame, answer: Callable[[str], str], at, max_chars: int | None = None) -> DataFrame:
     """Insight rows of thread documents: prompt, answer, items, merge over all parts of a thread."""
-    prompts = threads.with_prompt(documents, PROMPT, threads.format_thread(F.col("comments"), max_chars)).select(
+    conversation = threads.format_thread(F.col("comments"), max_chars)
+    prompts = threads.with_prompt(documents, PROMPT, conversation, total=F.col("brand_comment_count")).select(
         "video_id", "thread_id", "part", "brand_comment_count", "prompt"
     )
     keys = ["video_id", "thread_id", "brand_comment_count"]

@@ -21,6 +21,7 @@ never looked at.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -103,7 +104,11 @@ class WordEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        # A task has one core; a thread for each core of the machine would keep a heap of its own.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        ids = self.tokenizer.get_vocab(with_added_tokens=True).values()
+        self.kind = np.uint16 if max(ids, default=0) < 1 << 16 else np.uint32
         self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids[0]
         one = {s: self.tokenizer.encode(s, add_special_tokens=False).ids for s in SIGNS}
         self.signs = {s: ids[0] for s, ids in one.items() if len(ids) == 1}
@@ -112,7 +117,7 @@ class WordEncoder:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.flat, self.starts, self.lens = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.starts, self.lens = np.zeros(0, self.kind), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and the number of ids of each text."""
@@ -129,7 +134,7 @@ class WordEncoder:
         if whole:
             parts = np.split(ids, np.cumsum(counts)[:-1])
             for i in whole:
-                parts[i] = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint32)
+                parts[i] = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, self.kind)
             ids, counts = np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
         return ids, counts
 
@@ -148,7 +153,7 @@ class WordEncoder:
                 core = np.fromiter((self.known[c] for c in ended), np.int64, len(ended))
                 lens = self.lens[core] + 1
                 ends = np.cumsum(lens)
-                flat = np.empty(int(ends[-1]), np.uint32)
+                flat = np.empty(int(ends[-1]), self.kind)
                 flat[ends - 1] = ids
                 inner = np.delete(np.arange(len(flat)), ends - 1)
                 flat[inner] = self.flat[_spans(self.starts[core], self.lens[core])]
@@ -170,8 +175,8 @@ class WordEncoder:
         time, with a digit between them that none of them has; digits always are tokens of their own."""
         plain = [w for w in words if MARK not in w]
         runs = [f" {MARK} ".join(plain[low:low + 4096]) + f" {MARK}" for low in range(0, len(plain), 4096)]
-        ids = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)]
-        ids = np.concatenate([np.zeros(0, np.uint32), *ids])
+        ids = [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)]
+        ids = np.concatenate([np.zeros(0, self.kind), *ids])
         ends = np.flatnonzero(ids == self.mark)
         if len(ends) != len(plain):
             raise ValueError("the tokenizer does not keep digits apart")
@@ -179,7 +184,7 @@ class WordEncoder:
         flat = np.delete(ids, ends)
         if len(plain) < len(words):
             parts = iter(np.split(flat, np.cumsum(lens)[:-1])) if plain else iter(())
-            own = [np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32) if MARK in w
+            own = [np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, self.kind) if MARK in w
                    else next(parts) for w in words]
             flat, lens = np.concatenate(own), np.array([len(o) for o in own], np.int64)
         return flat, lens
@@ -198,12 +203,15 @@ def pack(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = once_per_worker(f"words {tokenizer_path}", lambda: WordEncoder(tokenizer_path), alone=True)
+        # Ids wait as narrow as they can.
+        kept = encoder.kind if end_id < 1 << 16 else np.uint32
         sequence = TaskContext.get().partitionId() << 33
         waiting: list[tuple] = []
         held = 0
 
         def batch(pieces: list[tuple]) -> pa.RecordBatch:
             columns = list(zip(*pieces, strict=True))
+            columns[3] = [ids.astype("<u4").tobytes() for ids in columns[3]]
             kinds = [rows_type, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
             return pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
@@ -225,13 +233,13 @@ def pack(
                 ids, counts = encoder.encode(pc.fill_null(part.column(1).cast(pa.string()), ""))
                 full, at = [], 0
                 for doc, n in zip(part.column(0).to_pylist(), counts.tolist(), strict=True):
-                    own = np.append(ids[at:at + n], np.uint32(end_id)).astype("<u4")
+                    own = np.append(ids[at:at + n], kept(end_id))
                     at, total = at + n, n + 1
                     for start in range(0, total - total % window, window):
-                        full.append((doc, start, window, own[start:start + window].tobytes(), total, sequence, 0))
+                        full.append((doc, start, window, own[start:start + window], total, sequence, 0))
                         sequence += 1
                     if rest := total % window:
-                        waiting.append((doc, total - rest, rest, own[total - rest:].tobytes(), total))
+                        waiting.append((doc, total - rest, rest, own[total - rest:].copy(), total))
                         held += rest
                 if full:
                     yield batch(full)

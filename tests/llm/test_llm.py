@@ -204,6 +204,16 @@ def test_contaminated(spark):
     assert decontamination.contaminated(frame(spark, docs), bench.limit(0)).count() == 0
 
 
+def test_contaminated_in_any_case(spark):
+    """Copies in capitals or lower case, where other words are names and units than in the item."""
+    item = "after lunch, Alice walked 5km to Boston, where she met Carl, bought ripe pears, and sang a long song about frogs"
+    short = "green frogs sing long songs at night"
+    docs = [(1, item.upper()), (2, "so " + item.lower()), (3, "x " + item), (4, "I saw, " + short.capitalize() + " again"), (5, "no copy at all")]
+    bench = spark.createDataFrame([(1, item), (2, short)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.offset, r.verbatim) for r in decontamination.contaminated(frame(spark, docs), bench).collect()}
+    assert got == {(1, 1, 0, True), (2, 1, 1, True), (3, 1, 1, True), (4, 2, 2, True)}
+
+
 def test_licenses(spark):
     filler = " ".join(f"f{i}" for i in range(40))
     docs = [(i, f"{filler[:i * 7]} {notice.upper()} {filler}") for i, (_, notice) in enumerate(license_scan.TEMPLATES)]

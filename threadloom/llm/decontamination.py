@@ -6,6 +6,10 @@ joined with the windows of the benchmark. Where windows meet, the slots are chec
 an item that lie at one offset in a document, each value of the item must stand for one value of the
 document and the other way round, else the match is a chance one of much the same shape.
 
+What is a name depends on upper and lower case, so windows of the plain lower-cased words are hashed and
+joined too. Both forms have their words at the same places. A window that meets in the plain form alone is
+the same word for word and needs no slot check.
+
 A name is a capitalised word that follows a lower-case word, a number or a comma; a unit is one of a
 list of words right after a number. Windows need seven words that are no placeholders. An item of five to
 twelve words is one window; a shorter one is no evidence of anything and is never found.
@@ -44,7 +48,10 @@ def tokens(text: Column) -> Column:
     text = F.when(F.contains(text, F.lit(MARK)), F.translate(text, MARK, " ")).otherwise(text)
     text = F.regexp_replace(text, r"(?<=[\p{Ll}\p{N},;]\s)(\p{Lu}\p{L}*)", MARK + "a$1")
     numbers = F.regexp_replace(text, r"(?<![\p{L}\p{N}\x01])(\p{N}+(?:[.,]\p{N}+)*)", MARK + "n$1")
-    units = F.regexp_replace(numbers, rf"(?<=\x01n[\p{{N}}.,]{{1,40}} ?)({'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", f" {MARK}u$1")
+    # A unit written onto its number is parted from it in upper case too, so that case moves no word.
+    number, unit = r"\x01n[\p{N}.,]{1,40}", "|".join(UNITS)
+    units = F.regexp_replace(
+        numbers, rf"(?<=[\p{{N}}., ])(?:(?<={number})(?i:{unit})|(?<={number} )(?:{unit}))(?![\p{{L}}\p{{N}}])", f" {MARK}u$0")
     text = F.when(F.rlike(text, F.lit(r"\p{N}")), units).otherwise(text)
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}\x01.,]+|[.,]+(?!\p{N})"), lambda t: t != "")
 
@@ -54,12 +61,33 @@ def canonical(words: Column) -> Column:
     return F.transform(words, lambda t: F.when(t.startswith(MARK), F.substring(t, 1, 2)).otherwise(t))
 
 
-def windows(words: Column, length: int) -> Column:
-    """Length, hash and place of each window; none if there are fewer words."""
-    last = F.size(words) - length
+def plain(words: Column) -> Column:
+    """Words alone: values instead of placeholders."""
+    return F.transform(words, lambda t: F.when(t.startswith(MARK), F.substring(t, 3, 1 << 30)).otherwise(t))
+
+
+def hashed(words: Column) -> list[Column]:
+    """Hashes of the words in both forms."""
+    return [F.transform(form, lambda t: F.xxhash64(t)).alias(name) for form, name in ((canonical(words), "shapes"), (plain(words), "plains"))]
+
+
+def windows(length: int) -> Column:
+    """Length, place and both hashes of each window of the columns shapes and plains; none if there are fewer words."""
+    last = F.size("shapes") - length
     places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.struct(
-        F.lit(length).alias("length"), F.xxhash64(F.slice(words, i + 1, F.lit(length))).alias("hash"), i.alias("at")))
+    return F.transform(places, lambda i: F.struct(F.lit(length).alias("length"), i.alias("at"), *[
+        F.xxhash64(F.slice(c, i + 1, F.lit(length))).alias(c) for c in ("shapes", "plains")]))
+
+
+def all_windows(lengths: list[int]) -> Column:
+    each = [windows(n) for n in lengths]
+    return F.concat(*each) if each else F.array().cast("array<struct<length:int,at:int,shapes:bigint,plains:bigint>>")
+
+
+def forms(loose: Column) -> Column:
+    """The hashes of a window w to look it up by, without the first form if it is not ``loose``; one if both are equal."""
+    both = [F.struct(F.col(f"w.{c}").alias("hash"), F.lit(c == "shapes").alias("shaped")) for c in ("shapes", "plains")]
+    return F.when(~loose, F.array(both[1])).when(F.col("w.shapes") == F.col("w.plains"), F.array(both[0])).otherwise(F.array(*both))
 
 
 def literals(words: Column) -> Column:
@@ -75,41 +103,47 @@ def contaminated(
     items = pick(benchmark, item=item_col, text=item_text)
     # Items are numbered by their place in a total order, so that repeated or null ids stay apart.
     items = stage(items.select("item", tokens(F.col("text")).alias("words"), F.expr("uuid()").alias("key")), "items")
-    items = items.withColumns({"length": F.least(F.size("words"), F.lit(window)), "shape": canonical(F.col("words"))})
-    items = items.where(f"length >= {SHORTEST}")
+    items = items.withColumn("length", F.least(F.size("words"), F.lit(window))).where(f"length >= {SHORTEST}")
     lengths = sorted(r["length"] for r in items.select("length").distinct().collect())  # at most nine
-    parts = F.explode(F.when(F.col("length") == window, windows(F.col("shape"), window)).otherwise(
-        F.array(F.struct(F.col("length"), F.xxhash64("shape").alias("hash"), F.lit(0).alias("at")))))
-    wanted = items.select("key", "length", "words", parts.alias("w")).where(
+    parts = F.filter(all_windows(lengths), lambda w: w["length"] == F.col("length"))
+    wanted = items.select("key", "length", "words", *hashed(F.col("words"))).select(
+        "key", "length", "words", F.explode(parts).alias("w")).where(
         literals(F.slice("words", F.col("w.at") + 1, F.col("length"))) >= F.least(F.lit(min_literals), F.col("length")))
-    wanted = stage(wanted.select("key", "length", F.col("w.hash").alias("hash"), F.col("w.at").alias("item_at")), "wanted")
+    wanted = wanted.select("key", "length", F.col("w.at").alias("item_at"), F.inline(forms(F.lit(True))).alias("hash", "item_shaped"))
+    wanted = stage(wanted, "wanted")
     few = wanted.count() <= BROADCAST_WINDOWS
 
     rows = pick(docs, id=id_col, text=text_col).where("id IS NOT NULL")
-    words = rows.select("id", tokens(F.col("text")).alias("words")).select("id", canonical(F.col("words")).alias("words"))
-    each = [windows(F.col("words"), n) for n in lengths]
-    each = F.concat(*each) if each else F.array().cast("array<struct<length:int,hash:bigint,at:int>>")
-    found = words.select("id", F.explode(each).alias("w")).select("id", "w.length", "w.hash", "w.at")
+    words = rows.select("id", tokens(F.col("text")).alias("words")).select("id", *hashed(F.col("words")))
+    found = words.select("id", F.explode(all_windows(lengths)).alias("w"))
+    found = found.select("id", "w.length", "w.at", F.inline(forms(F.lit(True))).alias("hash", "shaped"))
     hits = found.join(F.broadcast(wanted) if few else wanted, ["hash", "length"])
+    by_shape = F.col("shaped") & F.col("item_shaped")
     hits = hits.groupBy("id", "key", "length", (F.col("at") - F.col("item_at")).alias("offset")).agg(
-        F.collect_set("item_at").alias("starts"))
-    hits = stage(hits, "hits")
+        F.collect_set(F.when(by_shape, F.col("item_at"))).alias("starts"),
+        F.collect_set(F.when(~by_shape, F.col("item_at"))).alias("same"))
+    hits = stage(hits.withColumn("same", F.array_except("same", "starts")), "hits")
 
     # The few texts that match at all are cut into words once more, now with the values in the slots.
     texts = rows.join(hits.select("id").distinct(), "id", "left_semi")
     texts = texts.select("id", tokens(F.col("text")).alias("doc_words"))
     both = hits.join(texts, "id").join(items.select("key", "item", "words"), "key")
-    covered = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + F.col("length") - 1))))
-    slots = F.filter(covered, lambda p: F.get("words", p).startswith(MARK))
-    filled = F.array_distinct(F.transform(slots, lambda p: F.struct(
+
+    def slots(starts: Column) -> Column:
+        covered = F.flatten(F.transform(starts, lambda s: F.sequence(s, s + F.col("length") - 1)))
+        return F.filter(F.array_distinct(covered), lambda p: F.get("words", p).startswith(MARK))
+
+    filled = F.array_distinct(F.transform(slots(F.col("starts")), lambda p: F.struct(
         F.get("words", p).alias("a"), F.get("doc_words", p + F.col("offset")).alias("b"))))
-    both = both.withColumns({"slots": filled, "n_slots": F.size(slots)})
-    one_to_one = (F.size(F.array_distinct("slots.a")) == F.size("slots")) & (
+    both = both.withColumn("slots", filled)
+    one_to_one = (F.size("starts") > 0) & (F.size(F.array_distinct("slots.a")) == F.size("slots")) & (
         F.size(F.array_distinct("slots.b")) == F.size("slots"))
-    return both.where(one_to_one).select(
+    both = both.withColumn("one_to_one", one_to_one).where("one_to_one OR size(same) > 0")
+    both = both.withColumn("kept", F.when(F.col("one_to_one"), F.array_union("starts", "same")).otherwise(F.col("same")))
+    return both.select(
         F.col("id").alias(id_col), F.col("item").alias("item_id"), F.col("offset").cast("bigint").alias("offset"),
-        F.size("starts").cast("bigint").alias("n_windows"), F.col("n_slots").cast("bigint").alias("n_slots"),
-        F.forall("slots", lambda s: s["a"] == s["b"]).alias("verbatim")).distinct()
+        F.size("kept").cast("bigint").alias("n_windows"), F.size(slots(F.col("kept"))).cast("bigint").alias("n_slots"),
+        (~F.col("one_to_one") | F.forall("slots", lambda s: s["a"] == s["b"])).alias("verbatim")).distinct()
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

@@ -214,6 +214,16 @@ def test_contaminated_in_any_case(spark):
     assert got == {(1, 1, 0, True), (2, 1, 1, True), (3, 1, 1, True), (4, 2, 2, True)}
 
 
+def test_contaminated_with_few_literals(spark):
+    """Windows that are mostly numbers and names are found verbatim, and only so."""
+    items = ["What is 7 times 8", "add 3 and 14 and 15 and 92 to 6 please", "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15"]
+    bench = spark.createDataFrame(list(enumerate(items, 1)), "item_id long, text string")
+    docs = [(i, f"so now: {text} and more") for i, text in enumerate(items, 1)]
+    docs += [(10 + i, re.sub(r"\d+", lambda m: str(int(m[0]) + 20), text)) for i, text in docs]
+    got = {(r.doc_id, r.item_id, r.verbatim) for r in decontamination.contaminated(frame(spark, docs), bench).collect()}
+    assert got == {(1, 1, True), (2, 2, True), (3, 3, True)}
+
+
 def test_licenses(spark):
     filler = " ".join(f"f{i}" for i in range(40))
     docs = [(i, f"{filler[:i * 7]} {notice.upper()} {filler}") for i, (_, notice) in enumerate(license_scan.TEMPLATES)]

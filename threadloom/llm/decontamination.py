@@ -11,8 +11,9 @@ joined too. Both forms have their words at the same places. A window that meets
 the same word for word and needs no slot check.
 
 A name is a capitalised word that follows a lower-case word, a number or a comma; a unit is one of a
-list of words right after a number. Windows need seven words that are no placeholders. An item of five to
-twelve words is one window; a shorter one is no evidence of anything and is never found.
+list of words right after a number. Windows of an item with less than seven words that are no placeholders
+meet in the plain form only, so verbatim. An item of five to twelve words is one window; a shorter one is no
+evidence of anything and is never found.
 
 Defined cases: null texts are empty and match nothing. Rows repeated with one id are one document, which matches if one of them does. Rows
 without id cannot be named and are never reported. Repeated or null benchmark ids are items like others.
@@ -107,9 +108,9 @@ def contaminated(
     lengths = sorted(r["length"] for r in items.select("length").distinct().collect())  # at most nine
     parts = F.filter(all_windows(lengths), lambda w: w["length"] == F.col("length"))
     wanted = items.select("key", "length", "words", *hashed(F.col("words"))).select(
-        "key", "length", "words", F.explode(parts).alias("w")).where(
-        literals(F.slice("words", F.col("w.at") + 1, F.col("length"))) >= F.least(F.lit(min_literals), F.col("length")))
-    wanted = wanted.select("key", "length", F.col("w.at").alias("item_at"), F.inline(forms(F.lit(True))).alias("hash", "item_shaped"))
+        "key", "length", "words", F.explode(parts).alias("w"))
+    loose = literals(F.slice("words", F.col("w.at") + 1, F.col("length"))) >= F.least(F.lit(min_literals), F.col("length"))
+    wanted = wanted.select("key", "length", F.col("w.at").alias("item_at"), F.inline(forms(loose)).alias("hash", "item_shaped"))
     wanted = stage(wanted, "wanted")
     few = wanted.count() <= BROADCAST_WINDOWS
 

@@ -37,7 +37,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def join_ngrams(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies the document with the smallest id stays."""
-    found = ngram_join.similar_documents(docs)
+    found = ngram_join.similar_documents(docs, with_links=False)
     copies = stage(found.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
     return docs.join(copies, "doc_id", "left_anti").select(*COLUMNS)
 

@@ -73,6 +73,17 @@ def test_similar_documents_equal_brute_force(spark, near_copies):
         assert got == {i: (len(sets[i]), root(i)) for i in sets}
 
 
+def test_links_equal_brute_force(spark, near_copies, monkeypatch):
+    sets = {i: word_sets(t) for i, t in near_copies}
+    want = {i: sum(alike(s, other) for other in set(sets.values()) - {s}) for i, s in sets.items()}
+    assert max(want.values()) > 5
+    for classes, tokens in ((512, 1 << 17), (3, 700)):
+        monkeypatch.setattr(ngram_join, "BLOCK_CLASSES", classes)
+        monkeypatch.setattr(ngram_join, "CELL_TOKENS", tokens)
+        got = {r.doc_id: r.n_links for r in ngram_join.similar_documents(frame(spark, near_copies)).collect()}
+        assert got == want
+
+
 def test_repeated_rows_are_linked(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (3, None)]
     got = sorted((r.doc_id or 0, r.component_id) for r in ngram_join.similar_documents(frame(spark, rows)).collect())

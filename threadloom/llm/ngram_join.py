@@ -10,8 +10,11 @@ probed by binary search for the rest.
 Groups of copies do not cost the square of their size. Equal sets become one class before anything
 is joined. Then each class is verified against one partner, the first class of the lists it is in;
 only classes of different components so far are joined after that, each pair of components once a
-list and then their members. No link between different sets is lost: whatever is left out joins
-classes that are connected already.
+list and then their members. Whatever is left out joins classes that are connected already.
+
+Links are counted afterwards. All similar classes are in one component, so each component is cut into
+blocks of similar size, and the overlaps of two blocks are one matrix product. Links are counted, not
+listed: the rows that are made grow with the blocks, the work with the pairs of a component whose sizes fit.
 
 Defined cases: words are what lies between ASCII white space, A-Z lower-cased. A null text, or one
 without words, has no shingle, is linked with nothing and is a component of its own. A text of less
@@ -22,6 +25,10 @@ an empty result; other columns are never looked at.
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +38,13 @@ from threadloom.llm.token_sets import (
     BLOCK_BYTES, BUCKET_BYTES, Threshold, one_per_class, prefix_postings, shared_tokens, similar_pairs,
 )
 
+# A block has up to about so many classes and tokens; block pairs of about so many tokens are counted at once.
+BLOCK_CLASSES = 512
+BLOCK_TOKENS = 128 << 10
+CELL_TOKENS = 512 << 10
+# Columns of a matrix at once.
+TOKENS = 4096
+
 
 def sizes_fit(one: str, other: str, threshold: Threshold) -> str:
     """Whether two sizes allow the similarity at all."""
@@ -84,12 +98,83 @@ def further_links(
     return similar_pairs(pairs, candidates, threshold)
 
 
+def overlaps(tokens: np.ndarray, rows: np.ndarray, first: int, count: int) -> np.ndarray:
+    """Overlaps of the first rows with the others, or with themselves if there are no others."""
+    unique, at, held = np.unique(tokens, return_inverse=True, return_counts=True)
+    column = (np.cumsum(held > 1) - 1)[at]
+    rows, column = rows[held[at] > 1], column[held[at] > 1]
+    order = np.argsort(column, kind="stable")
+    rows, column = rows[order], column[order]
+    out = np.zeros((first, count - first or first))
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, TOKENS):
+        part = slice(*np.searchsorted(column, (low, low + TOKENS)))
+        matrix = np.zeros((count, TOKENS), np.float32)
+        matrix[rows[part], column[part] - low] = 1
+        out += matrix[:first] @ (matrix[first:] if count > first else matrix).T
+    return out
+
+
+def count_links(candidates: DataFrame, found: DataFrame, threshold: Threshold) -> DataFrame:
+    """Of each class that has links their number: class, n_links."""
+    band = F.floor(F.log(F.col("n")) / math.log(threshold.whole / threshold.part)) if threshold.part < threshold.whole else F.col("n")
+    places = candidates.select("class", "n", F.size("tokens").alias("weight")).join(
+        found.withColumnRenamed("node", "class"), "class").withColumn("band", band)
+    blocks = places.groupBy("component", "band").agg(F.greatest(
+        F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES), F.ceil(F.sum("weight") / BLOCK_TOKENS)).alias("blocks"))
+    places = stage(places.join(blocks, ["component", "band"]).withColumn(
+        "block", F.pmod(F.xxhash64("class"), F.col("blocks"))).drop("blocks"), "places")
+    key = F.struct("band", "block").alias("key")
+    blocks = places.groupBy("component", key).agg(
+        F.min("n").alias("low"), F.max("n").alias("high"), F.sum("weight").alias("weight"))
+    blocks = stage(blocks, "blocks")
+    a, b = (blocks.select("component", *[F.col(c).alias(f"{s}_{c}") for c in ("key", "low", "high", "weight")]) for s in "ab")
+    p, w = threshold.part, threshold.whole
+    meet = a.join(b, "component").where("a_key <= b_key").where(f"a_high * {w} >= b_low * {p} AND b_high * {w} >= a_low * {p}")
+    meet = stage(meet.select(
+        F.monotonically_increasing_id().alias("pair"), "component", "a_key", "b_key",
+        (F.col("a_weight") + F.col("b_weight")).alias("weight")), "meet")
+    cells = max(1, -(-(meet.agg(F.sum("weight")).head()[0] or 0) // CELL_TOKENS))
+    sides = meet.select("pair", "component", F.inline(F.when(
+        F.col("a_key") == F.col("b_key"), F.array(F.struct(F.lit(0).alias("side"), F.col("a_key").alias("key")))).otherwise(
+        F.array(*[F.struct(F.lit(i).alias("side"), F.col(k).alias("key")) for i, k in enumerate(("a_key", "b_key"))])))
+        .alias("side", "key"))
+    rows = sides.select("pair", "side", "component", "key.band", "key.block").join(
+        places.select("component", "band", "block", "class"), ["component", "band", "block"])
+    rows = rows.join(candidates.select("class", "n", "tokens"), "class").select(
+        F.pmod(F.xxhash64("pair"), F.lit(cells)).alias("cell"), "pair", "side", "class", "n", "tokens")
+
+    def count(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("pair", "ascending"), ("side", "ascending")]).combine_chunks()
+        pair, side, name, n = (group.column(c).to_numpy() for c in ("pair", "side", "class", "n"))
+        lists = group.column("tokens").combine_chunks()
+        edges = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
+        flat = lists.flatten().to_numpy()
+        links = np.zeros(len(pair), np.int64)
+        cuts = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1], [True])))
+        for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            first, size = int((side[low:high] == 0).sum()), n[low:high]
+            owners = np.repeat(np.arange(high - low), np.diff(edges[low:high + 1]))
+            shared = overlaps(flat[edges[low]:edges[high]], owners, first, high - low)
+            itself = first == high - low
+            good = threshold.similar(shared, size[:first, None], (size if itself else size[first:])[None, :])
+            if itself:
+                np.fill_diagonal(good, False)
+            links[low:low + first] += good.sum(axis=1)
+            if not itself:
+                links[low + first:high] += good.sum(axis=0)
+        some = links > 0
+        return pa.table([pa.array(name[some]), pa.array(links[some])], names=["class", "links"])
+
+    counted = rows.groupBy("cell").applyInArrow(count, "class bigint, links bigint")
+    return counted.groupBy("class").agg(F.sum("links").alias("n_links"))
+
+
 def similar_documents(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: Threshold = Threshold(),
-    block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES,
+    block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES, with_links: bool = True,
 ) -> DataFrame:
     """Per row: id, n_shingles, component_id (the smallest id that links reach), class_id (equal sets
-    have equal ones), n_links (classes linked with its own that were verified)."""
+    have equal ones), n_links (other classes that are similar to its own; null unless ``with_links``)."""
     records = shared_tokens(docs, threshold, False, id_col, text_col, block_bytes, bucket_bytes)
     candidates = stage(one_per_class(records), "candidates")
     postings = prefix_postings(candidates).withColumn("reach", largest_partner(threshold))
@@ -101,9 +186,7 @@ def similar_documents(
     more = stage(further_links(postings, found, candidates, threshold), "links")
     if not more.isEmpty():
         found = components(links.unionByName(more))
-    degree = links.unionByName(more)
-    degree = degree.select("one").unionByName(degree.select(F.col("other").alias("one"))).groupBy("one").agg(
-        F.count(F.lit(1)).alias("n_links"))
+    degree = count_links(candidates, stage(found, "found"), threshold) if with_links else None
 
     classes = records.where("n > 0").groupBy("class").agg(
         F.min("id").alias("least"), F.min("check").alias("a"), F.max("check").alias("b"))
@@ -111,11 +194,12 @@ def similar_documents(
     classes = classes.select("class", "least", F.assert_true(F.col("a") == F.col("b")).alias("sound"))
     classes = classes.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn(
         "component", F.coalesce("component", "class"))
-    classes = stage(classes.join(degree.withColumnRenamed("one", "class"), "class", "left"), "classes")
+    classes = classes.join(degree, "class", "left") if with_links else classes.withColumn("n_links", F.lit(None).cast("bigint"))
+    classes = stage(classes, "classes")
     names = classes.groupBy("component").agg(F.min("least").alias("component_id"))
     named = stage(classes.join(names, "component").select("class", "component_id", "n_links"), "named")
     plain = records.select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("class")).alias("class"))
     out = plain.join(named, "class", "left")
     return out.select(
         F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"),
-        F.col("class").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        F.col("class").alias("class_id"), (F.coalesce("n_links", F.lit(0)) if with_links else F.col("n_links")).alias("n_links"))

@@ -16,15 +16,14 @@ from threadloom.llm.queries import tokenizer_file
 from threadloom.session import apply_settings
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-# A text whose profile is this far from every language is no prose.
-LEAST_SCORE = 0.1
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without a language (null, no letter, or unlike every language) and fills in missing labels."""
+    """Drops texts without a language (null or no letter) and fills in missing labels. The score decides nothing: a
+    short text of a known language has too few n-grams for a high one."""
     prototypes = language_id.learn(docs.where(~language_id.held_out()))
     found = language_id.predict(docs.select(*COLUMNS), prototypes)
-    kept = found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    kept = found.where(F.col("lang_pred") != language_id.UNKNOWN)
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 

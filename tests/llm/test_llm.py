@@ -289,6 +289,16 @@ def test_pipeline_stages(spark, tmp_path):
     assert got == {*range(30), 40}
 
 
+def test_pipeline_keeps_short_texts(spark):
+    chance = random.Random(4)
+    texts = {"en": "the and of thing with that from over".split(), "fr": "avec dans pour les des une que sont".split()}
+    docs = [(i, " ".join(chance.choices(words, k=40)), lang) for k, (lang, words) in enumerate(texts.items()) for i in range(30 * k, 30 * k + 30)]
+    docs += [(100, "A.", "en"), (101, "Avec.", "fr"), (102, "Quizzy.", "en"), (103, "K", None), (104, None, "en"), (105, "12 .", "en")]
+    df = spark.createDataFrame([(*d, "s", 1) for d in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.lang for r in corpus_pipeline.identify_language(spark, df, "").collect()}
+    assert set(got) == {*range(60), 100, 101, 102, 103} and got[101] == "fr" and got[103]
+
+
 @pytest.mark.parametrize("name", ["op3_exact_dedup", "op7_ngram_join", "op9_decontamination"])
 def test_empty_tables(spark, tmp_path, name):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")

@@ -1,11 +1,9 @@
 """Self-join of documents whose five-word shingle sets have a Jaccard similarity of 0.8 or more.
 
-T-occurrence search: a document of n shingles shares at least T = ceil(0.8 n) of them with any
-partner. DivideSkip takes its T - 1 most frequent shingles' inverted lists as long ones, which are
-never merged: a partner must turn up in a list of the others, the short ones. Those are merged in
-shuffles that sort by shingle and by pair, with the number of lists a pair turns up in; pairs that
-cannot reach their overlap any more by their counts and places are dropped, and the long lists are
-probed by binary search for the rest.
+A document of n shingles shares at least T = ceil(0.8 n) of them with any partner. As in DivideSkip, its
+T - 1 most frequent shingles' inverted lists are long ones, which are never merged: a partner must turn
+up in a list of the others, the short ones. Occurrences in the short lists are not counted to drop pairs:
+this is a prefix filter with size and positional filters. What is left is verified on the two token arrays.
 
 Groups of copies do not cost the square of their size. Equal sets become one class before anything
 is joined. Then each class is verified against one partner, the first class of the lists it is in;

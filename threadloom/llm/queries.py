@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm import (
-    decontamination, exact_dedup, html_extraction, language_id, license_scan, line_dedup, ngram_join, packing, token_counts, url_filters,
+    decontamination, exact_dedup, html_extraction, language_id, license_scan, line_dedup, ngram_join, packing, resampling, source_divergence,
+    token_counts, toxicity, url_filters,
 )
 from threadloom.llm.common import table
 from threadloom.session import apply_settings
@@ -107,3 +108,47 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_html_extraction")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op11_resampling")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_toxicity")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = language_id.held_out()
+    model = toxicity.learn(docs.where(~out), labels)
+    return toxicity.score(docs.select("doc_id", "text"), model).select(
+        "doc_id", out.alias("held_out"), "score", "predicted", F.size("segments").alias("n_segments"))
+
+
+@query("op13_source_divergence", r"""
+    WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                      regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                         '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words, row_number() OVER () AS doc
+               FROM documents),
+    g AS (SELECT DISTINCT lang, source FROM d),
+    w AS (SELECT lang, source, doc, unnest(words) AS term FROM d),
+    t AS (SELECT lang, term, count(*) AS lang_n FROM w GROUP BY lang, term HAVING count(DISTINCT doc) >= 30),
+    k AS (SELECT lang, source, term, count(*) AS n FROM w JOIN t USING (lang, term) GROUP BY lang, source, term),
+    l AS (SELECT lang, count(*) AS v, sum(lang_n) AS total FROM t GROUP BY lang),
+    s AS (SELECT g.lang, g.source, coalesce(max(l.v), 0) AS v, coalesce(max(l.total), 0) AS lang_total, coalesce(sum(k.n), 0) AS total
+          FROM g LEFT JOIN l USING (lang) LEFT JOIN k USING (lang, source) GROUP BY g.lang, g.source),
+    p AS (SELECT s.lang, s.source, t.term, coalesce(k.n, 0) AS n,
+                 1 + (1000000000 * (coalesce(k.n, 0) + 5)::HUGEINT) // (s.total + 5 * s.v) AS p,
+                 1 + (1000000000 * (t.lang_n + 5)::HUGEINT) // (s.lang_total + 5 * s.v) AS q
+          FROM s JOIN t USING (lang) LEFT JOIN k USING (lang, source, term)),
+    pair AS (SELECT a.lang, a.source, b.source AS item,
+                    coalesce((SELECT sum(abs(x.p - y.p)) FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term
+                              WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source), 0) AS value
+             FROM s a JOIN s b ON a.lang = b.lang AND a.source <> b.source),
+    r AS (SELECT lang, source, 'pair' AS part, item, value FROM pair
+          UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q)
+    SELECT lang, source, part, item, value::BIGINT AS value,
+           (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank
+    FROM r QUALIFY part = 'pair' OR rank <= 50
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(table(spark, sf_dir, "documents"))

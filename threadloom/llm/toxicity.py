@@ -2,7 +2,8 @@
 
 Learning: each labelled text says once which words it has and with which three to six letters they begin (their stems). A term's log-odds
 between toxic and clean texts have a Dirichlet prior in proportion to the term's share of all labelled texts, so rare terms shrink towards 0, and a
-term's score is the log-odds less ``Z`` standard deviations. A word scores as its best term; words without a positive one cost ``DRIFT``.
+term's score is the log-odds less ``Z`` standard deviations, if that is at least ``LEAST``: the more texts there are, the weaker the
+leanings that stand out from chance, and these say nothing about a text. A word scores as its best term; words without one cost ``DRIFT``.
 
 Scanning: all maximal segments of a text's scores are found in one pass from left to right, in time linear in the words with a positive score.
 A word that occurred within the last ``NEAR`` words costs like any other, so that repeats in a row are one finding.
@@ -25,8 +26,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +36,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from threadloom.llm.byte_words import LETTERS, pieces, word_table
 from threadloom.llm.common import pick, stage
 
 SAMPLE = 400_000
 PRIOR = 0.2
 Z = 3.0
+LEAST = 0.2
 DRIFT = 0.3
 NEAR = 64
 SHORT, LONG = 3, 6
@@ -54,7 +58,11 @@ SIGNIFICANT = 0.01
 # Evidence beyond this decides nothing more; it is counted in cells of a half.
 MOST_BEST, MOST_SUM, CELL = 100.0, 300.0, 0.5
 
-WORD = re.compile(r"[^\W\d_]+")
+TABLE = word_table(LETTERS)
+SIGN_BYTES = frozenset((0xC2, 0xE2, 0xE3, 0xEF))
+LETTER_RUN = re.compile(r"[^\W\d_]+")
+# The same words in a text as the table leaves in its bytes, to find out where they are.
+IN_TEXT = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 
 
 @dataclass(frozen=True)
@@ -68,19 +76,20 @@ class Model:
     curve: tuple[float, float, float] | None = None
 
 
-def terms_of(word: str) -> list[str]:
-    """The whole word, marked by a blank, and its stems."""
-    return [f"{word} ", *(word[:k] for k in range(SHORT, min(LONG, len(word) - 1) + 1))]
+def terms_of(word: bytes) -> tuple[str, ...]:
+    """The whole word, marked by a blank, and its stems. What else than letters non-ASCII signs have put into it is left out."""
+    letters = "".join(LETTER_RUN.findall(word.decode()))
+    return (f"{letters} ", *(letters[:k] for k in range(SHORT, min(LONG, len(letters) - 1) + 1)))
 
 
-class Scorer(dict):
-    """Scores of words, kept while there are not too many."""
+class Kept(dict):
+    """What a function tells of words, kept while there are not too many and they are not too long."""
 
-    def __init__(self, terms: dict[str, float]):
-        self.terms = terms
+    def __init__(self, tell):
+        self.tell = tell
 
-    def __missing__(self, word: str) -> float:
-        value = max(0.0, *(self.terms.get(t, 0.0) for t in terms_of(word)))
+    def __missing__(self, word: bytes):
+        value = self.tell(word)
         if len(word) <= LONGEST:
             if len(self) >= HELD_WORDS:
                 self.clear()
@@ -88,32 +97,61 @@ class Scorer(dict):
         return value
 
 
-def hits(text: str, scorer: Scorer) -> tuple[int, list[tuple[int, float, int, int]]]:
-    """The number of words, and place, score, start and end in the text of those that score."""
-    found, seen, n = [], {}, 0
-    for n, match in enumerate(WORD.finditer(text), 1):
-        word = match[0].lower()
-        if (value := scorer[word]) > 0:
-            if n - seen.get(word, -NEAR - 1) > NEAR:
-                found.append((n, value, *match.span()))
-            seen[word] = n
+def scorer(terms: dict[str, float]) -> Callable[[list[bytes]], list[float]]:
+    """Scores of words. Most words begin like no term and are told by that alone."""
+    kept = Kept(lambda word: max(0.0, *(terms.get(t, 0.0) for t in terms_of(word))))
+    begun = {t.rstrip(" ").encode()[:SHORT] for t in terms}
+
+    def scores(words: list[bytes]) -> list[float]:
+        # A sign that is no letter may stand before a word's letters; such signs begin with these bytes.
+        return [kept[w] if w[:SHORT] in begun or w[0] in SIGN_BYTES else 0.0 for w in words]
+
+    return scores
+
+
+def hits(text: str, scores: Callable[[list[bytes]], list[float]]) -> tuple[int, list[tuple[int, float]]]:
+    """The number of words, and number and score of those that score."""
+    found: list[tuple[int, float]] = []
+    seen: dict[bytes, int] = {}
+    n = 0
+    for words in pieces(text.lower().encode("utf-8", "replace"), TABLE):
+        values = scores(words)
+        if any(values):
+            for at in np.flatnonzero(values).tolist():
+                if n + at - seen.get(words[at], -NEAR - 1) > NEAR:
+                    found.append((n + at, values[at]))
+                seen[words[at]] = n + at
+        n += len(words)
     return n, found
 
 
-def segments(found: list[tuple[int, float, int, int]], drift: float = DRIFT) -> list[tuple[float, int, int]]:
-    """All maximal-scoring segments: score, and start and end in the text."""
+def spans(text: str, found: list[tuple[float, int, int]]) -> list[tuple[float, int, int]]:
+    """Segments by places in the text instead of numbers of words."""
+    if not found:
+        return []
+    wanted, places = {n for _, *ends in found for n in ends}, {}
+    for n, match in enumerate(IN_TEXT.finditer(text)):
+        if n in wanted:
+            places[n] = match.span()
+            if len(places) == len(wanted):
+                break
+    return [(score, places[a][0], places[b][1]) for score, a, b in found]
+
+
+def segments(found: list[tuple[int, float]], drift: float = DRIFT) -> list[tuple[float, int, int]]:
+    """All maximal-scoring segments: score, and the numbers of their first and last word."""
     held: list[tuple[float, float, int, int]] = []
-    total, last = 0.0, 0
-    for place, value, start, end in found:
+    total, last = 0.0, -1
+    for place, value in found:
         total -= drift * (place - last - 1)
-        low, total, last = total, total + value, place
+        low, total, last, start = total, total + value, place, place
         while True:
             # The nearest earlier segment that starts lower; those after it lie within any that joins it.
             at = len(held) - 1
             while at >= 0 and held[at][0] >= low:
                 at -= 1
             if at < 0 or held[at][1] >= total:
-                held.append((low, total, start, end))
+                held.append((low, total, start, place))
                 break
             low, start = held[at][0], held[at][2]
             del held[at:]
@@ -136,6 +174,7 @@ def count_terms(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: tuple[Counter, Counter] = (Counter(), Counter())
+        known = Kept(terms_of)
 
         def hand_on() -> Iterator[pa.RecordBatch]:
             terms = list(counts[0].keys() | counts[1].keys())
@@ -149,8 +188,8 @@ def count_terms(rows: DataFrame) -> DataFrame:
 
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                terms = {t for word in {m[0].lower() for m in WORD.finditer(text)} for t in terms_of(word)}
-                counts[toxic].update(terms)
+                distinct = {word for words in pieces(text.lower().encode("utf-8", "replace"), TABLE) for word in words}
+                counts[toxic].update(set(chain.from_iterable(map(known.__getitem__, distinct))))
                 counts[toxic][""] += 1
                 if len(counts[0]) + len(counts[1]) > HELD_TERMS:
                     yield from hand_on()
@@ -165,7 +204,8 @@ def log_odds(toxic: Column, clean: Column, both: Column, n_toxic: int, n_clean:
     mass = PRIOR * (n_toxic + n_clean)
     prior = both * PRIOR
     odds = F.log((toxic + prior) / (n_toxic + mass - toxic - prior)) - F.log((clean + prior) / (n_clean + mass - clean - prior))
-    return F.when(toxic > 0, odds - Z * F.sqrt(1 / (toxic + prior) + 1 / (clean + prior))).otherwise(0.0)
+    sure = odds - Z * F.sqrt(1 / (toxic + prior) + 1 / (clean + prior))
+    return F.when((toxic > 0) & (sure >= LEAST), sure).otherwise(0.0)
 
 
 def scan(rows: DataFrame, text_at: int, scorers) -> DataFrame:
@@ -179,7 +219,7 @@ def scan(rows: DataFrame, text_at: int, scorers) -> DataFrame:
             for at, text in enumerate(batch.column(text_at).to_pylist()):
                 n, own = hits(text or "", choose(batch, at))
                 n_words.append(n)
-                found.append([{"score": s, "start": a, "end": b} for s, a, b in segments(own)])
+                found.append([{"score": s, "start": a, "end": b} for s, a, b in spans(text, segments(own))])
             kind = pa.list_(pa.struct([("score", pa.float64()), ("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(n_words, pa.int64()), pa.array(found, kind)], names=[*names, "n_words", "segments"])
@@ -227,7 +267,7 @@ def learn(
         model = Model(ways["score"])
 
         def scorers():
-            own = [Scorer(ways["less_clean"]), Scorer(ways["less_toxic"])]
+            own = [scorer(ways["less_clean"]), scorer(ways["less_toxic"])]
             return lambda batch, at: own[batch.column(1)[at].as_py()]
 
         found = scan(rows, 0, scorers)
@@ -238,10 +278,10 @@ def learn(
     found = stage(found.select("toxic", "n_words", F.col("segments.score").alias("scores")), "segments")
 
     clean = found.where("toxic = 0")
-    of_segments = clean.select(F.explode("scores").alias("s")).agg(F.count(F.lit(1)).alias("k"), F.sum("s").alias("s")).head()
-    words = clean.agg(F.sum("n_words").alias("n")).head()["n"] or 0
-    decay = (of_segments["k"] + 1) / ((of_segments["s"] or 0) + 1)
-    rate = (of_segments["k"] + 1) / (words + 1)
+    of_clean = clean.agg(
+        F.sum(F.size("scores")).alias("k"), F.sum(F.aggregate("scores", F.lit(0.0), lambda a, s: a + s)).alias("s"), F.sum("n_words").alias("n")).head()
+    decay = ((of_clean["k"] or 0) + 1) / ((of_clean["s"] or 0) + 1)
+    rate = ((of_clean["k"] or 0) + 1) / ((of_clean["n"] or 0) + 1)
     seen = weighed(found, decay, rate)
     cells = seen.groupBy(*[(F.round(F.least(c, F.lit(most)) / CELL) * CELL).alias(c) for c, most in (("best", MOST_BEST), ("total", MOST_SUM))]).agg(
         F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("n"))
@@ -268,11 +308,13 @@ def scan_joined(rows: DataFrame, text_at: int, terms: DataFrame) -> DataFrame:
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                pairs = [(w, t) for w in sorted({m[0].lower() for m in WORD.finditer(text or "")}) for t in terms_of(w)]
+                distinct = {word for some in pieces((text or "").lower().encode("utf-8", "replace"), TABLE) for word in some}
+                pairs = [(w, t) for w in distinct for t in terms_of(w)]
                 for low in range(0, len(pairs), 20_000):
                     part = pairs[low:low + 20_000]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([row] * len(part)), *(pa.array([p[k] for p in part], pa.string()) for k in (0, 1))], names=["_row", "word", "term"])
+                        [pa.array([row] * len(part)), pa.array([p[0].decode() for p in part], pa.string()), pa.array([p[1] for p in part], pa.string())],
+                        names=["_row", "word", "term"])
 
     found = rows.select(rows.columns[text_at], "_row").mapInArrow(words, "_row string, word string, term string")
     found = found.join(terms.where("score > 0").hint("merge"), "term").groupBy("_row", "word").agg(F.max("score").alias("score"))
@@ -280,16 +322,13 @@ def scan_joined(rows: DataFrame, text_at: int, terms: DataFrame) -> DataFrame:
     rows = rows.join(found, "_row", "left").drop("_row")
 
     def scorers():
-        return lambda batch, at: _Known(batch.column(batch.num_columns - 1)[at].as_py() or ())
-
-    return scan(rows, text_at, scorers).drop("_scores")
+        def of_row(batch: pa.RecordBatch, at: int) -> Callable[[list[bytes]], list[float]]:
+            known = {w.encode(): s for w, s in batch.column(batch.num_columns - 1)[at].as_py() or ()}
+            return lambda words: [known.get(w, 0.0) for w in words]
 
+        return of_row
 
-class _Known(dict):
-    """Scores of a row's words; all others have none."""
-
-    def __missing__(self, word: str) -> float:
-        return 0.0
+    return scan(rows, text_at, scorers).drop("_scores")
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD, significant: float = SIGNIFICANT) -> DataFrame:
@@ -301,7 +340,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: floa
         terms = model.terms
 
         def scorers():
-            own = Scorer(terms)
+            own = scorer(terms)
             return lambda batch, row: own
 
         found = scan(kept, at, scorers)

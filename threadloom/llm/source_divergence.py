@@ -37,7 +37,7 @@ SCALE = 1_000_000_000
 SMOOTHING = 5
 TABLE = word_table(LETTERS)
 # Terms and their bytes that a task counts before it hands them on.
-HELD_TERMS = 400_000
+HELD_TERMS = 700_000
 HELD_BYTES = 32 << 20
 # Sources in a block of pairs; cells of a dense array of terms; tasks that share a block.
 BLOCK = 256
@@ -63,9 +63,9 @@ def count_terms(docs: DataFrame, piece: int = PIECE, held_terms: int = HELD_TERM
                 for low in range(0, len(terms), 20_000):
                     part = terms[low:low + 20_000]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(part), pa.string()), pa.array([source] * len(part), pa.string()),
-                         pa.array(part, pa.binary()).cast(pa.string()), pa.array([docs[t] for t in part], pa.int64()),
-                         pa.array([n[t] for t in part], pa.int64())], names=["lang", "source", "term", "docs", "n"])
+                        [pa.repeat(pa.scalar(lang), len(part)), pa.repeat(pa.scalar(source), len(part)),
+                         pa.array(part, pa.binary()).cast(pa.string()), pa.array(list(map(docs.__getitem__, part)), pa.int64()),
+                         pa.array(list(map(n.__getitem__, part)), pa.int64())], names=["lang", "source", "term", "docs", "n"])
             groups.clear()
             held = size = 0
 
@@ -73,13 +73,15 @@ def count_terms(docs: DataFrame, piece: int = PIECE, held_terms: int = HELD_TERM
             langs, sources = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lang, source, text in zip(langs, sources, utf8(batch.column(2)), strict=True):
                 n, docs = groups.setdefault((lang, source), (Counter(), Counter()))
-                own: Counter = Counter()
+                own, before = set(), len(n)
                 for words in pieces(text or b"", TABLE, piece):
+                    n.update(words)
                     own.update(words)
-                new = own.keys() - n.keys()
-                held, size = held + len(new), size + sum(map(len, new))
-                docs.update(own.keys())
-                n.update(own)
+                docs.update(own)
+                if len(n) > before:
+                    held += len(n) - before
+                    # New words are taken to be as long as the text's others; none is longer than them all.
+                    size += sum(map(len, own)) * (len(n) - before) // len(own)
                 if held > held_terms or size > HELD_BYTES or len(groups) > held_terms // 8:
                     yield from hand_on()
         yield from hand_on()

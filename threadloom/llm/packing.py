@@ -11,8 +11,8 @@ block are therefore the only ones that waste much, a few windows in thousands.
 
 Words repeat, so that a task encodes each distinct white-space word once with the tokenizer and
 puts texts together from those ids. That equals encoding the whole text if the tokenizer drops white
-space, normalises letter by letter and never merges over white space; texts that hold a special
-token's string are always encoded whole.
+space, folds case, keeps digits apart and never merges over white space; a tokenizer that does not is refused when it
+is loaded. Texts that hold a special token's string, in whatever letter case, are always encoded whole and as they stand.
 
 Defined cases: a null text is empty and is packed as the end id alone. Repeated rows are packed
 each. A null id is packed like any other. An empty table gives an empty result; other columns are
@@ -35,8 +35,9 @@ from threadloom.llm.common import once_per_worker, pick, return_memory
 
 WINDOW = 2048
 BLOCK_TOKENS = 1 << 24
-# Words kept by a worker: some 100 MB.
+# Words kept by a worker, and the bytes of those words: some 100 MB.
 WORDS_KEPT = 600_000
+BYTES_KEPT = 24 << 20
 MARK = "0"
 SIGNS = ".,"
 
@@ -112,16 +113,33 @@ class WordEncoder:
         self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids[0]
         one = {s: self.tokenizer.encode(s, add_special_tokens=False).ids for s in SIGNS}
         self.signs = {s: ids[0] for s, ids in one.items() if len(ids) == 1}
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self._check()
         self._forget()
 
+    def _check(self) -> None:
+        """Raises unless texts can be put together from their words."""
+        def ids(text: str) -> list[int]:
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+        words = ["the", "th", "e", "in", "g", "ing", "a", "b", "ab", "é", "x1", "word.", "7", "70", "(", "))", "漢字", "don't"]
+        for space in (" ", "\n", "\t", "  \r\n "):
+            if ids(space.join(["", *words, ""])) != [i for w in words for i in ids(w)]:
+                raise ValueError("the tokenizer does not drop white space, or merges over it")
+        if any(ids(w.upper() if w.isascii() else w) != ids(w) for w in words):
+            raise ValueError("the tokenizer does not fold case")
+        if any(len(ids(d)) != 1 for d in "0123456789") or ids("a00b") != [*ids("a"), self.mark, self.mark, *ids("b")]:
+            raise ValueError("the tokenizer does not keep digits apart")
+
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.held_bytes = 0
         self.flat, self.starts, self.lens = np.zeros(0, self.kind), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and the number of ids of each text."""
-        words = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        lowered = pc.ascii_lower(texts)
+        words = pc.ascii_split_whitespace(lowered)
         coded = words.flatten().dictionary_encode()
         codes = coded.indices.to_numpy(zero_copy_only=False)
         at = self._lookup(coded.dictionary.to_pylist())
@@ -130,7 +148,10 @@ class WordEncoder:
         bounds = words.offsets.to_numpy() - words.offsets[0].as_py()
         counts = ends[bounds[1:]] - ends[bounds[:-1]]
         ids = self.flat[_spans(self.starts[at][codes], lens)]
-        whole = [i for i, t in enumerate(texts.to_pylist()) if any(s in t for s in self.special)]
+        special = np.zeros(len(texts), bool)
+        for s in self.special:
+            special |= pc.match_substring(lowered, s).to_numpy(zero_copy_only=False)
+        whole = np.flatnonzero(special).tolist()
         if whole:
             parts = np.split(ids, np.cumsum(counts)[:-1])
             for i in whole:
@@ -139,7 +160,7 @@ class WordEncoder:
         return ids, counts
 
     def _lookup(self, words: list[str]) -> np.ndarray:
-        if len(self.known) > WORDS_KEPT:
+        if len(self.known) > WORDS_KEPT or self.held_bytes > BYTES_KEPT:
             self._forget()
         new = [w for w in words if w not in self.known]
         tails = [w[-1] if self._ends(w) else "" for w in new]
@@ -169,6 +190,7 @@ class WordEncoder:
         self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(lens) - lens))
         self.lens, self.flat = np.concatenate((self.lens, lens)), np.concatenate((self.flat, flat))
         self.known.update(zip(words, range(first, first + len(words)), strict=True))
+        self.held_bytes += sum(map(len, words))
 
     def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words one after another, and the number of each. Words go to the tokenizer many at a

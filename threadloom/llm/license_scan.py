@@ -2,9 +2,10 @@
 
 Texts and templates are cut into windows of six words that overlap by four, so each five-word
 shingle lies in just one window of a text. A window is sketched by eight min-hashes, each a band of its
-own, and windows that agree in a band are candidates. A template of one shingle only shares it with a
-window at a min-hash similarity of 1/2, and meets it with a probability of 1 - (1/2)^8 = 0.996;
-templates of more words meet through more shingles, and two windows that are equal always do.
+own, and windows that agree in a band are candidates. A window that shares one of its two shingles has a
+min-hash similarity of a third to a half and is met with a probability of 0.96 to 0.996; templates of several
+shingles meet through more windows, and two windows that are equal always do. A template of one shingle has no such
+second chance, so it has a band of its own, in which windows with just its shingle meet it in any case.
 Template windows start at every word, whatever the phase of a text's windows is.
 
 Candidates are verified by the exact containment of the template's shingles in the document: at least 0.8.
@@ -16,6 +17,8 @@ An empty table gives an empty result; other columns are never looked at.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +30,8 @@ BANDS = 8
 CONTAINMENT = 0.8
 # Template bands up to this number are broadcast (some 30 bytes each); more are joined by a shuffle.
 BROADCAST_BANDS = 500_000
+# Up to so many shingles of one-shingle templates are looked for in each window before it gets that band; above, all windows get it.
+LISTED_SINGLES = 5_000
 
 # Customary notices of public licences.
 TEMPLATES = (
@@ -68,15 +73,22 @@ def with_shingles(rows: DataFrame, text: str, name: str) -> DataFrame:
         places, lambda i: F.xxhash64(F.slice("_words", i + 1, F.lit(WORDS)))).alias(name))
 
 
-def bands(hashes: Column, step: int) -> Column:
-    """Band number and min-hash of each window, one after another."""
-    starts = F.when(F.size(hashes) > 0, F.sequence(
-        F.lit(1), F.greatest(F.lit(1), F.size(hashes) - (SPAN - 1) * (step == 1)), F.lit(step)
-    )).otherwise(F.array().cast("array<int>"))
-    return F.flatten(F.transform(starts, lambda s: F.transform(
-        F.sequence(F.lit(0), F.lit(BANDS - 1)),
-        lambda k: F.struct(k.alias("band"), F.array_min(F.transform(
-            F.slice(hashes, s, F.lit(SPAN)), lambda h: F.xxhash64(h, k))).alias("least")))))
+def with_bands(rows: DataFrame, hashes: str, step: int, single: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Replaces the shingle hashes by a row for each window and band: band, least (the min-hash). Windows with a shingle that
+    ``single`` tells to be some template's only one have two rows more, with their shingles in band -1.
+
+    Windows become rows of two shingles first, so that hashing is done on plain columns, which Spark compiles."""
+    kept = [c for c in rows.columns if c != hashes]
+    last = F.greatest(F.lit(0), F.size(hashes) - 1 - (SPAN - 1) * (step == 1))
+    starts = F.when(F.size(hashes) > 0, F.sequence(F.lit(0), last, F.lit(step))).otherwise(F.array().cast("array<int>"))
+    windows = rows.select(*kept, F.explode(F.transform(starts, lambda s: F.struct(
+        F.get(hashes, s).alias("a"), F.coalesce(F.get(hashes, s + 1), F.get(hashes, s)).alias("b")))).alias("_w")).select(*kept, "_w.*")
+    each = [F.struct(F.lit(k).alias("band"), F.least(F.xxhash64("a", F.lit(k)), F.xxhash64("b", F.lit(k))).alias("least")) for k in range(BANDS)]
+    bands = F.array(*each)
+    if single is not None:
+        own = [F.struct(F.lit(-1).alias("band"), F.col(c).alias("least")) for c in "ab"]
+        bands = F.when(single(F.col("a")) | single(F.col("b")), F.array(*each, *own)).otherwise(bands)
+    return windows.select(*kept, F.inline(bands))
 
 
 def templates_table(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
@@ -89,13 +101,15 @@ def find_licenses(
 ) -> DataFrame:
     """One row per document and licence: id, license_id, n_shared, containment."""
     known = with_shingles(pick(templates, license_id="license_id", notice="notice"), "notice", "hashes")
-    known = stage(known.select("license_id", F.array_distinct("hashes").alias("notice"), F.explode(
-        F.array_distinct(bands(F.col("hashes"), 1))).alias("b")).select("license_id", "notice", "b.*"), "templates")
+    known = known.select("license_id", F.array_distinct("hashes").alias("notice"), "hashes")
+    ones = known.where(F.size("notice") == 1).select("license_id", "notice", F.lit(-1).alias("band"), F.col("notice")[0].alias("least"))
+    known = stage(with_bands(known, "hashes", 1).unionByName(ones).distinct(), "templates")
+    singles = [r["least"] for r in known.where("band = -1").select("least").distinct().limit(LISTED_SINGLES + 1).collect()]
     few = known.count() <= BROADCAST_BANDS
     index = known.select("license_id", "band", "least")
     rows = pick(docs, id=id_col, text=text_col).where("id IS NOT NULL")
     hashed = with_shingles(rows, "text", "hashes")
-    met = hashed.select("id", F.explode(bands(F.col("hashes"), SPAN)).alias("b")).select("id", "b.*")
+    met = with_bands(hashed, "hashes", SPAN, lambda h: h.isin(singles) if len(singles) <= LISTED_SINGLES else F.lit(True))
     met = met.join(F.broadcast(index) if few else index, ["least", "band"]).select("id", "license_id")
     met = stage(met.groupBy("id", "license_id").agg(F.count(F.lit(1)).alias("n")).select("id", "license_id"), "candidates")
     # The few texts that have a candidate are hashed once more.

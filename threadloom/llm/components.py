@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm.common import stage
@@ -11,15 +11,19 @@ from threadloom.llm.common import stage
 def components(edges: DataFrame) -> DataFrame:
     """For each node that has a link its component: node, component (any one of its nodes).
 
-    Each round hooks every node to its smallest neighbour, twice over, and contracts the links, until
-    none is left: the number of rounds grows with the logarithm of the longest path. Links of a node
+    Each round hooks every node to the neighbour that comes first in an order drawn anew for the round, twice over, and
+    contracts the links, until none is left. In such an order a share of all nodes is not first among its neighbours whatever
+    their names are, so the number of rounds grows with the logarithm of the longest path, also of one with names in order. Links of a node
     with very many of them combine before the shuffle; ``edges`` (one, other) need not be distinct."""
     labels, rounds = None, 0
     edges = stage(_distinct(edges), "links")
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("other").alias("one"), F.col("one").alias("other")))
-        parent = both.groupBy("one").agg(F.min("other").alias("least")).select(
-            F.col("one").alias("node"), F.least("one", "least").alias("up"))
+        def drawn(node: str, seed: int = rounds) -> Column:
+            return F.struct(F.xxhash64(node, F.lit(seed)).alias("draw"), F.col(node).alias("node"))
+
+        parent = both.groupBy("one").agg(F.min(drawn("other")).alias("first")).select(
+            F.col("one").alias("node"), F.least(drawn("one"), "first")["node"].alias("up"))
         parent = stage(parent, "parents")
         jump = stage(parent.join(
             parent.select(F.col("node").alias("up"), F.col("up").alias("component")), "up",

@@ -244,6 +244,10 @@ def features(page: Page) -> np.ndarray:
     out = np.zeros((len(page.nodes), FEATURES))
     total = max(1, page.nodes[0].chars)
     good, bad = [0] * len(page.nodes), [0] * len(page.nodes)  # among a node and its ancestors
+    place = [0] * len(page.nodes)  # among a node's siblings
+    for node in page.nodes:
+        for nth, child in enumerate(node.children):
+            place[child] = nth
     for i, node in enumerate(page.nodes):
         own_good, own_bad = len(node.words & GOOD), len(node.words & BAD)
         if node.tag in ("body", "html"):
@@ -256,7 +260,7 @@ def features(page: Page) -> np.ndarray:
         chars = max(1, node.chars)
         out[i, :16] = (
             np.log1p(node.chars), node.linked / chars, node.tags / chars, node.depth, node.chars / total,
-            node.chars / of_siblings, len(siblings), (siblings.index(i) if len(siblings) < 50 else 0) / len(siblings),
+            node.chars / of_siblings, len(siblings), place[i] / len(siblings),
             node.stops / chars, node.paragraphs / chars, node.controls, own_good, own_bad, above_good, above_bad,
             len(node.children),
         )
@@ -369,8 +373,10 @@ def written_page(chance: random.Random) -> str:
 
 def lessons(pages: DataFrame, sample_pages: int, seed: int = 7) -> DataFrame:
     """Features and labels of the nodes of the sample, each page as it is and in two varied forms."""
-    rows = pick(pages, html="html", id="id").where("html IS NOT NULL")
-    rows = rows.orderBy(F.xxhash64("id"), "id").limit(sample_pages).select("html")
+    rows = pick(pages, html="html", id="id").where("html IS NOT NULL").select("html", F.xxhash64("id").alias("draw"))
+    # The ids alone are sorted; only the pages that are drawn travel with their html.
+    last = rows.select("draw").orderBy("draw").limit(sample_pages).agg(F.max("draw").alias("last")).head()["last"]
+    rows = rows.where(F.col("draw") <= (last if last is not None else 0)).limit(sample_pages).select("html")
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chance = random.Random(seed)
@@ -395,6 +401,8 @@ def lessons(pages: DataFrame, sample_pages: int, seed: int = 7) -> DataFrame:
 def train(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, rounds: int = ROUNDS) -> Model:
     """``pages``: id, html."""
     rows = stage(lessons(pages, sample_pages), "lessons").select(array_to_vector("x").alias("features"), "label")
+    if rows.isEmpty():  # no page, nothing to learn and nothing to read
+        return Model((), ())
     # Labels tell by elements and classes alone: each tree sees but some features, so that text counts too.
     model = GBTClassifier(
         maxIter=rounds, maxDepth=DEPTH, stepSize=0.3, seed=1, featureSubsetStrategy="0.6", minInstancesPerNode=10,

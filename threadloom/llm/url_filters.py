@@ -20,7 +20,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import fold_ascii, pick, stage
+from threadloom.llm.common import fold_ascii, pick, stage, union
 
 BLOCKED = "label:block"
 # A mined index of at most this many rules is broadcast (some 200 bytes a rule); a larger one is joined.
@@ -74,8 +74,8 @@ def fitting_rule(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Col
     return name, verdict
 
 
-def mine(labelled: DataFrame, min_support: float, min_confidence: float, max_tokens: int = 4) -> DataFrame:
-    """Mined block rules: rule_id, need (sorted tokens), confidence, lift, first (the rarest token).
+def mine(labelled: DataFrame, min_support: float, min_confidence: float) -> DataFrame:
+    """Mined block rules: rule_id, need (sorted tokens, however many), confidence, first (the rarest token).
 
     ``labelled``: tokens, blocked. Labelled urls are grouped by equal token sets nowhere: FP-growth
     counts conditional trees on the cluster. Rules are pruned by support, by confidence, and where a
@@ -87,18 +87,21 @@ def mine(labelled: DataFrame, min_support: float, min_confidence: float, max_tok
     block = frequent.where(F.array_contains("items", BLOCKED)).select(
         F.array_sort(F.array_remove("items", BLOCKED)).alias("need"), F.col("freq").alias("bad"))
     every = frequent.where(~F.array_contains("items", BLOCKED)).select(F.array_sort("items").alias("need"), "freq")
-    rules = block.where(F.size("need").between(1, max_tokens)).join(every, "need")
-    rules = rules.withColumn("confidence", F.col("bad") / F.col("freq")).where(F.col("confidence") >= min_confidence)
-    rules = stage(rules.withColumn("rule_id", F.array_join("need", "\n")), "rules")
-    # Every proper subset of a rule, looked up among the rules: at most 14 for four tokens.
-    subsets = rules.select("rule_id", "confidence", "need", F.explode(F.sequence(
-        F.lit(1), F.expr("cast(pow(2, size(need)) AS int) - 2"))).alias("mask")).where("size(need) > 1")
-    subsets = subsets.select("rule_id", "confidence", F.array_join(F.expr(
-        "filter(need, (x, i) -> cast(shiftright(mask, i) AS int) & 1 = 1)"), "\n").alias("sub"))
-    covered = subsets.join(
-        rules.select(F.col("rule_id").alias("sub"), F.col("confidence").alias("sub_confidence")), "sub"
-    ).where("sub_confidence >= confidence").select("rule_id").distinct()
-    rules = rules.join(covered, "rule_id", "left_anti")
+    rules = block.where(F.size("need") >= 1).join(every, "need")
+    rules = rules.withColumn("confidence", F.col("bad") / F.col("freq")).withColumn("rule_id", F.array_join("need", "\n"))
+    rules = stage(rules.withColumn("size", F.size("need")), "rules")
+    # All subsets of a frequent set are frequent. So the best confidence among a set's subsets is known from the sets with one token
+    # less, size by size; there are no more sizes than a url has tokens.
+    best = rules.where("size = 1").select("rule_id", F.col("confidence").alias("best"), F.lit(None).cast("double").alias("below"))
+    levels = [best]
+    for size in range(2, (rules.agg(F.max("size")).head()[0] or 0) + 1):
+        less = rules.where(F.col("size") == size).select("rule_id", "confidence", F.posexplode("need").alias("at", "token"), "need")
+        less = less.withColumn("sub", F.array_join(F.filter("need", lambda t, i: i != F.col("at")), "\n"))
+        below = less.join(best.select(F.col("rule_id").alias("sub"), "best"), "sub").groupBy("rule_id", "confidence").agg(F.max("best").alias("below"))
+        best = stage(below.select("rule_id", F.greatest("confidence", "below").alias("best"), "below"), "level")
+        levels.append(best)
+    rules = rules.where(F.col("confidence") >= min_confidence).join(union(levels), "rule_id")
+    rules = rules.where("below IS NULL OR below < confidence").drop("best", "below", "size")
     single = every.where(F.size("need") == 1).select(F.col("need")[0].alias("token"), F.col("freq").alias("uses"))
     rarest = (
         rules.select("rule_id", F.explode("need").alias("token")).join(single, "token")

@@ -152,8 +152,8 @@ def test_segments_equal_their_definition():
     chance = random.Random(2)
     for _ in range(400):
         values = [chance.choice([0, 0, 0, 1 + chance.random(), 2 + chance.random()]) for _ in range(chance.randint(0, 25))]
-        found = [(n, v, n - 1, n) for n, v in enumerate(values, 1) if v]
-        got = toxicity.segments(found, 0.7)
+        found = [(n, v) for n, v in enumerate(values) if v]
+        got = [(s, a, b + 1) for s, a, b in toxicity.segments(found, 0.7)]
         want = all_maximal([v or -0.7 for v in values])
         assert [(a, b) for _, a, b in got] == [(a, b) for _, a, b in want]
         assert [s for s, _, _ in got] == pytest.approx([s for s, _, _ in want])

@@ -209,8 +209,9 @@ def test_contaminated(spark):
     # One value of the item cannot stand for two of the document.
     twice = "we took 4 red boats then 4 blue boats over the wide cold lake before the rain came"
     bench = spark.createDataFrame([(9, twice)], "item_id long, text string")
-    docs = [(1, twice.replace("4", "8")), (2, twice.replace("4", "8", 1))]
-    assert {r.doc_id for r in decontamination.contaminated(frame(spark, docs), bench).collect()} == {1}
+    # But thirteen words verbatim, as from the third word of the second document on, are evidence by themselves.
+    docs = [(1, twice.replace("4", "8")), (2, twice.replace("4", "8", 1)), (3, twice.replace("4", "8", 1).replace("4", "9"))]
+    assert {r.doc_id for r in decontamination.contaminated(frame(spark, docs), bench).collect()} == {1, 2}
     assert decontamination.contaminated(frame(spark, docs).limit(0), bench).count() == 0
     assert decontamination.contaminated(frame(spark, docs), bench.limit(0)).count() == 0
 

@@ -27,6 +27,14 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{theirs}`").alias(ours) for ours, theirs in columns.items()])
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """Tells rows of one id apart by their texts; in the order of ids, null ids last. Rows that are equal in both have one key."""
+    id_, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    # Null in no case, but nullable by type, as rows that come back from Python are.
+    some = F.octet_length(F.coalesce(text, F.lit(""))) >= 0
+    return F.when(some, F.struct(F.when(some, id_.isNull()).alias("nameless"), id_.alias("id"), F.when(some, F.xxhash64(text)).alias("text")))
+
+
 def fold_ascii(text: Column) -> Column:
     """Lower-cases A-Z and nothing else. Texts without other letters take the short way."""
     plain = F.octet_length(text) == F.char_length(text)

@@ -13,7 +13,8 @@ with all earlier classes of its lists.
 
 Defined cases: words are what lies between ASCII white space, A-Z lower-cased; a line without words
 stays, a line of less than five has them all as its one token. A null text stays null. Rows
-repeated with one id count as one document: what goes from one goes from all. Lines of a row without
+repeated with one id are documents of their own if their texts differ, in an order that does not depend on the work; rows
+that are equal in id and text count as one, which loses the same lines in all of them. Lines of a row without
 id are never removed. A document without a line left has an empty text. An empty table gives an
 empty result; other columns come through as they are, except ``n_chars``, which is counted anew.
 """
@@ -23,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import pick, stage
+from threadloom.llm.common import row_key, stage
 from threadloom.llm.ngram_join import largest_partner, sizes_fit
 from threadloom.llm.token_sets import (
     BLOCK_BYTES, BUCKET_BYTES, Threshold, one_per_class, prefix_postings, shared_tokens, similar_pairs,
@@ -34,9 +35,9 @@ def repeated_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: Threshold = Threshold(),
     block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES,
 ) -> DataFrame:
-    """The lines that go: id, line (from 0)."""
-    known = docs.where(F.col(f"`{id_col}`").isNotNull())
-    records = shared_tokens(known, threshold, True, id_col, text_col, block_bytes, bucket_bytes)
+    """The lines that go: id (the key of a row, see ``row_key``), line (from 0)."""
+    known = docs.where(F.col(f"`{id_col}`").isNotNull()).select(row_key(id_col, text_col).alias("id"), F.col(f"`{text_col}`").alias("text"))
+    records = shared_tokens(known, threshold, True, "id", "text", block_bytes, bucket_bytes)
     firsts = records.where("n > 0").groupBy("class").agg(
         F.min(F.struct("id", "line")).alias("first"), F.min("check").alias("a"), F.max("check").alias("b"))
     firsts = stage(firsts.select("class", "first", F.assert_true(F.col("a") == F.col("b")).alias("sound")), "firsts")
@@ -87,16 +88,18 @@ def dedup_lines(
     the table has such a column)."""
     gone = repeated_lines(docs, id_col, text_col, threshold, block_bytes, bucket_bytes)
     gone = gone.groupBy("id").agg(F.collect_set("line").alias("_gone"))
-    gone = stage(gone.select(F.col("id").alias("_gone_id"), "_gone"), "gone")
-    docs = docs.drop("lines_removed", "_gone", "_gone_id")
+    # Names that no column of the table has.
+    mark, key = "_gone_" + "_".join(docs.columns), "_gone_key_" + "_".join(docs.columns)
+    gone = stage(gone.select(F.col("id").alias(key), F.col("_gone").alias(mark)), "gone")
+    docs = docs.drop("lines_removed").withColumn(key, row_key(id_col, text_col))
     # The list grows with the corpus, so it is never broadcast.
-    out = docs.join(gone.hint("merge"), docs[f"`{id_col}`"] == gone["_gone_id"], "left").drop("_gone_id")
+    out = docs.join(gone.hint("merge"), key, "left").drop(key)
     # A set of numbers as a map: looked up once a line.
-    gone_map = F.map_from_arrays(F.col("_gone"), F.transform("_gone", lambda _: F.lit(True)))
+    gone_map = F.map_from_arrays(F.col(mark), F.transform(mark, lambda _: F.lit(True)))
     rest = F.array_join(F.filter(F.split(F.col(f"`{text_col}`"), "\n"), lambda _, i: F.try_element_at(
         gone_map, i.cast("bigint")).isNull()), "\n")
-    text = F.when(F.col("_gone").isNull(), F.col(f"`{text_col}`")).otherwise(rest)
-    changed = {text_col: text, "lines_removed": F.coalesce(F.size("_gone"), F.lit(0))}
+    text = F.when(F.col(mark).isNull(), F.col(f"`{text_col}`")).otherwise(rest)
+    changed = {text_col: text, "lines_removed": F.coalesce(F.size(mark), F.lit(0))}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.char_length(rest))
-    return out.withColumns(changed).drop("_gone")
+        changed["n_chars"] = F.when(F.col(mark).isNull(), F.col("n_chars")).otherwise(F.char_length(rest))
+    return out.withColumns(changed).drop(mark)

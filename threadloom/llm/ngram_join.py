@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import stage
+from threadloom.llm.common import row_key, stage
 from threadloom.llm.components import components
 from threadloom.llm.token_sets import (
     BLOCK_BYTES, BUCKET_BYTES, Threshold, one_per_class, prefix_postings, shared_tokens, similar_pairs,
@@ -201,3 +201,21 @@ def similar_documents(
     return out.select(
         F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"),
         F.col("class").alias("class_id"), (F.coalesce("n_links", F.lit(0)) if with_links else F.col("n_links")).alias("n_links"))
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The table with one row of each component: the one with the smallest id, of equal ids the one whose text has the smallest hash.
+    Rows are told apart by id and text, so a row never goes for its id alone, and of rows equal in both one stays. Texts without
+    a word stay all."""
+    key = "_row_" + "_".join(docs.columns)
+    keyed = docs.withColumn(key, row_key(id_col, text_col))
+    texts = keyed.select(F.col(key).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    found = similar_documents(texts, "row", "text", with_links=False, **options)
+    found = stage(found.where("n_shingles > 0").groupBy("row", "component_id").agg(F.count(F.lit(1)).alias("rows")), "rows")
+    copies = found.where("row <> component_id").select(F.col("row").alias(key))
+    kept = keyed.join(copies.hint("merge"), key, "left_anti")
+    # Equal rows whose component they name are more than one row that stays.
+    equal = stage(found.where("row = component_id AND rows > 1").select(F.col("row").alias(key)), "equal")
+    if not equal.isEmpty():
+        kept = kept.join(equal, key, "left_anti").unionByName(kept.join(equal, key, "left_semi").dropDuplicates([key]))
+    return kept.select(docs.columns)

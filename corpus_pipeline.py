@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that the stage before has kept, and returns a
 DataFrame. All but the last return the columns of ``documents``. ``run`` writes each stage's result as
-Parquet in the shared folder and removes what no later stage reads.
+Parquet in the shared folder and removes what no later stage reads. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,26 +28,26 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes lines that repeat an earlier one; a document that has nothing else goes."""
+    """Removes lines that repeat an earlier one; a document that has nothing else goes. Null texts stay; rows of one id with
+    different texts are documents of their own, and rows without id lose nothing."""
     found = line_dedup.dedup_lines(docs)
     emptied = (F.col("lines_removed") > 0) & ~F.rlike("text", F.lit(r"[^\x20\x09-\x0D]"))
     return found.where(~emptied).select(*COLUMNS)
 
 
 def join_ngrams(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document with the smallest id stays."""
-    found = ngram_join.similar_documents(docs, with_links=False)
-    copies = stage(found.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    return docs.join(copies, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each component of near copies the row with the smallest id stays; rows of one id are told apart by their texts, and
+    of equal rows one stays. Null and empty texts are nobody's copy and stay."""
+    return ngram_join.without_copies(docs).select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
+    """Drops rows that hold a benchmark item, each judged by its own text. Null and empty texts stay."""
     return decontamination.without_contaminated(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences of 2048 tokens."""
+    """Packs what is left into sequences of 2048 tokens, each row for itself; a null text is packed as an empty one."""
     return packing.digest(packing.pack(docs, tokenizer_file("word_bpe_49k.json")))
 
 

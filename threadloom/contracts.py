@@ -118,7 +118,7 @@ GROUP_INSIGHT = (
 THREAD_DOCUMENT = (
     "thread_id string, video_id string, part int, parts int, brand_comment_count bigint,"
     " comments array<struct<comment_id string, text string, brand_mentioned string, sentiment string,"
-    " author_name string, is_root boolean>>"
+    " author_name string, is_root boolean>>, root struct<comment_id string, text string, author_name string>"
 )
 
 

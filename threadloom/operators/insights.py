@@ -35,6 +35,12 @@ def ask(df: DataFrame, answer: Callable[[str], str], prompt_col: str = "prompt")
     return df.withColumn("raw", call.asNondeterministic()(F.col(prompt_col)))
 
 
+def answered(answers: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys whose every part has an answer, be it one without items."""
+    parts = answers.groupBy(*keys).agg(F.count_if(F.col("raw").isNull()).alias("_failed"))
+    return parts.where("_failed = 0").select(*keys)
+
+
 def normalise_entity(col: Column, vocab: Vocabulary) -> Column:
     col = F.regexp_replace(col, r"^\s+|\s+$", "")
     if vocab.fold_case:
@@ -129,6 +135,14 @@ def merge_thread_insights(
     )
 
 
+def merge_parts(items: DataFrame, keys: Sequence[str], vocab: Vocabulary = GROUP_VOCABULARY) -> DataFrame:
+    """Items of conversations that were asked about in several parts (columns part, parts, pos), merged over the parts by entity and
+    aspect as those of a thread are. The items of a conversation in one part stay as they are."""
+    alone = F.when(F.col("parts") <= 1, F.col("pos"))
+    numbered = items.withColumn("_alone", alone).withColumn("pos", F.struct("part", "pos"))
+    return merge_thread_insights(numbered, [*keys, "_alone"], vocab).drop("_alone")
+
+
 def stamp_analysis(df: DataFrame, at) -> DataFrame:
     """``analyzed_at`` with its year and month."""
     at = at if isinstance(at, Column) else F.lit(at).cast("timestamp")

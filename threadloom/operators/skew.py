@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from threadloom.sources.staging import stage
+
 HOT_ROWS = 1_000_000
 # A hot key has at least this share of all rows, so there are at most 1 / HOT_SHARE of them whatever the input.
 HOT_SHARE = 1e-5
@@ -21,12 +23,15 @@ def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_ROWS) -> Da
 
 
 def hottest(counts: DataFrame, keys: Sequence[str], rows: str, min_rows: int = HOT_ROWS) -> DataFrame:
-    """``hot_keys`` for callers that already have rows per key."""
-    n = F.col(rows)
-    share = counts.agg((F.sum(rows) * HOT_SHARE).alias("least")).scalar()
-    return counts.dropna(subset=list(keys)).where((n >= min_rows) & (n >= share)).select(
-        *keys, F.ceil(n / min_rows).cast("int").alias("_salts")
-    )
+    """``hot_keys`` for callers that already have rows per key.
+
+    The counting runs once, here: keys of at least ``min_rows`` rows are written to the shared folder while the sum of all rows is
+    observed, and plans that use the list read that small table."""
+    n, total = F.col(rows), Observation()
+    seen = counts.observe(total, F.sum(rows).alias("rows"))
+    large = stage(counts.sparkSession, seen.dropna(subset=list(keys)).where(n >= min_rows).select(*keys, n.alias("_rows")))
+    least = (total.get["rows"] or 0) * HOT_SHARE
+    return large.where(F.col("_rows") >= least).select(*keys, F.ceil(F.col("_rows") / min_rows).cast("int").alias("_salts"))
 
 
 def skew_join(

@@ -76,43 +76,54 @@ def build_gold(
     writers.replace_table(dimension, f"{gold}/dim_posts")
 
 
+def ask_posts(contexts: DataFrame, answer: Callable[[str], str], max_chars: int | None = None) -> DataFrame:
+    """The answer to each part of each post's context. Every prompt states the comments of the whole post."""
+    conversation = threads.format_post(F.col("comments"), max_chars)
+    prompts = threads.with_prompt(contexts, PROMPT, conversation, total=F.col("comments_at_hand")).select(
+        "post_id", "page_name", "ingestion_date", "part", "parts", "prompt"
+    )
+    return insights.ask(prompts, answer)
+
+
 def post_insights(
     contexts: DataFrame, answer: Callable[[str], str], at, vocab: Vocabulary = GROUP_VOCABULARY,
     max_chars: int | None = None,
 ) -> DataFrame:
     """Validated insight rows of post contexts."""
-    prompts = threads.with_prompt(contexts, PROMPT, threads.format_post(F.col("comments"), max_chars)).select(
-        "post_id", "page_name", "ingestion_date", "part", "prompt"
-    )
-    keep = ["post_id", "page_name", "ingestion_date", "part"]
-    items = insights.parse_answers(insights.ask(prompts, answer), vocab, keep=keep)
-    valid = insights.validate_post_insights(items, vocab).withColumn("analyzed_at", F.lit(at).cast("timestamp"))
-    return contracts.conform(valid, contracts.GROUP_INSIGHT)
+    return insight_rows(ask_posts(contexts, answer, max_chars), at, vocab)
+
+
+def insight_rows(answers: DataFrame, at, vocab: Vocabulary = GROUP_VOCABULARY) -> DataFrame:
+    """Validated insight rows of answers; those of a post in several parts are merged over its parts."""
+    keys = ["post_id", "page_name", "ingestion_date"]
+    items = insights.parse_answers(answers, vocab, keep=[*keys, "part", "parts"])
+    merged = insights.merge_parts(insights.validate_post_insights(items, vocab), keys, vocab)
+    return contracts.conform(merged.withColumn("analyzed_at", F.lit(at).cast("timestamp")), contracts.GROUP_INSIGHT)
 
 
 def build_insights(
     spark: SparkSession, silver: str, gold: str, day: str | None, answer: Callable[[str], str], at,
     vocab: Vocabulary = GROUP_VOCABULARY, min_comments: int = threads.MIN_COMMENTS, force: bool = False,
+    part_size: int = threads.PART_SIZE,
 ) -> None:
-    """Insights of the posts (of one day, or all) that have none yet, then the weekly trend over all history."""
+    """Insights of the posts (of one day, or all) that have none yet, then the weekly trend over all history.
+
+    With ``force`` posts that have some are asked about again, and the new answer takes the place of all their earlier rows, on whatever day
+    and page those are. A post with a part whose call failed keeps what it has and is asked about again next time."""
     silver, gold = silver.rstrip("/"), gold.rstrip("/")
     target = f"{gold}/post_insights"
     done = None if force else tables.read_or_empty(spark, target, contracts.GROUP_INSIGHT).select("post_id")
     contexts = threads.build_post_contexts(
-        read_posts(spark, silver, day), read_comments(spark, silver, day), min_comments, done
+        read_posts(spark, silver, day), read_comments(spark, silver, day), min_comments, done, part_size
     )
-    fresh = writers.stage(spark, post_insights(contexts, answer, at, vocab))
+    answers = writers.stage(spark, ask_posts(contexts, answer))
+    whole = insights.answered(answers, ["post_id"])
+    rows = insight_rows(answers.join(whole, "post_id", "left_semi"), at, vocab)
     partition = ["ingestion_date", "page_name"]
-    history = tables.read_if_present(spark, target, contracts.GROUP_INSIGHT)
-    if force and history is not None:
-        again = fresh.select("post_id").distinct()
-        others = tables.in_partitions(history, writers.touched_partitions(fresh, partition)).join(
-            again, "post_id", "left_anti"
-        )
-        merged = others.select(*fresh.columns).unionByName(fresh)
-        writers.write_table(writers.stage(spark, merged), target, partition)
+    if force:
+        writers.replace_groups(spark, rows, whole, target, ["post_id"], partition)
     else:
-        writers.write_table(fresh, target, partition, mode="append")
+        writers.write_table(writers.stage(spark, rows), target, partition, mode="append")
     weekly = comments.agg_issue_weekly(tables.read_table(spark, target, contracts.GROUP_INSIGHT))
     writers.replace_table(weekly, f"{gold}/agg_issue_weekly", ["week_start", "model_entity"])
 

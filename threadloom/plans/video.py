@@ -71,14 +71,24 @@ def build_threads(
     writers.write_threads(documents, target)
 
 
-def thread_insights(documents: DataFrame, answer: Callable[[str], str], at, max_chars: int | None = None) -> DataFrame:
-    """Insight rows of thread documents: prompt, answer, items, merge over all parts of a thread."""
-    conversation = threads.format_thread(F.col("comments"), max_chars)
+def ask_threads(documents: DataFrame, answer: Callable[[str], str], max_chars: int | None = None) -> DataFrame:
+    """The answer to each part of each thread."""
+    conversation = threads.format_thread(F.col("comments"), max_chars, F.col("root"))
     prompts = threads.with_prompt(documents, PROMPT, conversation, total=F.col("brand_comment_count")).select(
         "video_id", "thread_id", "part", "brand_comment_count", "prompt"
     )
+    return insights.ask(prompts, answer)
+
+
+def thread_insights(documents: DataFrame, answer: Callable[[str], str], at, max_chars: int | None = None) -> DataFrame:
+    """Insight rows of thread documents: prompt, answer, items, merge over all parts of a thread."""
+    return insight_rows(ask_threads(documents, answer, max_chars), at)
+
+
+def insight_rows(answers: DataFrame, at) -> DataFrame:
+    """Insight rows of the answers to all parts of threads."""
     keys = ["video_id", "thread_id", "brand_comment_count"]
-    items = insights.parse_answers(insights.ask(prompts, answer), VIDEO_VOCABULARY, keep=[*keys, "part"])
+    items = insights.parse_answers(answers, VIDEO_VOCABULARY, keep=[*keys, "part"])
     merged = insights.merge_thread_insights(items.withColumn("pos", F.struct("part", "pos")), keys)
     return contracts.conform(insights.stamp_analysis(merged, at), contracts.THREAD_INSIGHT)
 
@@ -86,7 +96,10 @@ def thread_insights(documents: DataFrame, answer: Callable[[str], str], at, max_
 def build_insights(
     spark: SparkSession, documents: str, target: str, answer: Callable[[str], str], at, max_chars: int | None = None
 ) -> None:
-    rows = thread_insights(tables.read_threads(spark, documents), answer, at, max_chars)
-    writers.merge_partitions(
-        spark, rows, target, ["thread_id", "entity", "aspect"], ["analyzed_at"], ["video_id", "year", "month"]
-    )
+    """Insights of thread documents, in the place of all earlier ones of the same threads: what a new answer does not
+    name any more goes. Threads with a part whose call failed keep what they have."""
+    keys = ["video_id", "thread_id"]
+    answers = writers.stage(spark, ask_threads(tables.read_threads(spark, documents), answer, max_chars))
+    whole = insights.answered(answers, keys)
+    rows = insight_rows(answers.join(whole, keys, "left_semi"), at)
+    writers.replace_groups(spark, rows, whole, target, keys, ["video_id", "year", "month"])

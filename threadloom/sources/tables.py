@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import date
-from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +13,8 @@ from pyspark.sql import types as T
 from threadloom.contracts import RAW, THREAD_DOCUMENT, struct_of
 
 DAY_LEVELS = ("year", "month", "day")
+# Lists of partitions up to this number (some 50 bytes each) are broadcast.
+BROADCAST_PARTITIONS = 200_000
 
 
 def read_bronze(spark: SparkSession, path: str, dataset: str, entity: str | None = None) -> DataFrame:
@@ -63,26 +64,36 @@ def only_partition(df: DataFrame, values: Sequence[int], levels: Sequence[str] =
     return df
 
 
+def partition_text(columns: Sequence[str]) -> Column:
+    """All partition values as one text that no other values have: the length of each before it, and a dash for NULL."""
+    return F.concat(*[F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-"))
+                      for text in (F.col(c).cast("string") for c in columns)])
+
+
 def in_partitions(df: DataFrame, wanted: DataFrame) -> DataFrame:
     """Rows of a table in the partitions listed by ``wanted`` (one column per partition level), a NULL
-    value being a partition like others.
+    value being a partition like others. Partitions that are not listed are not opened.
 
-    The span of each level's values becomes a literal filter, so that partitions outside it are not
-    even opened; a join selects the rows, at any number of partitions."""
+    Rows and list meet by one equality on the text of all partition values, which Spark turns into dynamic
+    partition pruning of the scan, exact also for NULL and over several levels, as long as the list is broadcast. The
+    span of each level's values is a literal filter beside it, which alone bounds what is opened where a list
+    beyond ``BROADCAST_PARTITIONS`` is joined by a shuffle."""
     columns = wanted.columns
-    wanted = wanted.distinct()
-    spans = wanted.agg(*[
+    cast = [F.col(c).cast(df.schema[c].dataType).alias(c) for c in columns]
+    wanted = wanted.select(*cast).distinct().select("*", partition_text(columns).alias("_wanted"))
+    summary = wanted.agg(F.count(F.lit(1)).alias("n"), *[
         f(c).alias(f"{c}_{n}") for c in columns
         for n, f in (("low", F.min), ("high", F.max), ("null", lambda c: F.count_if(F.col(c).isNull())))
     ]).head()
+    # Pruning wants a filter on the list's side; every text of values has a sign at least.
+    listed = wanted.select("_wanted").where(F.col("_wanted") > "")
+    listed = F.broadcast(listed) if summary["n"] <= BROADCAST_PARTITIONS else listed
     for c in columns:
         kind = wanted.schema[c].dataType
-        low, high = (F.lit(spans[f"{c}_{n}"]).cast(kind) for n in ("low", "high"))
-        inside = F.col(c).cast(kind).between(low, high)
-        df = df.where(inside | F.col(c).isNull() if spans[f"{c}_null"] else inside)
-    listed = wanted.select(*[F.col(c).alias(f"_wanted_{c}") for c in columns])
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_wanted_{c}")) for c in columns])
-    return df.join(listed, same, "left_semi")
+        low, high = (F.lit(summary[f"{c}_{n}"]).cast(kind) for n in ("low", "high"))
+        inside = F.col(c).between(low, high)
+        df = df.where(inside | F.col(c).isNull() if summary[f"{c}_null"] else inside)
+    return df.join(listed, partition_text(columns) == F.col("_wanted"), "left_semi")
 
 
 def read_latest_bronze(spark: SparkSession, path: str, dataset: str) -> DataFrame:

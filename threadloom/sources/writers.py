@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.operators.dedup import latest_by
-from threadloom.session import fresh_dir
+from threadloom.sources import key_index
+from threadloom.sources.staging import stage
 from threadloom.sources.tables import in_partitions, read_if_present
 
 DAY_LEVELS = ("year", "month", "day")
@@ -78,14 +79,6 @@ def touched_partitions(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*columns).distinct()
 
 
-def stage(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Writes rows to the shared folder and reads them back: computed once, safe
-    from lost executors, and independent of tables that are about to be replaced."""
-    path = fresh_dir(spark, "staged")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def publish(
     spark: SparkSession, df: DataFrame, path: str, partition_cols: Sequence[str] = (),
     verify: Callable[[DataFrame], None] | None = None, replace: bool = True,
@@ -111,8 +104,9 @@ def merge_partitions(
     Returns the staged batch.
 
     A key is unique in the whole table: besides the partitions that the batch touches, those that hold
-    one of its keys so far are read (of the rest, key columns alone), the latest row per key stays, and
-    just these partitions are replaced. A partition that has lost its last row is removed. The merged rows
+    one of its keys so far are read, the latest row per key stays, and just these partitions are replaced. Which
+    partitions those are is told by the key index beside the table, and of the few it names the key columns alone are read;
+    all others are not opened. A partition that has lost its last row is removed. The merged rows
     are staged first, so that a lost executor cannot make Spark re-read files that the overwrite has
     already replaced; they are removed once they are published."""
     columns = list(partition_cols)
@@ -123,12 +117,57 @@ def merge_partitions(
     if target is None:
         write_table(latest_by(batch, keys, order), path, columns)
         return batch
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_batch_{k}")) for k in keys])
-    listed = batch.select(*[F.col(k).alias(f"_batch_{k}") for k in keys]).distinct()
-    homes = target.select(*dict.fromkeys([*keys, *columns])).join(listed, same, "left_semi")
-    touched = stage(spark, touched_partitions(batch, columns).unionByName(touched_partitions(homes, columns)).distinct())
+    touched = homes_of(spark, target, path, batch, keys, columns)
     kept = in_partitions(target, touched)
-    merged = stage(spark, latest_by(batch.unionByName(kept.select(*batch.columns)), keys, order))
+    _replace_partitions(spark, latest_by(batch.unionByName(kept.select(*batch.columns)), keys, order), touched, path, columns)
+    return batch
+
+
+def replace_groups(
+    spark: SparkSession, rows: DataFrame, groups: DataFrame, path: str, keys: Sequence[str], partition_cols: Sequence[str],
+    verify: Callable[[DataFrame], None] | None = None,
+) -> DataFrame:
+    """Puts rows in the place of all that a table holds of some groups, wherever it holds them; repeating
+    that changes nothing. Returns the staged rows.
+
+    ``groups`` lists the keys of every group that is replaced, also of those that have no row any more: their old rows go. Only
+    partitions that hold such a group or get a row are rewritten; the key index tells which hold one."""
+    columns = list(partition_cols)
+    rows, groups = stage(spark, rows), stage(spark, groups.select(*keys).distinct())
+    if verify is not None:
+        verify(rows)
+    target = read_if_present(spark, path, rows.schema)
+    if target is None:
+        write_table(rows, path, columns)
+        return rows
+    # A row of a group that is not listed is added to it.
+    touched = homes_of(spark, target, path, groups, keys, columns, rows)
+    kept = in_partitions(target, touched).join(groups, list(keys), "left_anti")
+    _replace_partitions(spark, kept.select(*rows.columns).unionByName(rows), touched, path, columns)
+    remove_staged(spark, groups)
+    return rows
+
+
+def homes_of(
+    spark: SparkSession, target: DataFrame, path: str, wanted: DataFrame, keys: Sequence[str], columns: Sequence[str],
+    rows: DataFrame | None = None,
+) -> DataFrame:
+    """Partitions of the table that hold one of the wanted keys, and those of ``rows`` (by default the wanted ones), staged."""
+    listed = wanted.select(*keys).distinct()
+    blocks = key_index.current(spark, target, path, keys, columns)
+    maybe = stage(spark, key_index.partitions_with(blocks, listed, keys, columns))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_batch_{k}")) for k in keys])
+    listed = listed.select(*[F.col(k).alias(f"_batch_{k}") for k in keys])
+    homes = in_partitions(target.select(*dict.fromkeys([*keys, *columns])), maybe).join(listed, same, "left_semi")
+    into = touched_partitions(wanted if rows is None else rows, columns)
+    touched = stage(spark, into.unionByName(touched_partitions(homes, columns)).distinct())
+    remove_staged(spark, maybe)
+    return touched
+
+
+def _replace_partitions(spark: SparkSession, rows: DataFrame, touched: DataFrame, path: str, columns: Sequence[str]) -> None:
+    """Writes rows over the touched partitions; those without a row are removed."""
+    merged = stage(spark, rows)
     write_table(merged, path, columns)
     left = [F.col(c).eqNullSafe(F.col(f"_left_{c}")) for c in columns]
     filled = touched_partitions(merged, columns).select(*[F.col(c).alias(f"_left_{c}") for c in columns])
@@ -136,7 +175,6 @@ def merge_partitions(
         remove_partition(spark, path, {c: row[c] for c in columns})
     for done in (merged, touched):
         remove_staged(spark, done)
-    return batch
 
 
 def remove_partition(spark: SparkSession, path: str, values: dict) -> None:

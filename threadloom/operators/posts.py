@@ -147,21 +147,50 @@ def _top_brands(brands: Sequence[Brand], k: int) -> Column:
     return ranked_values(F.filter(counted, lambda c: c["n"] < 0), k)
 
 
+AUTHOR_ATTRIBUTES = (
+    "author_username", "author_is_blue_verified", "author_followers", "author_following",
+    "author_statuses_count", "author_influence_ratio",
+)
+
+
+def author_parts(
+    df: DataFrame, by: Sequence[str] = (), brands: Sequence[Brand] = BRANDS, order: Sequence[str] = ("created_at_ts", "id")
+) -> DataFrame:
+    """What ``dim_authors`` needs of some posts, per author (and ``by``): the latest post's attributes, and a count for each brand. Parts
+    of different posts add up: ``merge_author_parts``."""
+    latest = F.max(F.struct(*[F.col(c) for c in order], *AUTHOR_ATTRIBUTES, F.col("is_bot").alias("is_bot_flag")))
+    grouped = df.groupBy(*by, "author_id").agg(latest.alias("latest"), *_brand_counts(brands))
+    return grouped.select(*by, "author_id", "latest", F.array(*[F.col(f"_n_{i}") for i, _ in enumerate(brands)]).alias("counts"))
+
+
+def merge_author_parts(parts: DataFrame, brands: Sequence[Brand] = BRANDS, k: int = 3) -> DataFrame:
+    """The author dimension from its parts."""
+    grouped = parts.groupBy("author_id").agg(
+        F.max("latest").alias("_a"), *[F.sum(F.get("counts", F.lit(i))).alias(f"_n_{i}") for i, _ in enumerate(brands)])
+    return _author_rows(grouped, brands, k)
+
+
+def _author_rows(grouped: DataFrame, brands: Sequence[Brand], k: int) -> DataFrame:
+    return grouped.select(
+        "author_id", *[f"_a.{c}" for c in AUTHOR_ATTRIBUTES],
+        _top_brands(brands, k).alias("top_brands"), "_a.is_bot_flag",
+    )
+
+
 def dim_authors(
     df: DataFrame, brands: Sequence[Brand] = BRANDS, order: Sequence[str] = ("created_at_ts", "id"), k: int = 3
 ) -> DataFrame:
     """One row per author: attributes of the latest post, and the top brands of
     all posts, from one shuffle on the author."""
-    attributes = [
-        "author_username", "author_is_blue_verified", "author_followers", "author_following",
-        "author_statuses_count", "author_influence_ratio",
-    ]
-    latest = F.max(F.struct(*[F.col(c) for c in order], *attributes, F.col("is_bot").alias("is_bot_flag")))
-    grouped = df.groupBy("author_id").agg(latest.alias("_a"), *_brand_counts(brands))
-    return grouped.select(
-        "author_id", *[f"_a.{c}" for c in attributes],
-        _top_brands(brands, k).alias("top_brands"), "_a.is_bot_flag",
-    )
+    latest = F.max(F.struct(*[F.col(c) for c in order], *AUTHOR_ATTRIBUTES, F.col("is_bot").alias("is_bot_flag")))
+    return _author_rows(df.groupBy("author_id").agg(latest.alias("_a"), *_brand_counts(brands)), brands, k)
+
+
+def add_author_columns(df: DataFrame, brands: Sequence[Brand] = BRANDS) -> DataFrame:
+    """The part of ``add_analytics`` that authors need."""
+    return tag_brands(df.withColumns({
+        "author_influence_ratio": measures.influence_ratio(), "is_bot": measures.looks_automated(),
+    }), brands)
 
 
 def agg_brand_daily(df: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ except check reports."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from threadloom.catalogue import BRANDS, SENTIMENT_LEXICON, Brand, Lexicon
 from threadloom.functions.measures import VIRAL_THRESHOLD
 from threadloom.operators import posts, quality
 from threadloom.operators.scoring import score_text
-from threadloom.sources import tables, writers
+from threadloom.sources import part_state, tables, writers
 
 SILVER_DAYS = ("year", "month", "day")
 SILVER_ORDER = ("ingestion_date", "likeCount", "retweetCount", "url")
@@ -45,6 +46,16 @@ def score_posts(
     return contracts.conform(posts.fact_posts(score_text(enriched, load=load, lexicon=lexicon)), contracts.FACT_POSTS)
 
 
+def author_state(
+    spark: SparkSession, posts_table: DataFrame, silver: str, path: str, brands: Sequence[Brand] = BRANDS
+) -> DataFrame:
+    """Per silver day and author what the author dimension needs. Only days whose files changed since the last run are read and tagged."""
+    version = hashlib.sha256(repr([(b.name, b.keywords) for b in brands]).encode()).hexdigest()
+    return part_state.current_state(
+        spark, posts_table, silver, path, SILVER_DAYS, version,
+        lambda rows: posts.author_parts(posts.add_author_columns(rows, brands), SILVER_DAYS, brands))
+
+
 def build_gold(
     spark: SparkSession, silver: str, gold: str, as_of=None, brands: Sequence[Brand] = BRANDS,
     load: Callable | None = None, lexicon: Lexicon = SENTIMENT_LEXICON, window_days: int = 30,
@@ -52,7 +63,8 @@ def build_gold(
 ) -> None:
     """Star schema: facts of the newest silver day (or of all), the daily brand
     aggregate of the days this touches, author and brand dimensions, and author
-    performance over the last ``window_days``."""
+    performance over the last ``window_days``. The author dimension is merged from a state per silver day, of
+    which only changed days are derived anew."""
     gold = gold.rstrip("/")
     everything = tables.read_table(spark, silver, contracts.SILVER_POST)
     new = tables.read_latest(spark, silver, schema=contracts.SILVER_POST) if latest_only else everything
@@ -71,8 +83,8 @@ def build_gold(
     verify = quality.enforcing(quality.brand_daily_checks())
     writers.publish(spark, daily, f"{gold}/agg_brand_daily", ["date"], verify, replace=False)
 
-    history = posts.add_analytics(everything, brands, as_of, viral_threshold)
-    authors = contracts.conform(posts.dim_authors(history, brands), contracts.DIM_AUTHORS)
+    authors = contracts.conform(
+        posts.merge_author_parts(author_state(spark, everything, silver, f"{gold}/author_state", brands), brands), contracts.DIM_AUTHORS)
     writers.publish(spark, authors, f"{gold}/dim_authors", verify=quality.enforcing(quality.dim_author_checks()))
     writers.write_small_table(posts.dim_brands(spark, brands), f"{gold}/dim_brands")
 

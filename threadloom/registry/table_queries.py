@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom import contracts
+from threadloom.catalogue import Vocabulary
 from threadloom.operators import posts as P
 from threadloom.operators.scoring import score_text
 from threadloom.plans import group, landing, short_posts, video
@@ -15,12 +18,12 @@ from threadloom.registry import adapters as a
 from threadloom.registry import sqltext as s
 from threadloom.registry.adapters import Tables
 from threadloom.registry.comment_queries import (
-    BURST, DAY, SCORED, STANCE, THREADS, VSTANCE, documents, page_daily_sql, sentiment, stance_rows, tree,
+    BURST, CONTEXT, DAY, SCORED, STANCE, THREADS, VSTANCE, documents, page_daily_sql, sentiment, stance_rows, tree,
 )
 from threadloom.registry.core import case
 from threadloom.registry.insight_queries import ITEMS, items, lines_as_items
 from threadloom.registry.page_queries import comment_pages, feed_blocks, thread_pages
-from threadloom.registry.post_queries import analytics, scored, silver
+from threadloom.registry.post_queries import TOP, analytics, scored, silver
 from threadloom.session import fresh_dir
 from threadloom.sources import catalog, tables, writers
 from threadloom.streaming import streams
@@ -182,6 +185,55 @@ def merge_twice(t: Tables):
     return tables.read_table(t.spark, path).select("ingestion_date", "model_entity", "mention_count", "event_id")
 
 
+# A key is in the last batch that has it: on its first day, on the next day (every third), or gone back in a third batch (every sixth).
+MOVES = ITEMS + """, moved AS (SELECT event_id, model_entity, mention_count + CASE WHEN event_id % 3 = 0 THEN 10 ELSE 0 END
+    + CASE WHEN event_id % 6 = 0 THEN 10 ELSE 0 END AS mention_count,
+  CAST(ingestion_date + CASE WHEN event_id % 3 = 0 AND event_id % 6 <> 0 THEN INTERVAL 1 DAY ELSE INTERVAL 0 DAY END AS DATE) AS ingestion_date FROM items)"""
+
+
+@case("snk_05_moved_keys", f"WITH {MOVES} SELECT event_id, model_entity, mention_count, {DAY} AS ingestion_date FROM moved")
+def moved_keys(t: Tables):
+    """Keys that change their partition, and some of them back, are in one place only."""
+    path = fresh_dir(t.spark, "moved")
+    rows = items(t).select("event_id", "ingestion_date", "model_entity", "mention_count")
+    third, sixth = rows.where("event_id % 3 = 0"), rows.where("event_id % 6 = 0")
+    later = third.withColumns({"ingestion_date": F.date_add("ingestion_date", 1), "mention_count": F.col("mention_count") + 10})
+    back = sixth.withColumn("mention_count", F.col("mention_count") + 20)
+    for batch in (rows, later, back, back):
+        writers.merge_partitions(t.spark, batch, path, ["event_id"], ["mention_count"], ["ingestion_date"])
+    return tables.read_table(t.spark, path).select("event_id", "model_entity", "mention_count", "ingestion_date")
+
+
+@case("snk_13_replaced_groups", f"""WITH {ITEMS} SELECT post_id, {DAY} AS ingestion_date, aspect, count(*) AS n FROM items
+  WHERE CAST(post_id AS BIGINT) % 3 <> 0 OR (aspect = 'a1' AND CAST(post_id AS BIGINT) % 6 = 0) GROUP BY ALL""")
+def replaced_groups(t: Tables):
+    """Posts divisible by three get a new set of rows: some of their former ones, or none at all."""
+    path = fresh_dir(t.spark, "groups")
+    rows = items(t).select("post_id", "ingestion_date", "aspect", "event_id")
+    number = F.col("post_id").cast("bigint")
+    again = rows.where(number % 3 == 0)
+    writers.replace_groups(t.spark, rows, rows, path, ["post_id"], ["ingestion_date"])
+    for _ in range(2):
+        writers.replace_groups(
+            t.spark, again.where((F.col("aspect") == "a1") & (number % 6 == 0)), again, path, ["post_id"], ["ingestion_date"])
+    return tables.read_table(t.spark, path, rows.schema).groupBy("post_id", "ingestion_date", "aspect").agg(F.count("*").alias("n"))
+
+
+@case("src_16_listed_partitions", f"""WITH {ITEMS} SELECT event_id, model_entity, {DAY} AS ingestion_date FROM items
+  WHERE (day(ingestion_date), model_entity) IN ((1, 'view'), (9, 'click'), (20, 'view'))""")
+def listed_partitions(t: Tables):
+    """Partitions of two levels that are far apart, and not those between or across."""
+    path = fresh_dir(t.spark, "listed")
+    rows = items(t).select("event_id", "model_entity", "ingestion_date")
+    writers.write_table(rows, path, ["ingestion_date", "model_entity"])
+    day = F.day("ingestion_date")
+    wanted = rows.where(
+        ((day == 1) & (F.col("model_entity") == "view")) | ((day == 9) & (F.col("model_entity") == "click"))
+        | ((day == 20) & (F.col("model_entity") == "view")))
+    found = tables.in_partitions(tables.read_table(t.spark, path, rows.schema), wanted.select("ingestion_date", "model_entity"))
+    return found.select("event_id", "model_entity", "ingestion_date")
+
+
 @case("snk_06_register_table", f"WITH {ITEMS} SELECT model_entity, {DAY} AS ingestion_date, count(*) AS n FROM items GROUP BY 1, 2")
 def register(t: Tables):
     path = fresh_dir(t.spark, "registered")
@@ -260,6 +312,26 @@ def gold(t: Tables):
     return daily.select("date", "brand_name", "lang", "total_mentions", "top_influencer_id")
 
 
+@case("inc_04_authors_day_by_day", f"""WITH {s.ANALYTICS}, {TOP},
+t AS (SELECT author_id, string_agg(brand, ',' ORDER BY rank) AS top_brands FROM r WHERE rank <= 3 GROUP BY 1),
+b AS (SELECT *, row_number() OVER (PARTITION BY author_id ORDER BY created_at_ts DESC, id DESC) AS rn FROM analytics)
+SELECT b.author_id, author_username, author_followers, author_statuses_count, round(author_influence_ratio, 6) AS author_influence_ratio, top_brands,
+  is_bot AS is_bot_flag FROM b LEFT JOIN t ON b.author_id = t.author_id WHERE rn = 1""")
+def authors_day_by_day(t: Tables):
+    """The author dimension after three batches; the second has posts in an older form, which the third replaces."""
+    path, state = fresh_dir(t.spark, "silver"), fresh_dir(t.spark, "state")
+    rows = silver(t)
+    third = F.pmod(F.crc32("id"), F.lit(3))
+    old = rows.where(third == 2).withColumns({
+        "text": F.lit("an older text"), "created_at_ts": F.col("created_at_ts") - F.expr("INTERVAL 40 DAYS"), "ingestion_date": F.lit("2000-01-01")})
+    old = old.withColumns(writers.day_columns(F.col("created_at_ts")))
+    for batch in (rows.where(third == 0), rows.where(third == 1).unionByName(old), rows.where(third == 2)):
+        writers.merge_partitions(t.spark, batch, path, ["id"], short_posts.SILVER_ORDER, short_posts.SILVER_DAYS)
+        parts = short_posts.author_state(t.spark, tables.read_table(t.spark, path, rows.schema), path, state, a.BRANDS)
+        authors = P.merge_author_parts(parts, a.BRANDS)
+    return authors.drop("author_is_blue_verified", "author_following")
+
+
 def group_tables(t: Tables, incremental: bool = False) -> str:
     bronze, path = fresh_dir(t.spark, "bronze"), fresh_dir(t.spark, "silver")
     writers.land_bronze(t.raw_groups, bronze, F.col("ingestion_date").cast("timestamp"))
@@ -330,6 +402,73 @@ def insight_job(t: Tables):
     return tables.read_table(t.spark, f"{root}/insights").select("thread_id", "entity", "aspect", "mention_count")
 
 
+def aspects_as_items(*wanted):
+    """A stand-in answerer for posts: an item for each of the wanted kinds of comments."""
+
+    def answer(prompt: str) -> str:
+        kinds = re.findall(r"^\[(Root|Reply)\] ", prompt, re.MULTILINE)
+        rows = [{"model_entity": kind.lower(), "aspect": "price", "sentiment": "positive", "intensity": "strong", "mention_count": kinds.count(kind),
+                 "evidence": kind} for kind in wanted if kind in kinds]
+        return json.dumps(rows)
+
+    return answer
+
+
+KINDS = Vocabulary(entities=("root", "reply"), aspects=("price",), entity_field="model_entity")
+MENTIONS = CONTEXT + """, said AS (SELECT post_id, page_name, ingestion_date, CASE WHEN is_reply THEN 'reply' ELSE 'root' END AS model_entity,
+  count(*) AS mention_count FROM ctx WHERE comment_id IS NOT NULL GROUP BY ALL)"""
+
+
+def insights_table(t: Tables, *runs) -> DataFrame:
+    """The insight table after runs of (answerer, day, force, part size)."""
+    path, gold = group_tables(t), fresh_dir(t.spark, "gold")
+    for answer, day, force, part_size in runs:
+        group.build_insights(t.spark, path, gold, day, answer, "2024-02-03 04:05:06", KINDS, 2, force, part_size)
+    found = tables.read_table(t.spark, f"{gold}/post_insights", contracts.GROUP_INSIGHT)
+    return found.select("post_id", "page_name", "ingestion_date", "model_entity", "mention_count")
+
+
+@case("llm_05_insights_in_parts", f"WITH {MENTIONS} SELECT post_id, page_name, {DAY} AS ingestion_date, model_entity, mention_count FROM said")
+def insights_in_parts(t: Tables):
+    """Posts in parts of two comments: one row for each entity and aspect, with the mentions of all parts."""
+    return insights_table(t, (aspects_as_items("Root", "Reply"), None, False, 2))
+
+
+@case("llm_05_append_and_skip", f"WITH {MENTIONS} SELECT post_id, page_name, {DAY} AS ingestion_date, model_entity, mention_count FROM said")
+def append_and_skip(t: Tables):
+    """One day, then all: posts that have insights are not asked about again, so a poorer answer changes nothing there."""
+    every = aspects_as_items("Root", "Reply")
+    return insights_table(t, (every, "2024-01-03", False, 1000), (every, None, False, 1000), (aspects_as_items("Root"), None, False, 1000))
+
+
+@case("llm_05_forced_with_fewer_items", f"""WITH {MENTIONS} SELECT post_id, page_name, {DAY} AS ingestion_date, model_entity, mention_count FROM said
+  WHERE model_entity = 'root' OR day(ingestion_date) <> 3""")
+def forced_with_fewer(t: Tables):
+    """Posts of one day are asked about again; what the new answer lacks is gone, other days stay."""
+    every = aspects_as_items("Root", "Reply")
+    return insights_table(t, (every, None, False, 1000), (aspects_as_items("Root"), "2024-01-03", True, 2))
+
+
+@case("llm_06_answer_with_fewer_items", f"""WITH {THREADS} SELECT video_id, thread_id, lower(brand_mentioned) AS entity,
+  CASE WHEN is_root THEN 'overall' ELSE 'price' END AS aspect, count(*) AS mention_count FROM docs
+  WHERE video_id <> 'v1' OR NOT is_root GROUP BY ALL""")
+def thread_answer_with_fewer(t: Tables):
+    """A video's threads are analysed again, without their roots' items: those are gone, other videos keep theirs."""
+    root = fresh_dir(t.spark, "video")
+    writers.write_table(sentiment(t), f"{root}/sentiment", ["video_id", "year", "month"])
+    writers.write_table(stance_rows(t), f"{root}/stance", ["video_id"])
+    every = lines_as_items("entity")
+
+    def replies_only(prompt: str) -> str:
+        return every("\n".join(line for line in prompt.split("\n") if not line.startswith("[Root]")))
+
+    for video_id, answer, at in ((None, every, "2024-02-03 04:05:06"), (VIDEOS[1], replies_only, "2024-03-03 04:05:06")):
+        documents_path = fresh_dir(t.spark, "documents")
+        video.build_threads(t.spark, f"{root}/sentiment", f"{root}/stance", f"{root}/insights", documents_path, video_id, 3, force=True)
+        video.build_insights(t.spark, documents_path, f"{root}/insights", answer, at)
+    return tables.read_table(t.spark, f"{root}/insights").select("video_id", "thread_id", "entity", "aspect", "mention_count")
+
+
 @case("str_01_stream_to_silver", f"WITH {s.SILVER} SELECT {SILVER_OUT} FROM silver")
 def stream_to_silver(t: Tables):
     bronze, path = landed_posts(t), fresh_dir(t.spark, "silver")

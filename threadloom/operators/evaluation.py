@@ -38,6 +38,16 @@ def accuracy(df: DataFrame, label: str = "label", predicted: str = "predicted")
     )
 
 
+def macro_f1(df: DataFrame, label: str = "label", predicted: str = "predicted") -> DataFrame:
+    """One row: the mean over all labels that occur as either of 2 tp / (2 tp + fp + fn), and how many labels those are."""
+    counts = df.groupBy(label, predicted).agg(F.count("*").alias("n"))
+    same = F.col(label) == F.col(predicted)
+    sides = counts.select(F.col("n"), same.alias("hit"), F.explode(F.array_distinct(F.array(label, predicted))).alias("name"))
+    each = sides.where("name IS NOT NULL").groupBy("name").agg(
+        F.sum(F.when(F.col("hit"), 2 * F.col("n")).otherwise(0)).alias("good"), F.sum(F.when(F.col("hit"), 2 * F.col("n")).otherwise(F.col("n"))).alias("all"))
+    return each.agg(F.count("*").alias("labels"), F.avg(F.col("good") / F.col("all")).alias("macro_f1"))
+
+
 def confusion_matrix(df: DataFrame, labels: Sequence[str], label: str = "label", predicted: str = "predicted"):
     """One row per true label, one column per predicted label."""
     return df.groupBy(label).pivot(predicted, list(labels)).count().na.fill(0, list(labels))

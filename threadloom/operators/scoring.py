@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.operators.labelling import Labeller
 from threadloom.catalogue import SENTIMENT_LEXICON, STANCE_LEXICON, Lexicon
 
 LABELS = ("positive", "negative", "neutral")
@@ -95,9 +96,12 @@ def text_model_udf(load: Callable[[], Callable]):
 
 def score_text(
     df: DataFrame, text_col: str = "text", load: Callable[[], Callable] | None = None,
-    lexicon: Lexicon = SENTIMENT_LEXICON,
+    lexicon: Lexicon = SENTIMENT_LEXICON, labeller: Labeller | None = None,
 ) -> DataFrame:
-    """Adds ``sentiment_label`` and ``sentiment_score``; the model runs once per row."""
+    """Adds ``sentiment_label`` and ``sentiment_score``; the model runs once per row. A trained ``labeller`` goes before
+    a plugged-in model, and that before the lexicon."""
+    if labeller is not None:
+        return labeller.label(df, text_col)
     if load is None:
         return with_lexicon_sentiment(df, text_col, lexicon)
     return df.withColumn("_s", text_model_udf(load)(F.col(text_col))).withColumns(

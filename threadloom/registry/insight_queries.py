@@ -16,6 +16,7 @@ from threadloom.operators import insights as I
 from threadloom.operators import reports as R
 from threadloom.operators import runs as U
 from threadloom.operators.dedup import duplicate_keys, duplicate_summary, latest_by
+from threadloom.operators.labelling import train
 from threadloom.operators.scoring import label_with_answerer, score_text
 from threadloom.plans import group, video
 from threadloom.registry import adapters as a
@@ -427,6 +428,26 @@ def confusion(t: Tables):
     return E.confusion_matrix(predicted(t), SENT[:3])
 
 
+@case("eval_05_macro_f1", f"""WITH {LABELLED}, s AS (SELECT unnest(CASE WHEN label = predicted THEN [label] ELSE [label, predicted] END) AS name, label = predicted AS hit FROM l),
+e AS (SELECT name, sum(CASE WHEN hit THEN 2 ELSE 0 END) / sum(CASE WHEN hit THEN 2 ELSE 1 END) AS f1 FROM s GROUP BY 1)
+SELECT count(*) AS labels, round(avg(f1), 6) AS macro_f1 FROM e""")
+def macro_f1(t: Tables):
+    return E.macro_f1(predicted(t))
+
+
+def held_out_labels(t: Tables):
+    """Labels of the texts kept from training, by a labeller trained on the others and by the lexicon."""
+    rows = E.with_split(t.view(a.LABELLED), "doc_id").select("doc_id", "text", "label", "split")
+    labeller = train(rows.where("split = 'train'"))
+    test = score_text(rows.where("split = 'test'"), labeller=labeller).withColumnRenamed("sentiment_label", "trained").drop("sentiment_score")
+    return score_text(test, lexicon=a.LEXICON).withColumnRenamed("sentiment_label", "by_lexicon").drop("sentiment_score", "text", "split")
+
+
+@case("ml_09_trained_labeller")
+def trained_labeller(t: Tables):
+    return held_out_labels(t)
+
+
 @case("set_07_duplicate_keys", """SELECT user_id, event_type, ts, n AS "rows" FROM (SELECT user_id, event_type, strftime(ts, '%Y-%m-%d') AS ts,
   count(*) AS n FROM events GROUP BY ALL) WHERE n > 1""")
 def duplicates(t: Tables):

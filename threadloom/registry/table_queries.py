@@ -45,6 +45,14 @@ def read_bronze(t: Tables):
     return P.flatten_posts(raw).select("id", "text", "likeCount", "hashtags", "ingestion_date")
 
 
+@case("snk_01_files_by_bytes", f"""WITH {POSTS} SELECT id, text, "likeCount", array_to_string(hashtags, ',') AS hashtags, ingestion_date FROM p""")
+def files_by_bytes(t: Tables):
+    path = fresh_dir(t.spark, "bronze")
+    writers.land_in_files(t.raw_posts, path, F.col("ingestion_date").cast("timestamp"), max_bytes=100_000)
+    raw = tables.read_bronze(t.spark, path, "posts")
+    return P.flatten_posts(raw).select("id", "text", "likeCount", "hashtags", "ingestion_date")
+
+
 @case("src_02_latest_bronze", f"""WITH {POSTS} SELECT id, ingestion_date FROM p WHERE ingestion_date = (SELECT max(ingestion_date) FROM p)""")
 def latest_bronze(t: Tables):
     return tables.read_latest_bronze(t.spark, landed_posts(t), "posts").select("id", "ingestion_date")
@@ -246,6 +254,26 @@ def register(t: Tables):
     return t.spark.table(name).groupBy("model_entity", "ingestion_date").agg(F.count("*").alias("n"))
 
 
+@case("snk_06_register_in_place", f"WITH {ITEMS} SELECT model_entity, {DAY} AS ingestion_date, count(*) AS n, count(evidence) AS quoted FROM items GROUP BY 1, 2")
+def register_in_place(t: Tables):
+    """An entry gets a column at its end in place, and a quote in a partition's value is a value like others."""
+    path = fresh_dir(t.spark, "it's registered")
+    rows = items(t).select("event_id", "model_entity", "evidence", F.concat(F.lit("it's "), F.col("ingestion_date").cast("string")).alias("day"))
+    name = "loom_checks.place_" + path.rsplit("-", 1)[1]
+    catalog.ensure_database(t.spark, "loom_checks", fresh_dir(t.spark, "db"))
+    writers.write_table(rows.drop("evidence"), path, ["day"])
+    catalog.register_table(t.spark, name, rows.drop("evidence"), path, ["day"])
+    t.spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ('kept' = 'yes')")
+    writers.write_table(rows, path, ["day"])
+    catalog.register_table(t.spark, name, rows.select("event_id", "model_entity", "evidence", "day"), path, ["day"])
+    days = [{"day": r["day"]} for r in rows.select("day").distinct().collect()]
+    catalog.replace_partitions(t.spark, name, days, chunk=7)
+    kept = t.spark.sql(f"SHOW TBLPROPERTIES {name}").where("key = 'kept'").count()
+    found = t.spark.table(name).groupBy("model_entity", F.substring("day", 6, 10).alias("ingestion_date")).agg(
+        F.count("*").alias("n"), F.count("evidence").alias("quoted"))
+    return found.where(F.lit(kept == 1))
+
+
 @case("snk_09_touched_partitions", f"WITH {ITEMS} SELECT DISTINCT {DAY} AS ingestion_date, page_name FROM items")
 def touched(t: Tables):
     return writers.touched_partitions(items(t), ["ingestion_date", "page_name"])

@@ -46,15 +46,28 @@ def partition_values(spark: SparkSession, path: str, levels: Sequence[str] = DAY
 
 
 def latest_partition(spark: SparkSession, path: str, levels: Sequence[str] = DAY_LEVELS) -> tuple[int, ...]:
-    """The newest partition, compared as numbers level by level."""
-    try:
-        found = partition_values(spark, path, levels)
-    except AnalysisException as e:
-        raise ValueError(f"no partition {'/'.join(levels)} below {path}") from e
-    best = found.agg(F.max(F.struct(*[F.col(c).cast("int") for c in levels])).alias("p")).head()["p"]
+    """The newest partition that has a file, compared as numbers level by level.
+
+    Folders are listed from the top down, the greatest value first, so that calls grow with the levels, not with the files."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = top.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def newest(folder, rest: Sequence[str]) -> tuple[int, ...] | None:
+        inside = [s for s in files.listStatus(folder) if not s.getPath().getName().startswith(("_", "."))]
+        if not rest:
+            return () if any(s.isFile() for s in inside) else None
+        named = [(s.getPath().getName().partition("="), s.getPath()) for s in inside if s.isDirectory()]
+        below = [(int(value), place) for (name, _, value), place in named if name == rest[0] and value.isdecimal()]
+        for value, place in sorted(below, key=lambda b: -b[0]):
+            found = newest(place, rest[1:])
+            if found is not None:
+                return (value, *found)
+        return None
+
+    best = newest(top, list(levels)) if files.exists(top) else None
     if best is None:
         raise ValueError(f"no partition {'/'.join(levels)} below {path}")
-    return tuple(best)
+    return best
 
 
 def only_partition(df: DataFrame, values: Sequence[int], levels: Sequence[str] = DAY_LEVELS) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.operators.dedup import latest_by
@@ -39,6 +39,46 @@ def land_bronze(df: DataFrame, path: str, at: Column | str, max_records: int = F
     )
 
 
+def land_in_files(
+    df: DataFrame, path: str, at: Column | str, max_bytes: int, order: Sequence[str] = (), levels: Sequence[str] = DAY_LEVELS
+) -> None:
+    """As ``land_bronze``, in files of at most ``max_bytes`` of JSON text before compression (a record above that has a file of its
+    own), each with records in order: that of ``order``, or else as they come.
+
+    Sizes are summed in two steps, within tasks and then over them, so each record knows how many bytes of its day lie before it; that tells
+    its file, and each file is written by one task. A file takes what starts in its span of bytes; the span is as
+    much shorter than the bound as the longest record that shares files is long, so the last one fits in too."""
+    at = at if isinstance(at, Column) else F.lit(at).cast("timestamp")
+    spark, day = df.sparkSession, list(levels)
+    rows = df.withColumns(day_columns(at))
+    rows = rows.orderBy(*order) if order else rows
+    record = F.to_json(F.struct(*[c for c in df.columns]))
+    rows = stage(spark, rows.select(
+        "*", (F.octet_length(record) + 1).cast("bigint").alias("_size"), F.spark_partition_id().alias("_task"), F.monotonically_increasing_id().alias("_at")))
+    large = F.col("_size") > max_bytes // 2
+    # Large records are numbered by themselves, one a file.
+    rows = rows.withColumn("_large", large)
+    longest = rows.where("NOT _large").agg(F.max("_size")).head()[0] or 0
+    span = max(1, max_bytes - longest)
+    weight = F.when(F.col("_large"), F.lit(span)).otherwise(F.col("_size"))
+    rows = rows.withColumn("_weight", weight)
+    group = [*day, "_large"]
+    tasks = rows.groupBy(*group, "_task").agg(F.sum("_weight").alias("_sum"))
+    before = F.sum("_sum").over(Window.partitionBy(*group).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1))
+    tasks = tasks.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_sum")
+    within = F.sum("_weight").over(Window.partitionBy(*group, "_task").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_within", F.coalesce(within, F.lit(0))).join(tasks, [*group, "_task"])
+    rows = rows.withColumn("_nth", F.floor((F.col("_before") + F.col("_within")) / span))
+    rows = stage(spark, rows)
+    files = rows.select(*group, "_nth").distinct()
+    number = F.row_number().over(Window.orderBy(*group, "_nth")) - 1  # a row for each file
+    files = stage(spark, files.withColumn("_file", number))
+    count = files.count()
+    if count:
+        placed = rows.join(files, [*group, "_nth"]).repartitionById(count, F.col("_file").cast("int")).sortWithinPartitions("_file", "_at")
+        placed.select(*df.columns, *day).write.mode("append").option("compression", "gzip").partitionBy(*day).json(path)
+
+
 def land_video(df: DataFrame, path: str, max_records: int = FILE_RECORDS) -> None:
     """Video comments, one folder per video."""
     (

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from threadloom.functions.moments import parse_legacy_timestamp
@@ -44,11 +44,16 @@ def outside(name: str, low: int, high: int | None = None) -> Column:
     return bad if high is None else bad | (F.col(name) > high)
 
 
+def _counters(checks: Sequence[Check]) -> list[Column]:
+    """All rows, and the failing rows of each check."""
+    return [F.count(F.lit(1)).alias("total"), *[
+        F.count_if(F.coalesce(c.failing, F.lit(False))).alias(f"c{i}") for i, c in enumerate(checks)]]
+
+
 def report(df: DataFrame, checks: Sequence[Check], unique: str | None = None) -> DataFrame:
     """One row per check: failing rows, rows, and status (ok, warn, fail). All
     checks share one pass; ``unique`` adds a duplicate-key check to it."""
-    counters = [F.count_if(F.coalesce(c.failing, F.lit(False))).alias(f"c{i}") for i, c in enumerate(checks)]
-    total = F.count("*").alias("total")
+    total, *counters = _counters(checks)
     if unique is not None:
         counters.append((F.count("*") - F.count_distinct(unique) - F.count_if(F.col(unique).isNull())).alias("dup"))
     counts = df.agg(total, *counters)
@@ -75,8 +80,12 @@ def failing_sample(df: DataFrame, check: Check, n: int = SAMPLE_ROWS) -> DataFra
 def enforce(df: DataFrame, checks: Sequence[Check], unique: str | None = None) -> None:
     """Raises on the first failed check after logging a few of its rows. The
     report has one row per check, so only those reach the driver."""
+    _judge(df, checks, report(df, checks, unique).collect())
+
+
+def _judge(df: DataFrame, checks: Sequence[Check], rows: Sequence) -> None:
     by_name = {c.name: c for c in checks}
-    for row in report(df, checks, unique).collect():
+    for row in rows:
         if row["status"] == "ok":
             continue
         message = f"[{row['check']}] {row['failing']} of {row['rows']} rows failed"
@@ -89,8 +98,40 @@ def enforce(df: DataFrame, checks: Sequence[Check], unique: str | None = None) -
         raise QualityError(message)
 
 
-def enforcing(checks: Sequence[Check], unique: str | None = None) -> Callable[[DataFrame], None]:
-    return lambda df: enforce(df, checks, unique)
+@dataclass(frozen=True)
+class Enforced:
+    """Checks that a table must pass. Called with a table it reads and judges it; ``observed`` counts while the table is
+    being written, so that it need not be read again."""
+
+    checks: tuple[Check, ...]
+    unique: str | None = None
+
+    def __call__(self, df: DataFrame) -> None:
+        enforce(df, self.checks, self.unique)
+
+    def observed(self, df: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], None]]:
+        """The table with its counters attached, and what judges them once it has been written. Only the key column of
+        what was written is read for a check of repeated keys, and rows only to show some that failed."""
+        seen = Observation()
+        watched = df.observe(seen, *_counters(self.checks))
+
+        def judge(written: DataFrame) -> None:
+            counts = seen.get
+            total = counts["total"] or 0
+            rows = []
+            for i, c in enumerate(self.checks):
+                failing = counts[f"c{i}"] or 0
+                status = "ok" if failing <= total * c.max_share else "warn" if c.warn else "fail"
+                rows.append({"check": c.name, "failing": failing, "rows": total, "status": status})
+            _judge(written, self.checks, rows)
+            if self.unique is not None:
+                enforce(written.select(self.unique), (), self.unique)
+
+        return watched, judge
+
+
+def enforcing(checks: Sequence[Check], unique: str | None = None) -> Enforced:
+    return Enforced(tuple(checks), unique)
 
 
 def post_checks() -> list[Check]:

@@ -12,4 +12,6 @@ def stage(spark: SparkSession, df: DataFrame) -> DataFrame:
     from lost executors, and independent of tables that are about to be replaced."""
     path = fresh_dir(spark, "staged")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    rows = spark.read.schema(df.schema).parquet(path)
+    rows.staged_path = path  # for whoever deletes it once nothing reads it any more
+    return rows

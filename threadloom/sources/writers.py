@@ -119,15 +119,27 @@ def touched_partitions(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*columns).distinct()
 
 
+def stage_verified(spark: SparkSession, df: DataFrame, verify: Callable[[DataFrame], None] | None) -> DataFrame:
+    """Stages rows that must pass checks. Checks that can count while the rows are written do; others read what was staged."""
+    if verify is None:
+        return stage(spark, df)
+    if not hasattr(verify, "observed"):
+        staged = stage(spark, df)
+        verify(staged)
+        return staged
+    watched, judge = verify.observed(df)
+    staged = stage(spark, watched)
+    judge(staged)
+    return staged
+
+
 def publish(
     spark: SparkSession, df: DataFrame, path: str, partition_cols: Sequence[str] = (),
     verify: Callable[[DataFrame], None] | None = None, replace: bool = True,
 ) -> DataFrame:
     """Computes a table once, verifies it, and only then replaces the published
     one, or its partitions present in ``df`` if ``replace`` is off."""
-    staged = stage(spark, df)
-    if verify is not None:
-        verify(staged)
+    staged = stage_verified(spark, df, verify)
     if replace:
         balanced = staged.hint("rebalance", *partition_cols) if partition_cols else staged
         replace_table(balanced, path, partition_cols)
@@ -150,9 +162,7 @@ def merge_partitions(
     are staged first, so that a lost executor cannot make Spark re-read files that the overwrite has
     already replaced; they are removed once they are published."""
     columns = list(partition_cols)
-    batch = stage(spark, batch)
-    if verify is not None:
-        verify(batch)
+    batch = stage_verified(spark, batch, verify)
     target = read_if_present(spark, path, batch.schema)
     if target is None:
         write_table(latest_by(batch, keys, order), path, columns)
@@ -173,9 +183,7 @@ def replace_groups(
     ``groups`` lists the keys of every group that is replaced, also of those that have no row any more: their old rows go. Only
     partitions that hold such a group or get a row are rewritten; the key index tells which hold one."""
     columns = list(partition_cols)
-    rows, groups = stage(spark, rows), stage(spark, groups.select(*keys).distinct())
-    if verify is not None:
-        verify(rows)
+    rows, groups = stage_verified(spark, rows, verify), stage(spark, groups.select(*keys).distinct())
     target = read_if_present(spark, path, rows.schema)
     if target is None:
         write_table(rows, path, columns)
@@ -226,8 +234,7 @@ def remove_partition(spark: SparkSession, path: str, values: dict) -> None:
 
 def remove_staged(spark: SparkSession, df: DataFrame) -> None:
     """Deletes the files of a staged table that nothing reads any more."""
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        _delete(spark, folder)
+    _delete(spark, df.staged_path)
 
 
 def _delete(spark: SparkSession, path: str) -> None:

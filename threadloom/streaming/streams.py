@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from threadloom.contracts import RAW, struct_of
 from threadloom.operators.posts import silver_posts
-from threadloom.plans.short_posts import SILVER_DAYS, SILVER_ORDER
+from threadloom.plans.short_posts import SILVER_DAYS, SILVER_ORDER, merge_silver
 from threadloom.sources.writers import merge_partitions
 
 
@@ -23,11 +23,17 @@ def silver_from_stream(
     spark: SparkSession, bronze: str, silver: str, checkpoint: str, max_files: int = 1000,
     transform: Callable[[DataFrame], DataFrame] = silver_posts, keys: Sequence[str] = ("id",),
     order: Sequence[str] = SILVER_ORDER, partition_cols: Sequence[str] = SILVER_DAYS, dataset: str = "posts",
+    verify: Callable[[DataFrame], None] | None = None,
 ) -> StreamingQuery:
     """New bronze files into silver. Each batch is merged by key, so a batch that
-    is repeated after a failure changes nothing: the effect is exactly once."""
+    is repeated after a failure changes nothing: the effect is exactly once. Short posts go through the checks and the
+    contract of the batch job, and a batch that fails them stops the stream before anything is replaced; for other
+    data pass ``transform`` with ``verify``."""
     def merge(batch: DataFrame, _: int) -> None:
-        merge_partitions(batch.sparkSession, transform(batch), silver, list(keys), list(order), list(partition_cols))
+        if transform is silver_posts:
+            merge_silver(batch.sparkSession, batch, silver)
+            return
+        merge_partitions(batch.sparkSession, transform(batch), silver, list(keys), list(order), list(partition_cols), verify)
 
     return (
         stream_bronze(spark, bronze, dataset, max_files).writeStream.foreachBatch(merge)

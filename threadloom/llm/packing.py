@@ -149,8 +149,11 @@ class WordEncoder:
         counts = ends[bounds[1:]] - ends[bounds[:-1]]
         ids = self.flat[_spans(self.starts[at][codes], lens)]
         special = np.zeros(len(texts), bool)
+        data = lowered.buffers()[2]
+        held = data.to_pybytes() if data is not None else b""  # of all texts: hardly ever has one
         for s in self.special:
-            special |= pc.match_substring(lowered, s).to_numpy(zero_copy_only=False)
+            if s.encode() in held:
+                special |= pc.match_substring(lowered, s).to_numpy(zero_copy_only=False)
         whole = np.flatnonzero(special).tolist()
         if whole:
             parts = np.split(ids, np.cumsum(counts)[:-1])
@@ -250,8 +253,8 @@ def pack(
         for received in batches:
             return_memory()
             rows_type = received.schema.field(0).type
-            for low in range(0, received.num_rows, 512):
-                part = received.slice(low, 512)
+            for low in range(0, received.num_rows, 1024):
+                part = received.slice(low, 1024)
                 ids, counts = encoder.encode(pc.fill_null(part.column(1).cast(pa.string()), ""))
                 full, at = [], 0
                 for doc, n in zip(part.column(0).to_pylist(), counts.tolist(), strict=True):

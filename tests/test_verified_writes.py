@@ -64,3 +64,19 @@ def test_the_stream_checks_like_the_batch_job(spark, tmp_path):
     with pytest.raises(StreamingQueryException):
         query.awaitTermination()
     assert spark.read.parquet(silver).count() == 1
+
+
+def test_the_stream_merges_once_a_run(spark, tmp_path, monkeypatch):
+    """Many small batches are one merge, and copies of an id that land in different files are told apart as in the batch job."""
+    bronze, silver, checkpoint = (str(tmp_path / n) for n in ("bronze", "silver", "checkpoint"))
+    merges, merge = [], streams.merge_silver
+    monkeypatch.setattr(streams, "merge_silver", lambda *args: (merges.append(1), merge(*args)))
+    for day, rows in (("2026-05-09", ["1", "2"]), ("2026-05-10", ["3"]), ("2026-05-11", ["4"])):
+        writers.land_bronze(raw_posts(spark, *[{"id": i, "ingestion_date": day} for i in rows]).coalesce(1), bronze, day)
+    writers.land_bronze(raw_posts(spark, {"id": "1", "ingestion_date": "2026-05-12", "likeCount": -1}), bronze, "2026-05-12")
+    for _ in range(2):
+        streams.silver_from_stream(spark, bronze, silver, checkpoint, max_files=1).awaitTermination()
+    assert sorted(r["id"] for r in spark.read.parquet(silver).collect()) == ["2", "3", "4"] and len(merges) == 1
+    writers.land_bronze(raw_posts(spark, {"id": "5"}), bronze, "2026-05-13")
+    streams.silver_from_stream(spark, bronze, silver, checkpoint, max_files=1).awaitTermination()
+    assert spark.read.parquet(silver).count() == 4 and len(merges) == 2

@@ -25,19 +25,24 @@ def silver_from_stream(
     order: Sequence[str] = SILVER_ORDER, partition_cols: Sequence[str] = SILVER_DAYS, dataset: str = "posts",
     verify: Callable[[DataFrame], None] | None = None,
 ) -> StreamingQuery:
-    """New bronze files into silver. Each batch is merged by key, so a batch that
-    is repeated after a failure changes nothing: the effect is exactly once. Short posts go through the checks and the
-    contract of the batch job, and a batch that fails them stops the stream before anything is replaced; for other
-    data pass ``transform`` with ``verify``."""
+    """New bronze files into silver, in two steps. Records are taken in by small batches, of ``max_files`` files, whose
+    cost does not depend on the table; then all that the run has taken in is one batch of a second stream, which is merged by key.
+    So partitions are rewritten once a run, not once for each few files, and copies of an id that land
+    together are told apart together, as in the batch job. Both streams keep their place below ``checkpoint``, where the records
+    taken in stay as well. A batch that is repeated after a failure changes nothing: the effect is exactly once. Short posts
+    go through the checks and the contract of the batch job, and a batch that fails them stops the stream before anything is
+    replaced; for other data pass ``transform`` with ``verify``. Returns the second stream once the first has ended."""
     def merge(batch: DataFrame, _: int) -> None:
         if transform is silver_posts:
             merge_silver(batch.sparkSession, batch, silver)
             return
         merge_partitions(batch.sparkSession, transform(batch), silver, list(keys), list(order), list(partition_cols), verify)
 
+    records, place = stream_bronze(spark, bronze, dataset, max_files), checkpoint.rstrip("/")
+    to_table(records, f"{place}/records", f"{place}/taken").awaitTermination()
     return (
-        stream_bronze(spark, bronze, dataset, max_files).writeStream.foreachBatch(merge)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        spark.readStream.schema(records.schema).parquet(f"{place}/records").writeStream.foreachBatch(merge)
+        .option("checkpointLocation", f"{place}/merged").trigger(availableNow=True).start()
     )
 
 

@@ -44,6 +44,14 @@ def test_files_are_bounded_in_bytes_and_in_order(spark, tmp_path, ordered):
     writers.land_in_files(df.limit(0), str(tmp_path / "none"), at, max_bytes=3000)
 
 
+def test_a_task_writes_files_of_many_days(spark, tmp_path):
+    df = spark.range(600).selectExpr("id AS i", "repeat('x', 80) AS text", "cast(1 + id % 6 AS string) AS d").coalesce(2)
+    writers.land_in_files(df, str(tmp_path), F.to_timestamp(F.concat(F.lit("2026-05-0"), "d")), max_bytes=1000)
+    files = list(tmp_path.rglob("*.json.gz"))
+    tasks = {f.name.split("-")[1] for f in files}
+    assert len(files) > 60 and len(tasks) <= max(len(list(d.glob("*.json.gz"))) for d in tmp_path.glob("*/*/*"))
+
+
 def test_newest_partition_has_a_file(spark, tmp_path):
     writers.land_bronze(raw_posts(spark, {}), str(tmp_path), "2026-05-09")
     for empty in ("year=2027", "year=2026/month=11/day=03", "year=2026/month=05/day=x", "year=2026/month=05/day=31/_tmp", "_year=2099/month=01/day=01"):

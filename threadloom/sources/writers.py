@@ -46,7 +46,7 @@ def land_in_files(
     own), each with records in order: that of ``order``, or else as they come.
 
     Sizes are summed in two steps, within tasks and then over them, so each record knows how many bytes of its day lie before it; that tells
-    its file, and each file is written by one task. A file takes what starts in its span of bytes; the span is as
+    its file, and each file is written by one task, which may write others, of other days. A file takes what starts in its span of bytes; the span is as
     much shorter than the bound as the longest record that shares files is long, so the last one fits in too."""
     at = at if isinstance(at, Column) else F.lit(at).cast("timestamp")
     spark, day = df.sparkSession, list(levels)
@@ -71,11 +71,12 @@ def land_in_files(
     rows = rows.withColumn("_nth", F.floor((F.col("_before") + F.col("_within")) / span))
     rows = stage(spark, rows)
     files = rows.select(*group, "_nth").distinct()
-    number = F.row_number().over(Window.orderBy(*group, "_nth")) - 1  # a row for each file
+    number = F.row_number().over(Window.partitionBy(*day).orderBy("_large", "_nth")) - 1  # a row for each file
     files = stage(spark, files.withColumn("_file", number))
-    count = files.count()
+    count = files.agg(F.max("_file") + 1).head()[0]
     if count:
-        placed = rows.join(files, [*group, "_nth"]).repartitionById(count, F.col("_file").cast("int")).sortWithinPartitions("_file", "_at")
+        # A task writes one file of each day: tasks are as many as the files of the largest day, not as all files.
+        placed = rows.join(files, [*group, "_nth"]).repartitionById(count, F.col("_file").cast("int")).sortWithinPartitions(*day, "_at")
         placed.select(*df.columns, *day).write.mode("append").option("compression", "gzip").partitionBy(*day).json(path)
 
 

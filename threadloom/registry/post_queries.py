@@ -250,13 +250,13 @@ def dim_authors(t: Tables):
 
 @case("win_01_top3_brands", f"WITH {s.ANALYTICS}, {TOP} SELECT * FROM r WHERE rank <= 3")
 def top3(t: Tables):
-    return topk_per_group(analytics(t).selectExpr("author_id", "explode(all_brands) AS brand"), ["author_id"], "brand", 3)
+    return topk_per_group(P.brand_mentions(analytics(t), "author_id").withColumnRenamed("brand_name", "brand"), ["author_id"], "brand", 3)
 
 
 @case("win_02_top5_brands", f"""WITH {s.ANALYTICS}, {TOP} SELECT author_id, string_agg(brand, ',' ORDER BY rank) AS top_brands
   FROM r WHERE rank <= 5 GROUP BY 1""")
 def top5(t: Tables):
-    ranked = topk_per_group(analytics(t).selectExpr("author_id", "explode(all_brands) AS brand"), ["author_id"], "brand", 5)
+    ranked = topk_per_group(P.brand_mentions(analytics(t), "author_id").withColumnRenamed("brand_name", "brand"), ["author_id"], "brand", 5)
     return collect_ranked(ranked, ["author_id"], "brand", "top_brands")
 
 
@@ -287,7 +287,7 @@ b AS (SELECT author_id, count(*) AS posts FROM analytics GROUP BY 1)
 SELECT b.author_id, posts, top_brands FROM b LEFT JOIN t ON b.author_id = t.author_id""")
 def join_top_brands(t: Tables):
     posts = analytics(t)
-    ranked = topk_per_group(posts.selectExpr("author_id", "explode(all_brands) AS brand"), ["author_id"], "brand", 3)
+    ranked = topk_per_group(P.brand_mentions(posts, "author_id").withColumnRenamed("brand_name", "brand"), ["author_id"], "brand", 3)
     base = posts.groupBy("author_id").count().withColumnRenamed("count", "posts")
     return base.join(collect_ranked(ranked, ["author_id"], "brand", "top_brands"), "author_id", "left")
 
@@ -304,7 +304,7 @@ def top_author(t: Tables):
 g AS (SELECT lang, brand, count(*) AS n FROM x GROUP BY 1, 2)
 SELECT *, {s.half_up('n', 'CAST(sum(n) OVER (PARTITION BY lang) AS BIGINT)')} AS share FROM g""")
 def share(t: Tables):
-    counts = analytics(t).selectExpr("lang", "explode(all_brands) AS brand").groupBy("lang", "brand").agg(
+    counts = P.brand_mentions(analytics(t), "lang").groupBy("lang", F.col("brand_name").alias("brand")).agg(
         F.count("*").alias("n")
     )
     return counts.withColumn("share", ratio(F.col("n"), F.sum("n").over(Window.partitionBy("lang"))))
@@ -314,7 +314,7 @@ def share(t: Tables):
 b AS (SELECT * FROM (VALUES {', '.join(f"('{b.brand_id}', '{b.name}', '{b.segment}')" for b in a.BRANDS)}) v(brand_id, brand_name, brand_segment))
 SELECT brand_id, brand_name, brand_segment, count(brand) AS mentions FROM b LEFT JOIN x ON brand = brand_name GROUP BY 1, 2, 3""")
 def brand_dim(t: Tables):
-    n = analytics(t).selectExpr("explode(all_brands) AS brand_name").groupBy("brand_name").agg(F.count("*").alias("mentions"))
+    n = P.brand_mentions(analytics(t)).groupBy("brand_name").agg(F.count("*").alias("mentions"))
     dim = P.dim_brands(t.spark, a.BRANDS).select("brand_id", "brand_name", "brand_segment")
     return dim.join(n, "brand_name", "left").na.fill(0, ["mentions"])
 

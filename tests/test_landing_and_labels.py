@@ -96,6 +96,20 @@ def test_a_trained_labeller_beats_a_lexicon(spark, tmp_path):
         labelling.train(df.where("label = 'positive'"))
 
 
+def test_training_cuts_each_text_once(spark):
+    cut = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            cut.add(batch.num_rows)
+            yield batch
+
+    rows = [(f"good day {i}", "a") if i % 2 else (f"bad night {i}", "b") for i in range(40)]
+    df = spark.createDataFrame(rows, "text string, label string")
+    model = labelling.train(df.mapInArrow(counted, df.schema), features=1 << 8, rounds=3)
+    assert cut.value == 40 and model.labels == ["a", "b"]
+
+
 def test_author_state_reads_changed_days_only(spark, tmp_path):
     from threadloom.operators.posts import silver_posts
 

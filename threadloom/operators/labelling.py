@@ -1,6 +1,6 @@
 """A text labeller trained on the cluster: hashed words and word pairs into a multinomial logistic regression.
 
-Everything runs in Spark ML: counting, fitting (one pass over the features for each step, sums combined as a tree) and
+Everything runs in Spark ML: counting, fitting (one pass over the hashed terms for each step, sums combined as a tree) and
 labelling. Rare labels weigh more, so that each label counts alike."""
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.sources.writers import remove_staged, stage
+
 FEATURES = 1 << 18
 MAX_LABELS = 1000
 
@@ -57,8 +59,19 @@ def train(
     df: DataFrame, text_col: str = "text", label_col: str = "label", features: int = FEATURES, least_texts: int = 2,
     regularisation: float = 0.01, rounds: int = 60,
 ) -> Labeller:
-    """Fits a labeller on all rows that have a label. Terms of fewer than ``least_texts`` texts count for nothing."""
-    rows = df.where(F.col(label_col).isNotNull()).select(F.col(label_col).cast("string").alias("_label"), words_and_pairs(F.col(text_col)).alias("_terms"))
+    """Fits a labeller on all rows that have a label. Terms of fewer than ``least_texts`` texts count for nothing.
+
+    Texts are cut into words and hashed once; each step of the fit reads the hashed terms, staged in the shared folder."""
+    hashing = HashingTF(inputCol="_terms", outputCol="_counts", numFeatures=features, binary=True)
+    terms = df.where(F.col(label_col).isNotNull()).select(F.col(label_col).cast("string").alias("_label"), words_and_pairs(F.col(text_col)).alias("_terms"))
+    staged = stage(df.sparkSession, hashing.transform(terms).select("_label", "_counts"))
+    try:
+        return Labeller(_fit(staged, hashing, least_texts, regularisation, rounds))
+    finally:
+        remove_staged(df.sparkSession, staged)
+
+
+def _fit(rows: DataFrame, hashing: HashingTF, least_texts: int, regularisation: float, rounds: int) -> PipelineModel:
     sizes = {r["_label"]: r["count"] for r in rows.groupBy("_label").count().limit(MAX_LABELS + 1).collect()}
     if len(sizes) > MAX_LABELS:
         raise ValueError(f"more than {MAX_LABELS} labels")
@@ -67,12 +80,11 @@ def train(
     total = sum(sizes.values())
     weights = F.create_map(*[F.lit(v) for name, n in sizes.items() for v in (name, total / (len(sizes) * n))])
     rows = rows.withColumn("_weight", F.element_at(weights, F.col("_label")))
-    stages = [
+    indexer, idf, regression = Pipeline(stages=[
         StringIndexer(inputCol="_label", outputCol="_target", stringOrderType="alphabetAsc"),
-        HashingTF(inputCol="_terms", outputCol="_counts", numFeatures=features, binary=True),
         IDF(inputCol="_counts", outputCol="_features", minDocFreq=least_texts),
         LogisticRegression(
             featuresCol="_features", labelCol="_target", weightCol="_weight", probabilityCol="_chances", predictionCol="_best",
             rawPredictionCol="_raw", family="multinomial", maxIter=rounds, regParam=regularisation, standardization=False, aggregationDepth=3),
-    ]
-    return Labeller(Pipeline(stages=stages).fit(rows))
+    ]).fit(rows).stages
+    return PipelineModel(stages=[indexer, hashing, idf, regression])

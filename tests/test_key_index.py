@@ -198,3 +198,47 @@ def test_parts_carry_their_root(spark):
         assert (r["root"] is None) == (r["part"] == 0)
         assert r["t"].startswith('[Root]' if r["part"] == 0 else '[Context] Ann: "root"\n[Reply]')
         assert r["t"].count("root") == 1
+
+
+def files(folder):
+    return {file.name for file in folder.glob("*.parquet")}
+
+
+def test_partitions_without_a_known_key_are_added_to(spark, tmp_path):
+    path, folder = str(tmp_path / "t"), tmp_path / "t"
+    first = [("a", "1", 1), ("b", "2", 1), ("c", "3", 1), ("none", None, 1)]
+    writers.merge_partitions(spark, rows(spark, *first), path, ["id"], ["n"], ["day"])
+    before = {day: files(folder / f"day={day}") for day in "123"}
+    # d is new; b moves to day 1; c stays as it is, being later; e comes twice.
+    batch = [("d", "1", 1), ("b", "1", 5), ("c", "1", 0), ("e", "4", 1), ("e", "1", 2)]
+    for _ in range(2):
+        writers.merge_partitions(spark, rows(spark, *batch), path, ["id"], ["n"], ["day"])
+        want = {("a", "1", 1), ("b", "1", 5), ("c", "3", 1), ("d", "1", 1), ("e", "1", 2), ("none", None, 1)}
+        found = [tuple(r) for r in spark.read.schema(SCHEMA).parquet(path).select("id", "day", "n").collect()]
+        assert sorted(found, key=str) == sorted(want, key=str)
+        assert not (folder / "day=2").exists() and not (folder / "day=4").exists()
+        if before:
+            assert before.pop("1") < files(folder / "day=1")
+            before.clear()
+
+
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_keys_meet_with_and_without_a_broadcast(spark, tmp_path, monkeypatch, limit):
+    monkeypatch.setattr(writers, "BROADCAST_KEYS", limit)
+    path = str(tmp_path / "t")
+    writers.merge_partitions(spark, rows(spark, ("a", "1", 1), ("a", "2", 3), ("b", "1", 1), (None, "1", 1)), path, ["id"], ["n"], ["day"])
+    assert content(spark, path) == {("a", "2", 3), ("b", "1", 1), (None, "1", 1)}
+    writers.merge_partitions(spark, rows(spark, ("a", "1", 2), ("b", "2", 4), (None, "3", 2), ("c", "1", 1)), path, ["id"], ["n"], ["day"])
+    assert content(spark, path) == {("a", "2", 3), ("b", "2", 4), (None, "3", 2), ("c", "1", 1)}
+    assert spark.read.parquet(path).count() == 4
+
+
+def test_many_small_files_are_written_as_few(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(key_index, "MANY_FILES", 2)
+    path, folder = str(tmp_path / "t"), tmp_path / "t" / "day=1"
+    sizes = []
+    for i in range(3):
+        writers.merge_partitions(spark, rows(spark, (f"k{i}", "1", i)), path, ["id"], ["n"], ["day"])
+        sizes.append(len(files(folder)))
+    assert sizes == [1, 2, 1]
+    assert content(spark, path) == {(f"k{i}", "1", i) for i in range(3)}

@@ -30,15 +30,25 @@ WORDS = BLOCK_BITS // 64
 BROADCAST_BLOCKS = 8192
 COPIES = 16
 FEW_SLOTS = 6
+# A partition is crowded when it has so many files more than it has times so many bytes.
+MANY_FILES = 16
+FILE_BYTES = 32 << 20
 
 
 def fingerprints(spark: SparkSession, path: str, partitions: T.StructType) -> DataFrame:
-    """A table's partitions and a fingerprint of the files of each."""
+    """A table's partitions, a fingerprint of the files of each, their number and bytes."""
     listing = T.StructType.fromDDL("path string, modificationTime timestamp, length bigint, content binary")
     schema = T.StructType([*listing.fields, *partitions.fields])
     files = spark.read.format("binaryFile").schema(schema).option("pathGlobFilter", "*.parquet").load(path)
     name = F.regexp_extract("path", "[^/]*$", 0)
-    return files.groupBy(*partitions.names).agg(F.bit_xor(F.xxhash64(name, "length")).alias("fingerprint"))
+    return files.groupBy(*partitions.names).agg(
+        F.bit_xor(F.xxhash64(name, "length")).alias("fingerprint"), F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
+
+
+def crowded(spark: SparkSession, path: str, partitions: T.StructType) -> DataFrame:
+    """Partitions of many small files, which the next merge into them writes as few."""
+    many = F.col("files") >= F.lit(MANY_FILES) + F.floor(F.col("bytes") / FILE_BYTES)
+    return fingerprints(spark, path, partitions).where(many).select(*partitions.names)
 
 
 def _key_columns(keys: Sequence[str]) -> list[Column]:

@@ -109,6 +109,15 @@ def in_partitions(df: DataFrame, wanted: DataFrame) -> DataFrame:
     return df.join(listed, partition_text(columns) == F.col("_wanted"), "left_semi")
 
 
+def outside_partitions(df: DataFrame, others: DataFrame) -> DataFrame:
+    """Rows in partitions that ``others`` does not list."""
+    columns = others.columns
+    cast = [F.col(c).cast(df.schema[c].dataType).alias(c) for c in columns]
+    listed = others.select(*cast).distinct().select(partition_text(columns).alias("_wanted"))
+    listed = F.broadcast(listed) if listed.count() <= BROADCAST_PARTITIONS else listed
+    return df.join(listed, partition_text(columns) == F.col("_wanted"), "left_anti")
+
+
 def read_latest_bronze(spark: SparkSession, path: str, dataset: str) -> DataFrame:
     newest = latest_partition(spark, path)
     return only_partition(with_partitions(spark, path, dataset), newest).drop(*DAY_LEVELS)

@@ -7,14 +7,17 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from threadloom.operators.dedup import latest_by
 from threadloom.sources import key_index
 from threadloom.sources.staging import stage
-from threadloom.sources.tables import in_partitions, read_if_present
+from threadloom.sources.tables import in_partitions, outside_partitions, read_if_present
 
 DAY_LEVELS = ("year", "month", "day")
 FILE_RECORDS = 200_000
+# Up to so many hashes of keys (some 50 bytes each) go to every task.
+BROADCAST_KEYS = 500_000
 
 
 def day_columns(at: Column) -> dict[str, Column]:
@@ -156,24 +159,54 @@ def merge_partitions(
     """Merges a batch into a table by key; repeating a batch changes nothing.
     Returns the staged batch.
 
-    A key is unique in the whole table: besides the partitions that the batch touches, those that hold
-    one of its keys so far are read, the latest row per key stays, and just these partitions are replaced. Which
-    partitions those are is told by the key index beside the table, and of the few it names the key columns alone are read;
-    all others are not opened. A partition that has lost its last row is removed. The merged rows
-    are staged first, so that a lost executor cannot make Spark re-read files that the overwrite has
-    already replaced; they are removed once they are published."""
+    A key is unique in the whole table. Partitions that hold one of the batch's keys so far are read, the latest row per key stays,
+    and just these partitions are replaced; other partitions get the batch's rows as files beside those that they have, and are rewritten only
+    when small files have become many (``key_index.crowded``). Which partitions hold a key is told by the key index beside the table, and of the
+    few it names the key columns alone are read; all others are not opened. A partition that has lost its last row is removed. Only rows whose
+    key occurs more than once meet by key; all others pass as they are. What replaces partitions, and what was chosen among rows of a key, is
+    staged first, so that a lost executor cannot make Spark re-read files that the overwrite has already replaced; it is removed once it is
+    published. Rows are added before others are replaced: a merge that breaks off in between loses none, and when it is repeated its
+    keys are found in all the places they have by then."""
     columns = list(partition_cols)
     batch = stage_verified(spark, batch, verify)
     target = read_if_present(spark, path, batch.schema)
+    repeated = batch.groupBy(_key(keys)).count().where("count > 1").select("_key")
     if target is None:
-        write_table(latest_by(batch, keys, order), path, columns)
+        repeated = stage(spark, repeated)
+        n = repeated.count()
+        same, single = split_by_key(batch, repeated, n, keys)
+        write_table(latest_by(same, keys, order).unionByName(single) if n else batch, path, columns)
+        remove_staged(spark, repeated)
         return batch
-    touched = homes_of(spark, target, path, batch, keys, columns)
-    kept = in_partitions(target, touched)
-    _replace_partitions(spark, latest_by(batch.unionByName(kept.select(*batch.columns)), keys, order), touched, path, columns)
+    found = homes_of(spark, target, path, batch, keys, columns)
+    touched = _rewritten(spark, target, found, batch, path, columns)
+    kept, new = in_partitions(target, touched).select(*batch.columns), batch
+    contested = stage(spark, found.select("_key").unionByName(repeated).distinct())
+    used = [found, contested]
+    if n := contested.count():
+        (old_same, kept), (same, new) = (split_by_key(rows, contested, n, keys) for rows in (kept, batch))
+        won = stage(spark, latest_by(same.unionByName(old_same), keys, order))
+        new = new.unionByName(won)
+        used.append(won)
+    _put(spark, new, kept, touched, path, columns)
+    for done in used:
+        remove_staged(spark, done)
     return batch
 
 
+def _key(keys: Sequence[str]) -> Column:
+    return F.xxhash64(*keys).alias("_key")
+
+
+def split_by_key(df: DataFrame, listed: DataFrame, n: int, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows that may have one of ``n`` listed keys (their hashes), and rows that surely have none. Beyond ``BROADCAST_KEYS`` all rows may."""
+    if n > BROADCAST_KEYS:
+        return df, df.where(F.lit(False))
+    hashed, listed = df.withColumn("_hash", F.xxhash64(*keys)), F.broadcast(listed)
+    same, others = (hashed.join(listed, F.col("_hash") == F.col("_key"), how).drop("_hash") for how in ("left_semi", "left_anti"))
+    return same, others
+
+
 def replace_groups(
     spark: SparkSession, rows: DataFrame, groups: DataFrame, path: str, keys: Sequence[str], partition_cols: Sequence[str],
     verify: Callable[[DataFrame], None] | None = None,
@@ -182,7 +215,7 @@ def replace_groups(
     that changes nothing. Returns the staged rows.
 
     ``groups`` lists the keys of every group that is replaced, also of those that have no row any more: their old rows go. Only
-    partitions that hold such a group or get a row are rewritten; the key index tells which hold one."""
+    partitions that hold such a group are rewritten; the key index tells which do. Others get rows as in ``merge_partitions``."""
     columns = list(partition_cols)
     rows, groups = stage_verified(spark, rows, verify), stage(spark, groups.select(*keys).distinct())
     target = read_if_present(spark, path, rows.schema)
@@ -190,40 +223,56 @@ def replace_groups(
         write_table(rows, path, columns)
         return rows
     # A row of a group that is not listed is added to it.
-    touched = homes_of(spark, target, path, groups, keys, columns, rows)
+    found = homes_of(spark, target, path, groups, keys, columns)
+    touched = _rewritten(spark, target, found, rows, path, columns)
     kept = in_partitions(target, touched).join(groups, list(keys), "left_anti")
-    _replace_partitions(spark, kept.select(*rows.columns).unionByName(rows), touched, path, columns)
-    remove_staged(spark, groups)
+    _put(spark, rows, kept.select(*rows.columns), touched, path, columns)
+    for done in (found, groups):
+        remove_staged(spark, done)
     return rows
 
 
 def homes_of(
-    spark: SparkSession, target: DataFrame, path: str, wanted: DataFrame, keys: Sequence[str], columns: Sequence[str],
-    rows: DataFrame | None = None,
+    spark: SparkSession, target: DataFrame, path: str, wanted: DataFrame, keys: Sequence[str], columns: Sequence[str]
 ) -> DataFrame:
-    """Partitions of the table that hold one of the wanted keys, and those of ``rows`` (by default the wanted ones), staged."""
+    """Where the table holds the wanted keys: a hash of the key and the partition of each row that has one, staged."""
     listed = wanted.select(*keys).distinct()
     blocks = key_index.current(spark, target, path, keys, columns)
     maybe = stage(spark, key_index.partitions_with(blocks, listed, keys, columns))
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_batch_{k}")) for k in keys])
     listed = listed.select(*[F.col(k).alias(f"_batch_{k}") for k in keys])
     homes = in_partitions(target.select(*dict.fromkeys([*keys, *columns])), maybe).join(listed, same, "left_semi")
-    into = touched_partitions(wanted if rows is None else rows, columns)
-    touched = stage(spark, into.unionByName(touched_partitions(homes, columns)).distinct())
+    found = stage(spark, homes.select(_key(keys), *columns))
     remove_staged(spark, maybe)
-    return touched
-
-
-def _replace_partitions(spark: SparkSession, rows: DataFrame, touched: DataFrame, path: str, columns: Sequence[str]) -> None:
-    """Writes rows over the touched partitions; those without a row are removed."""
-    merged = stage(spark, rows)
-    write_table(merged, path, columns)
-    left = [F.col(c).eqNullSafe(F.col(f"_left_{c}")) for c in columns]
-    filled = touched_partitions(merged, columns).select(*[F.col(c).alias(f"_left_{c}") for c in columns])
-    for row in touched.join(filled, reduce(lambda a, b: a & b, left), "left_anti").toLocalIterator():
-        remove_partition(spark, path, {c: row[c] for c in columns})
-    for done in (merged, touched):
-        remove_staged(spark, done)
+    return found
+
+
+def _rewritten(
+    spark: SparkSession, target: DataFrame, found: DataFrame, rows: DataFrame, path: str, columns: Sequence[str]
+) -> DataFrame:
+    """Partitions to rewrite, staged: those where a key was found, and those of many small files that get a row."""
+    crowded = key_index.crowded(spark, path, T.StructType([target.schema[c] for c in columns]))
+    into = in_partitions(touched_partitions(rows, columns), crowded)
+    return stage(spark, touched_partitions(found, columns).unionByName(into).distinct())
+
+
+def _put(
+    spark: SparkSession, new: DataFrame, kept: DataFrame, touched: DataFrame, path: str, columns: Sequence[str]
+) -> None:
+    """Adds rows to a table: in the touched partitions together with the kept rows, over all that is there; elsewhere as further
+    files. Touched partitions without a row are removed, and so is their list."""
+    if touched.isEmpty():
+        write_table(new, path, columns, mode="append")
+    else:
+        merged = stage(spark, kept.unionByName(in_partitions(new, touched)))
+        write_table(outside_partitions(new, touched), path, columns, mode="append")
+        write_table(merged, path, columns)
+        left = [F.col(c).eqNullSafe(F.col(f"_left_{c}")) for c in columns]
+        filled = touched_partitions(merged, columns).select(*[F.col(c).alias(f"_left_{c}") for c in columns])
+        for row in touched.join(filled, reduce(lambda a, b: a & b, left), "left_anti").toLocalIterator():
+            remove_partition(spark, path, {c: row[c] for c in columns})
+        remove_staged(spark, merged)
+    remove_staged(spark, touched)
 
 
 def remove_partition(spark: SparkSession, path: str, values: dict) -> None:

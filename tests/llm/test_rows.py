@@ -42,6 +42,22 @@ def test_other_tokenizers_are_refused():
         packing.WordEncoder(tokenizer_file("byte_bpe_50k.json"))
 
 
+def test_words_are_put_together_without_an_array_for_each(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    def refuse(*_):
+        raise AssertionError("words are cut into arrays of their own")
+
+    monkeypatch.setattr(packing.np, "split", refuse)
+    path = tokenizer_file("word_bpe_49k.json")
+    encoder, tokenizer = packing.WordEncoder(path), Tokenizer.from_file(path)
+    for texts in (["a 10 b00 word, 7 x0y 0 é", "", "0", "100 plain 0."], ["30 405"], ["no digit", " "]):
+        ids, counts = encoder.encode(pa.array(texts))
+        want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert ids.tolist() == [i for one in want for i in one] and counts.tolist() == [len(one) for one in want]
+
+
 def test_line_dedup_of_repeated_ids(spark):
     copy, own, other = words(1, 12), words(2, 12), words(3, 12)
     docs = documents(spark, [(1, f"{copy}\nx"), (1, f"{own}\ny"), (2, f"{copy}\n{other}"), (3, None), (None, copy), (4, own), (4, own)])

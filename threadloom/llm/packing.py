@@ -208,10 +208,16 @@ class WordEncoder:
         lens = np.diff(ends, prepend=-1) - 1
         flat = np.delete(ids, ends)
         if len(plain) < len(words):
-            parts = iter(np.split(flat, np.cumsum(lens)[:-1])) if plain else iter(())
-            own = [np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, self.kind) if MARK in w
-                   else next(parts) for w in words]
-            flat, lens = np.concatenate(own), np.array([len(o) for o in own], np.int64)
+            own = [np.array(e.ids, self.kind) for e in
+                   self.tokenizer.encode_batch_fast([w for w in words if MARK in w], add_special_tokens=False)]
+            # Words without the digit come first, then those with it: spans of both in the order of the words.
+            marked = np.fromiter((MARK in w for w in words), bool, len(words))
+            which = np.where(marked, len(plain) + np.cumsum(marked) - 1, np.cumsum(~marked) - 1)
+            flat = np.concatenate([flat, *own])
+            lens = np.concatenate((lens, np.array([len(o) for o in own], np.int64)))
+            starts = (np.cumsum(lens) - lens)[which]
+            lens = lens[which]
+            flat = flat[_spans(starts, lens)]
         return flat, lens
 
 

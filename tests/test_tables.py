@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tests.rows import POST, flat_comments, raw_groups, raw_posts, video_comments
 from threadloom import contracts
 from threadloom.operators import posts as P
+from threadloom.operators import quality
 from threadloom.operators.dedup import duplicate_keys, duplicate_summary, first_seen, latest_by
 from threadloom.operators.skew import hot_keys, skew_join
 from threadloom.plans import group, landing, short_posts, video
@@ -268,6 +269,17 @@ def test_gold_runs_twice_without_double_counting(spark, tmp_path):
     assert spark.read.parquet(f"{gold}/dim_authors").head()["top_brands"] == ["Tesla"]
 
 
+def test_analytics_are_checked_while_facts_are_staged(spark, tmp_path, monkeypatch):
+    silver, gold, read = str(tmp_path / "silver"), str(tmp_path / "gold"), []
+    report, table = quality.report, P.silver_posts(raw_posts(spark, {"id": "1", "text": "great tesla"}))
+    writers.write_table(contracts.conform(table, contracts.SILVER_POST), silver)
+    monkeypatch.setattr(quality, "analytics_checks", lambda: [quality.Check("no_tesla", F.col("primary_brand") == "Tesla")])
+    monkeypatch.setattr(quality, "report", lambda df, checks, unique=None: read.append([c.name for c in checks]) or report(df, checks, unique))
+    with pytest.raises(quality.QualityError, match="no_tesla"):
+        short_posts.build_gold(spark, silver, gold, as_of="2026-05-20")
+    assert ["no_tesla"] not in read and not (tmp_path / "gold" / "fact_posts").exists()
+
+
 def answer(prompt):
     return json.dumps([{"model_entity": "VF8", "aspect": "pin", "sentiment": "negative", "intensity": "strong",
                         "mention_count": prompt.count("[R"), "evidence": "x"}])

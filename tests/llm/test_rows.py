@@ -58,6 +58,45 @@ def test_words_are_put_together_without_an_array_for_each(monkeypatch):
         assert ids.tolist() == [i for one in want for i in one] and counts.tolist() == [len(one) for one in want]
 
 
+def same_ids(encoder, texts):
+    import pyarrow as pa
+
+    ids, counts = encoder.encode(pa.array(texts))
+    want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    return ids.tolist() == [i for one in want for i in one] and counts.tolist() == [len(one) for one in want]
+
+
+def test_words_met_again_are_not_encoded_again(monkeypatch):
+    monkeypatch.setattr(packing, "WORDS_KEPT", 60)
+    encoder, encoded = packing.WordEncoder(tokenizer_file("word_bpe_49k.json")), []
+    encode = encoder._encode_words
+    monkeypatch.setattr(encoder, "_encode_words", lambda words: encoded.extend(words) or encode(words))
+    often = ["the", "of", "éa", "b0", "x-y", "two7", "the.", "of,", "é.", "0.", "Of", "漢字"]
+    for i in range(12):
+        new = [f"{a}{b}" for a in random.Random(i).sample("abcdefghij", 6) for b in (f"n{i}", "q" * (i + 3), "é", "..")]
+        assert same_ids(encoder, [" ".join([*often, *new]), "", " \n", " ".join(new[::-1]), "the. of"])
+    assert [encoded.count(w) for w in ("the", "of", "éa", "b0", "x-y", "two7")] == [1] * 6
+    assert len(encoder.known) < 60 + 40 and encoder.held_bytes == sum(map(len, encoder.known))
+
+
+def test_only_words_of_letters_skip_the_rest_of_the_tokenizer(tmp_path, monkeypatch):
+    import json
+
+    texts = ["plain word, Words. don't a1b über x_y 10 a" + "b" * 5000, "quick aqua.", "e\u0301 ﬁ ǅ İ. ²x"]
+    path = tokenizer_file("word_bpe_49k.json")
+    encoder, full = packing.WordEncoder(path), []
+    runs = encoder._encode_runs
+    monkeypatch.setattr(encoder, "_encode_runs", lambda t, words: (t is encoder.model or full.extend(words)) and None or runs(t, words))
+    assert same_ids(encoder, texts) and full and not [w for w in full if w.isascii() and w.isalpha()]
+    # One that cuts words at a letter, which the checks for words as such do not see.
+    with open(path, encoding="utf-8") as f:
+        other = json.load(f)
+    other["pre_tokenizer"]["pretokenizers"].insert(0, {"type": "Split", "pattern": {"String": "q"}, "behavior": "Isolated", "invert": False})
+    (tmp_path / "other.json").write_text(json.dumps(other), encoding="utf-8")
+    cutting = packing.WordEncoder(str(tmp_path / "other.json"))
+    assert not cutting.straight and same_ids(cutting, texts)
+
+
 def test_line_dedup_of_repeated_ids(spark):
     copy, own, other = words(1, 12), words(2, 12), words(3, 12)
     docs = documents(spark, [(1, f"{copy}\nx"), (1, f"{own}\ny"), (2, f"{copy}\n{other}"), (3, None), (None, copy), (4, own), (4, own)])

@@ -12,7 +12,9 @@ block are therefore the only ones that waste much, a few windows in thousands.
 Words repeat, so that a task encodes each distinct white-space word once with the tokenizer and
 puts texts together from those ids. That equals encoding the whole text if the tokenizer drops white
 space, folds case, keeps digits apart and never merges over white space; a tokenizer that does not is refused when it
-is loaded. Texts that hold a special token's string, in whatever letter case, are always encoded whole and as they stand.
+is loaded. Words of ASCII letters go straight to the tokenizer's model, as nothing else of it changes or cuts them, which is
+checked as well. Texts that hold a special token's string, in whatever letter case, are always encoded whole and as they stand.
+When a worker has too many words, it goes on with those it meets again and again.
 
 Defined cases: a null text is empty and is packed as the end id alone. Repeated rows are packed
 each. A null id is packed like any other. An empty table gives an empty result; other columns are
@@ -23,6 +25,8 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from functools import lru_cache
+from string import ascii_lowercase
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +44,8 @@ WORDS_KEPT = 600_000
 BYTES_KEPT = 24 << 20
 MARK = "0"
 SIGNS = ".,"
+# Words that the tokenizer gets at a time; it slows down on longer texts.
+TOGETHER = 256
 
 
 class RoomTree:
@@ -99,11 +105,18 @@ def _spans(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return np.repeat(starts - ends + lens, lens) + np.arange(ends[-1] if len(ends) else 0)
 
 
+@lru_cache(4096)
+def _letter(char: str) -> bool:
+    """Whether a character is a letter, also in lower case."""
+    return len(low := char.lower()) == 1 and low.isalpha()
+
+
 class WordEncoder:
     """Ids of texts from the ids of their words, which are kept while there are not too many."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         # A task has one core; a thread for each core of the machine would keep a heap of its own.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -115,7 +128,14 @@ class WordEncoder:
         self.signs = {s: ids[0] for s, ids in one.items() if len(ids) == 1}
         self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._check()
-        self._forget()
+        # The model alone, for words that reach it unchanged and in one piece.
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = WhitespaceSplit()
+        self.straight = self._letters_are_left_alone()
+        self.known: dict[str, int] = {}
+        self.held_bytes = 0
+        self.flat = np.zeros(0, self.kind)
+        self.starts, self.lens, self.uses = (np.zeros(0, np.int64) for _ in range(3))
 
     def _check(self) -> None:
         """Raises unless texts can be put together from their words."""
@@ -131,10 +151,24 @@ class WordEncoder:
         if any(len(ids(d)) != 1 for d in "0123456789") or ids("a00b") != [*ids("a"), self.mark, self.mark, *ids("b")]:
             raise ValueError("the tokenizer does not keep digits apart")
 
+    def _letters_are_left_alone(self) -> bool:
+        """Whether words of ASCII letters have the same ids from the model alone: all of one and two letters, and long ones."""
+        words = [*ascii_lowercase, *(a + b for a in ascii_lowercase for b in ascii_lowercase)]
+        words += ["".join(words), ascii_lowercase[::-1] * 40, "a" * 1000, "understandings", "don", MARK]
+        full, bare = (t.encode_batch_fast(words, add_special_tokens=False) for t in (self.tokenizer, self.model))
+        return all(f.ids == b.ids for f, b in zip(full, bare, strict=True))
+
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.held_bytes = 0
-        self.flat, self.starts, self.lens = np.zeros(0, self.kind), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        """Keeps the words met most often, at most half of what may be kept, and of them only those met again."""
+        words = list(self.known)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        often = np.argsort(-self.uses, kind="stable")[:WORDS_KEPT // 2]
+        often = np.sort(often[(self.uses[often] > 1) & (np.cumsum(sizes[often]) <= BYTES_KEPT // 2)])
+        self.known = dict(zip([words[i] for i in often.tolist()], range(len(often)), strict=True))
+        self.held_bytes = int(sizes[often].sum())
+        self.flat = self.flat[_spans(self.starts[often], self.lens[often])]
+        self.lens, self.uses = self.lens[often], self.uses[often] // 2
+        self.starts = np.cumsum(self.lens) - self.lens
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and the number of ids of each text."""
@@ -142,12 +176,12 @@ class WordEncoder:
         words = pc.ascii_split_whitespace(lowered)
         coded = words.flatten().dictionary_encode()
         codes = coded.indices.to_numpy(zero_copy_only=False)
-        at = self._lookup(coded.dictionary.to_pylist())
-        lens = self.lens[at][codes]
+        flat, starts, lens = self._lookup(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        lens = lens[codes]
         ends = np.concatenate(([0], np.cumsum(lens)))
         bounds = words.offsets.to_numpy() - words.offsets[0].as_py()
         counts = ends[bounds[1:]] - ends[bounds[:-1]]
-        ids = self.flat[_spans(self.starts[at][codes], lens)]
+        ids = flat[_spans(starts[codes], lens)]
         special = np.zeros(len(texts), bool)
         data = lowered.buffers()[2]
         held = data.to_pybytes() if data is not None else b""  # of all texts: hardly ever has one
@@ -162,63 +196,80 @@ class WordEncoder:
             ids, counts = np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
         return ids, counts
 
-    def _lookup(self, words: list[str]) -> np.ndarray:
+    def _lookup(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of words one after another, and for each word its place and number of them."""
         if len(self.known) > WORDS_KEPT or self.held_bytes > BYTES_KEPT:
             self._forget()
-        new = [w for w in words if w not in self.known]
-        tails = [w[-1] if self._ends(w) else "" for w in new]
-        cores = [w[:-1] if t else w for w, t in zip(new, tails, strict=True)]
-        unknown = [c for c in dict.fromkeys(cores) if c not in self.known]
-        if unknown:
-            self._add(unknown, *self._encode_words(unknown))
-        for sign, ids in self.signs.items():
-            ended = [c for c, t in zip(cores, tails, strict=True) if t == sign]
-            if ended:
-                core = np.fromiter((self.known[c] for c in ended), np.int64, len(ended))
-                lens = self.lens[core] + 1
-                ends = np.cumsum(lens)
-                flat = np.empty(int(ends[-1]), self.kind)
-                flat[ends - 1] = ids
-                inner = np.delete(np.arange(len(flat)), ends - 1)
-                flat[inner] = self.flat[_spans(self.starts[core], self.lens[core])]
-                self._add([c + sign for c in ended], flat, lens)
-        return np.fromiter((self.known[w] for w in words), np.int64, len(words))
-
-    def _ends(self, word: str) -> bool:
-        """Whether the word is letters and one closing sign: the sign is then a token of its own."""
-        return word[-1:] in self.signs and len(low := word[-2:-1].lower()) == 1 and low.isalpha()
+        words, signs = self._cores(words)
+        found = list(map(self.known.get, words))
+        gaps = [i for i, n in enumerate(found) if n is None]
+        if gaps:
+            new = list(dict.fromkeys([words[i] for i in gaps]))
+            self._add(new, *self._encode_words(new))
+            for i in gaps:
+                found[i] = self.known[words[i]]
+        at = np.array(found, np.int64)
+        self.uses[at] += 1
+        signed = signs >= 0
+        lens = self.lens[at] + signed
+        ends = np.cumsum(lens)
+        flat = np.empty(int(ends[-1]) if len(ends) else 0, self.kind)
+        inner = np.ones(len(flat), bool)
+        inner[ends[signed] - 1] = False
+        flat[ends[signed] - 1] = signs[signed]
+        flat[inner] = self.flat[_spans(self.starts[at], self.lens[at])]
+        return flat, ends - lens, lens
+
+    def _cores(self, words: list[str]) -> tuple[list[str], np.ndarray]:
+        """Words without one closing sign after a letter, which is a token of its own, and the id of that sign or -1."""
+        words, signs = words.copy(), np.full(len(words), -1, np.int64)
+        closed, ids = [], []
+        for i in [i for i, w in enumerate(words) if w[-1:] in self.signs]:
+            word = words[i]
+            if len(word) > 1 and _letter(word[-2]):
+                words[i] = word[:-1]
+                closed.append(i)
+                ids.append(self.signs[word[-1]])
+        signs[closed] = ids
+        return words, signs
 
     def _add(self, words: list[str], flat: np.ndarray, lens: np.ndarray) -> None:
         first = len(self.lens)
         self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(lens) - lens))
         self.lens, self.flat = np.concatenate((self.lens, lens)), np.concatenate((self.flat, flat))
+        self.uses = np.concatenate((self.uses, np.zeros(len(words), np.int64)))
         self.known.update(zip(words, range(first, first + len(words)), strict=True))
         self.held_bytes += sum(map(len, words))
 
     def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words one after another, and the number of each. Words go to the tokenizer many at a
-        time, with a digit between them that none of them has; digits always are tokens of their own."""
-        plain = [w for w in words if MARK not in w]
-        runs = [f" {MARK} ".join(plain[low:low + 4096]) + f" {MARK}" for low in range(0, len(plain), 4096)]
-        ids = [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)]
+        """Ids of words one after another, and the number of each."""
+        ways = np.fromiter((2 if MARK in w else 0 if self.straight and w.isascii() and w.isalpha() else 1 for w in words),
+                           np.int64, len(words))
+        order = np.argsort(ways, kind="stable")
+        sorted_words = [words[i] for i in order.tolist()]
+        straight, unmarked = np.searchsorted(ways[order], (1, 2)).tolist()
+        own = [np.array(e.ids, self.kind) for e in
+               self.tokenizer.encode_batch_fast(sorted_words[unmarked:], add_special_tokens=False)]
+        parts = [self._encode_runs(self.model, sorted_words[:straight]),
+                 self._encode_runs(self.tokenizer, sorted_words[straight:unmarked]),
+                 (np.concatenate([np.zeros(0, self.kind), *own]), np.array([len(o) for o in own], np.int64))]
+        flat, lens = (np.concatenate(p) for p in zip(*parts, strict=True))
+        # Spans of all ways in the order of the words.
+        back = np.argsort(order)
+        starts = (np.cumsum(lens) - lens)[back]
+        lens = lens[back]
+        return flat[_spans(starts, lens)], lens
+
+    def _encode_runs(self, tokenizer, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Words go to the tokenizer many at a time, with a digit between them that none of them has; digits always
+        are tokens of their own."""
+        runs = [f" {MARK} ".join(words[low:low + TOGETHER]) + f" {MARK}" for low in range(0, len(words), TOGETHER)]
+        ids = [np.array(e.ids, self.kind) for e in tokenizer.encode_batch_fast(runs, add_special_tokens=False)]
         ids = np.concatenate([np.zeros(0, self.kind), *ids])
         ends = np.flatnonzero(ids == self.mark)
-        if len(ends) != len(plain):
+        if len(ends) != len(words):
             raise ValueError("the tokenizer does not keep digits apart")
-        lens = np.diff(ends, prepend=-1) - 1
-        flat = np.delete(ids, ends)
-        if len(plain) < len(words):
-            own = [np.array(e.ids, self.kind) for e in
-                   self.tokenizer.encode_batch_fast([w for w in words if MARK in w], add_special_tokens=False)]
-            # Words without the digit come first, then those with it: spans of both in the order of the words.
-            marked = np.fromiter((MARK in w for w in words), bool, len(words))
-            which = np.where(marked, len(plain) + np.cumsum(marked) - 1, np.cumsum(~marked) - 1)
-            flat = np.concatenate([flat, *own])
-            lens = np.concatenate((lens, np.array([len(o) for o in own], np.int64)))
-            starts = (np.cumsum(lens) - lens)[which]
-            lens = lens[which]
-            flat = flat[_spans(starts, lens)]
-        return flat, lens
+        return np.delete(ids, ends), np.diff(ends, prepend=-1) - 1
 
 
 def pack(

@@ -2,6 +2,7 @@
 
 import random
 import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -97,6 +98,14 @@ def test_only_words_of_letters_skip_the_rest_of_the_tokenizer(tmp_path, monkeypa
     assert not cutting.straight and same_ids(cutting, texts)
 
 
+def test_closing_signs_after_letters_that_nfc_takes_apart():
+    encoder = packing.WordEncoder(tokenizer_file("word_bpe_49k.json"))
+    letters = [c for c in map(chr, (*range(0xD800), *range(0xE000, 0x30000))) if c.isalpha() and unicodedata.normalize("NFC", c) != c]
+    assert len(letters) > 1000
+    texts = [f"{c}. a{c}, {c}" for c in letters] + ["\u1112\u1161. \u1112\u1161\u11ab,", "e\u0301. \u0301, İ."]
+    assert same_ids(encoder, texts)
+
+
 def test_line_dedup_of_repeated_ids(spark):
     copy, own, other = words(1, 12), words(2, 12), words(3, 12)
     docs = documents(spark, [(1, f"{copy}\nx"), (1, f"{own}\ny"), (2, f"{copy}\n{other}"), (3, None), (None, copy), (4, own), (4, own)])

@@ -24,6 +24,7 @@ never looked at.
 from __future__ import annotations
 
 import os
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 from string import ascii_lowercase
@@ -107,8 +108,8 @@ def _spans(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
 
 @lru_cache(4096)
 def _letter(char: str) -> bool:
-    """Whether a character is a letter, also in lower case."""
-    return len(low := char.lower()) == 1 and low.isalpha()
+    """Whether a character is a letter, also in lower case and in NFC, which takes some apart into a letter and a mark."""
+    return len(low := unicodedata.normalize("NFC", char).lower()) == 1 and low.isalpha()
 
 
 class WordEncoder:
